@@ -37,14 +37,19 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines())}
 
 
-def merged(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """The merges done literally: again and again the adjacent pair of lowest rank, the leftmost first."""
+def merged(data: bytes, ranks: dict[bytes, int], down_to: int = 1) -> list[bytes]:
+    """The merges done literally, again and again the adjacent pair of lowest rank, the leftmost first, until ``down_to`` parts are left."""
     parts = [data[i : i + 1] for i in range(len(data))]
-    while len(parts) > 1:
-        rank, at = min((ranks.get(parts[i] + parts[i + 1], len(ranks) << 1), i) for i in range(len(parts) - 1))
-        if rank >= len(ranks) << 1:
-            break
+    never = 1 << 40
+    pairs = [ranks.get(data[i : i + 2], never) for i in range(len(data) - 1)]
+    while len(parts) > down_to and (low := min(pairs)) < never:
+        at = pairs.index(low)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del pairs[at]
+        if at:
+            pairs[at - 1] = ranks.get(parts[at - 1] + parts[at], never)
+        if at < len(pairs):
+            pairs[at] = ranks.get(parts[at] + parts[at + 1], never)
     return parts
 
 
@@ -67,31 +72,51 @@ class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
-        self.token = {rank: token for token, rank in ranks.items()}
+        self.token = [b""] * (max(ranks.values()) + 1)
+        #: The two tokens whose merge forms a token; none for single bytes.
+        self._split: dict[int, tuple[int, int]] = {}
         self._automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, rank in ranks.items():
-            self._automaton.add_word(token.decode("latin-1"), rank)
+            self.token[rank] = token
+            halves = merged(token, ranks, 2)
+            # A token that merges don't form is only ever a whole piece.
+            if len(halves) <= 2:
+                self._automaton.add_word(token.decode("latin-1"), rank)
+                if len(halves) == 2:
+                    self._split[rank] = ranks[halves[0]], ranks[halves[1]]
         self._automaton.make_automaton()
+        self._size = [len(token) for token in self.token]
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._own: dict[int, bool] = {}
         self._shorter: dict[int, int] = {}
         self._pieces = _Pieces(self)
 
-    def _reached(self, rank: int) -> bool:
-        """Whether merges form this token at all; one that they don't form matches only as a whole piece."""
-        if rank not in self._own:
-            self._own[rank] = merged(self.token[rank], self.ranks) == [self.token[rank]]
-        return self._own[rank]
-
     def _agree(self, left: int, right: int) -> bool:
+        """Whether the merges of the two tokens' bytes give these two tokens.
+
+        They do unless something merges across the border before the tokens next to it are complete. So
+        both are taken apart from the border outwards, last merge first, and at each step the border's
+        neighbours must not form a token earlier than the merge just undone.
+        """
         verdict = self._pairs.get((left, right))
         if verdict is None:
             if len(self._pairs) >= MEMO:
                 self._pairs.clear()
-            a, b = self.token[left], self.token[right]
-            verdict = self._pairs[left, right] = merged(a + b, self.ranks) == [a, b]
+            verdict = self._pairs[left, right] = self._apart(left, right)
         return verdict
 
+    def _apart(self, left: int, right: int) -> bool:
+        before = 1 << 40
+        while self.ranks.get(self.token[left] + self.token[right], before) >= before:
+            # Of two merges of one rank the left one comes first.
+            from_left, from_right = self._split.get(left), self._split.get(right)
+            if from_left and (left > right or not from_right):
+                before, left = left, from_left[1]
+            elif from_right:
+                before, right = right + 1, from_right[0]
+            else:
+                return True
+        return False
+
     def _next_shorter(self, rank: int) -> int:
         """The longest token that is a proper prefix and that merges form; -1 if there is none."""
         found = self._shorter.get(rank)
@@ -99,7 +124,7 @@ class ByteBPE:
             token, found = self.token[rank], -1
             for size in range(len(token) - 1, 0, -1):
                 other = self.ranks.get(token[:size], -1)
-                if other >= 0 and self._reached(other):
+                if other >= 0 and (size == 1 or other in self._split):
                     found = other
                     break
             self._shorter[rank] = found
@@ -111,12 +136,10 @@ class ByteBPE:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        size = {}
+        size = self._size
         longest = [-1] * len(data)
         for end, rank in self._automaton.iter(data.decode("latin-1")):
-            if self._reached(rank):
-                size[rank] = len(self.token[rank])
-                longest[end + 1 - size[rank]] = rank
+            longest[end + 1 - size[rank]] = rank
         usable = bytearray(b"\1") * (len(data) + 1)
         out: list[int] = []
         at, candidate = 0, longest[0]
@@ -125,7 +148,7 @@ class ByteBPE:
                 raise ValueError("the vocabulary lacks a byte")
             last = out[-1] if out else -1
             while candidate >= 0:
-                end = at + len(self.token[candidate])
+                end = at + size[candidate]
                 if usable[end] and (last < 0 or self._agree(last, candidate)):
                     break
                 candidate = self._next_shorter(candidate)
@@ -138,7 +161,7 @@ class ByteBPE:
                     raise ValueError("the vocabulary lacks a byte")
                 usable[at] = 0
                 out.pop()
-                at -= len(self.token[last])
+                at -= size[last]
                 candidate = last
         return out
 
