@@ -190,3 +190,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, share: int = 20, **c
             "items",
         )
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, share: int = 20, text_col: str = "text", **columns) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not contaminated."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("searched"))
+    found = contamination(rows, benchmark, share=share, id_col="row", text_col="searched", **columns)
+    return found.where("NOT contaminated").select("row.*")

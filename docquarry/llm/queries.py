@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, decontaminate, secrets, simhash
+from docquarry.llm import bpe, decontaminate, secrets, simhash, toxicity
 from docquarry.llm.common import documents
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -38,6 +38,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP5_SQL = rf"""
@@ -103,5 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scans": op4_secret_scans,
     "op5_decontamination": op5_decontamination,
     "op7_simhash": op7_simhash,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLES: dict[str, str] = {"op4_secret_scans": OP4_SQL, "op5_decontamination": OP5_SQL}
