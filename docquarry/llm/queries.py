@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, decontaminate, secrets, simhash, toxicity
+from docquarry.llm import bpe, decontaminate, lines, secrets, simhash, toxicity
 from docquarry.llm.common import documents
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -42,6 +42,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.without_repeats(documents(spark, sf_dir))
+    size = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, x: n + x["stop"] - x["start"])
+    listed = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["stop"])), ",")
+    return found.select("doc_id", F.col("n_bytes").cast("bigint"), size.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), listed.alias("spans"))
+
+
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP5_SQL = rf"""
@@ -102,11 +109,32 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM docs LEFT JOIN summed USING (r)"""
 )
 
+# Occurrences in the order of their rank; texts that agree in id and text are one document.
+OP10_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+pieces AS (
+  SELECT doc_id, r, i, p[i] AS p, coalesce(list_sum(list_transform(p[1:i - 1], lambda x: strlen(x))), 0) AS ofs
+  FROM (SELECT doc_id, r, regexp_extract_all(t, '\n|[^\n.!?]*[.!?]+|[^\n.!?]+') AS p FROM docs), unnest(range(1, len(p) + 1)) AS u(i)),
+units AS (
+  SELECT doc_id, r, ofs + strlen(p) - strlen(ltrim(p, E' \t\r\x0b\f')) AS start, ofs + strlen(p) AS stop, regexp_extract_all(translate(p, LETTERS), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM pieces WHERE p <> chr(10)),
+ranked AS (SELECT doc_id, r, start, stop, row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, start) AS n FROM units WHERE len(w) >= 5),
+removed AS (
+  SELECT r, sum(stop - start) AS n_removed, count(*) AS n_spans, string_agg(start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start) AS spans
+  FROM ranked WHERE n > 1 GROUP BY r),
+kept AS (
+  SELECT p.r, string_agg(CASE WHEN n > 1 THEN p.gap ELSE p.p END, '' ORDER BY p.i) AS kept
+  FROM (SELECT r, i, p, ofs + strlen(p) AS stop, p[1:length(p) - length(ltrim(p, E' \t\r\x0b\f'))] AS gap FROM pieces) AS p LEFT JOIN ranked USING (r, stop) GROUP BY p.r)
+SELECT doc_id, strlen(t) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
+""".replace("LETTERS", _LETTERS)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scans": op4_secret_scans,
     "op5_decontamination": op5_decontamination,
     "op7_simhash": op7_simhash,
     "op9_toxicity": op9_toxicity,
+    "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {"op4_secret_scans": OP4_SQL, "op5_decontamination": OP5_SQL}
+ORACLES: dict[str, str] = {"op4_secret_scans": OP4_SQL, "op5_decontamination": OP5_SQL, "op10_line_dedup": OP10_SQL}
