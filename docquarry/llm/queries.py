@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, decontaminate, lines, quality, secrets, simhash, toxicity
+from docquarry.llm import bpe, decontaminate, lines, lm, quality, secrets, simhash, toxicity
 from docquarry.llm.common import documents
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -34,6 +34,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans", "items")
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -137,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scans": op4_secret_scans,
     "op5_decontamination": op5_decontamination,
+    "op6_lm_scores": op6_lm_scores,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
