@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, decontaminate, lines, lm, quality, secrets, simhash, toxicity
+from docquarry.llm import bpe, decontaminate, lines, lm, quality, secrets, simhash, suffix, toxicity
 from docquarry.llm.common import documents
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.without_repeats(documents(spark, sf_dir))
+    size = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, x: n + x["stop"] - x["start"])
+    return found.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     tokens = bpe.decode(bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN), path)
@@ -138,6 +144,7 @@ FROM docs LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
 """.replace("LETTERS", _LETTERS)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scans": op4_secret_scans,
     "op5_decontamination": op5_decontamination,
