@@ -39,7 +39,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digests of the ids and of what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    tokens = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    tokens = bpe.encode_and_decode(docs, path, public_tokenizers.PATTERN)
     n = F.expr("CAST(octet_length(ids) DIV 4 AS bigint) AS n_tokens")
     return tokens.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 

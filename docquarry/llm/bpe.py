@@ -14,7 +14,7 @@ are read.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -22,10 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from docquarry.llm.common import id_and_bytes
+from docquarry.llm.common import id_and_bytes, small_batches
 
 #: Entries of a worker's memos (pieces, pairs); a full memo is emptied, results don't depend on it.
-MEMO = 1 << 18
+MEMO = 1 << 17
 #: Pieces longer than this are not kept in the memo.
 MEMO_PIECE = 64
 #: Characters from which a text's pieces are taken one after another instead of all at once.
@@ -174,7 +174,11 @@ class ByteBPE:
         return b"".join(map(self._pieces.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return detokenized(ids, self.token)
+
+
+def detokenized(ids: bytes, table: list[bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 _loaded: dict[tuple[int, str], ByteBPE] = {}
@@ -189,35 +193,56 @@ def _tokenizer(data: bytes, pattern: str) -> ByteBPE:
     return _loaded[key]
 
 
-def _vocabulary(path: str) -> bytes:
+def _vocabulary(df: DataFrame, path: str):
     """The driver reads the vocabulary once and sends it; its size is that of the vocabulary, not of the data."""
     with open(path, "rb") as f:
-        return f.read()
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: its id and ``ids``, the token ids as little-endian unsigned 32-bit integers."""
-    sent = docs.sparkSession.sparkContext.broadcast(_vocabulary(path))
-    rows = id_and_bytes(docs, id_col, text_col)
+Batches = Iterator[pa.RecordBatch]
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoder(sent, pattern: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         bpe = _tokenizer(sent.value, pattern)
         for batch in batches:
             ids = [bpe.encode(data.as_py().decode()) for data in batch.column("data")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary())], [id_col, "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary())], ["id", "ids"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, ids binary")
+    return run
+
+
+def _decoder(sent) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        ranks = load_ranks(sent.value)
+        table = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            table[rank] = token
+        del ranks
+        for batch in batches:
+            out = [detokenized(ids.as_py() or b"", table) for ids in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("ids"), pa.array(out, pa.binary())], ["id", "ids", "decoded"])
+
+    return run
+
+
+def _named(rows: DataFrame, run: Callable[[Batches], Batches], id_col: str, columns: str) -> DataFrame:
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {columns}").withColumnRenamed("id", id_col)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: its id and ``ids``, the token ids as little-endian unsigned 32-bit integers."""
+    return _named(id_and_bytes(docs, id_col, text_col), _encoder(_vocabulary(docs, path), pattern), id_col, "ids binary")
 
 
 def decode(tokens: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """A row per row: its id, ``ids`` as given, and ``decoded``, the bytes that they stand for. Null ids decode to nothing."""
-    sent = tokens.sparkSession.sparkContext.broadcast(_vocabulary(path))
-    rows = tokens.select(tokens[id_col].alias("id"), tokens[ids_col].alias("ids"))
+    rows = small_batches(tokens).select(tokens[id_col].alias("id"), tokens[ids_col].alias("ids"))
+    return _named(rows, _decoder(_vocabulary(tokens, path)), id_col, "ids binary, decoded binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _tokenizer(sent.value, "")
-        for batch in batches:
-            out = [bpe.decode(ids.as_py() or b"") for ids in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("ids"), pa.array(out, pa.binary())], [id_col, "ids", "decoded"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, ids binary, decoded binary")
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one worker process for each task, instead of one for either step."""
+    sent = _vocabulary(docs, path)
+    encoder, decoder = _encoder(sent, pattern), _decoder(sent)
+    return _named(id_and_bytes(docs, id_col, text_col), lambda batches: decoder(encoder(batches)), id_col, "ids binary, decoded binary")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.llm.common import small_batches
+
 WINDOW = 13
 #: Text bytes of benchmark items that one broadcast may hold; a larger benchmark is searched in blocks.
 BLOCK_BYTES = 16 << 20
@@ -124,7 +126,7 @@ def find_benchmark(
     is searched in blocks, one pass each, so that a broadcast never grows with it.
     """
     spark = docs.sparkSession
-    state = docs.select(
+    state = small_batches(docs).select(
         F.col(id_col).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"),
         F.expr("0L AS n_words"),

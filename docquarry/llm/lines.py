@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.llm.common import small_batches
 from docquarry.llm.decontaminate import words
 
 MIN_WORDS = 5
@@ -41,7 +42,7 @@ def units(data: bytes, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, b
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("data"))
+    return small_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("data"))
 
 
 def occurrences(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -8,12 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, decontaminate, lines, lm, quality, secrets, simhash, suffix, toxicity
+from docquarry.llm import bpe, decontaminate, lines, lm, media, quality, secrets, simhash, suffix, toxicity
 from docquarry.llm.common import documents
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no pictures, so each vector is drawn as one. The queries are edited copies of every
+    hundredth: cropped, turned, toned or made smaller."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    found = media.find_copies(media.drawn(vectors), media.drawn(vectors.where("vec_id % 100 = 0"), edit=True), id_col="vec_id")
+    return found.select("query_id", F.col("id").alias("vec_id"), "n_matches", "n_agreeing")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.without_repeats(documents(spark, sf_dir))
     size = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, x: n + x["stop"] - x["start"])
@@ -22,7 +30,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    tokens = bpe.decode(bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN), path)
+    tokens = bpe.encode_and_decode(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
     return tokens.select(
         "doc_id",
         F.expr("CAST(octet_length(ids) DIV 4 AS bigint) AS n_tokens"),
@@ -144,6 +152,7 @@ FROM docs LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
 """.replace("LETTERS", _LETTERS)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_copies": op1_media_copies,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scans": op4_secret_scans,

@@ -33,6 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.llm.common import small_batches
+
 LENGTH = 200
 PIECE = 64
 #: Distinct contexts of an anchor piece from which they are dealt out further, and the width of the ranges then.
@@ -184,7 +186,7 @@ _CONTEXT = "id {id}, h bigint, piece bigint, anchor int, first int, last int, hi
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("data"))
+    return small_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("data"))
 
 
 def contexts(rows: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm import hashed
-from docquarry.llm.common import id_and_bytes
+from docquarry.llm.common import id_and_bytes, small_batches
 from docquarry.llm.decontaminate import words
 
 #: Seed words by category, in the order of the chain.
@@ -132,7 +132,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 yield batch.filter(pa.array([chances(t.as_py() or b"", extract)[-1] < threshold for t in texts], pa.bool_()))
 
         place = docs.columns.index(text_col)
-        return docs.mapInArrow(clean, docs.schema)
+        return small_batches(docs).mapInArrow(clean, docs.schema)
 
     rows = id_and_bytes(docs, id_col, text_col)
 
