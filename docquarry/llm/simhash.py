@@ -73,7 +73,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
     """Links that join what ``RADIUS`` joins among these fingerprints, without cycles."""
-    left, links = fps, []
+    # Unsigned: of signed numbers the bits of the absolute value would be counted.
+    left, links = fps.view(np.uint64), []
     while len(left) > 1:
         front, left = [left[0]], left[1:]
         while front and len(left):
@@ -81,7 +82,7 @@ def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
             near = np.bitwise_count(left ^ x) <= RADIUS
             if near.any():
                 found = left[near]
-                links += [(int(x), int(y)) for y in found]
+                links += [(int(x.view(np.int64)), int(y)) for y in found.view(np.int64)]
                 front += list(found)
                 left = left[~near]
     return links
@@ -92,7 +93,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, held, full = None, [], False
 
     def close() -> list[tuple[int, int | None]]:
-        if full or len(held) < 2:
+        if full or sum(map(len, held)) < 2:
             return []
         fps = np.unique(np.concatenate(held))
         return [(a, b) for a, b in _forest(fps)] if len(fps) > 1 else []
