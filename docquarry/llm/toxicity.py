@@ -7,6 +7,9 @@ did not see the document (out of fold). The last link is the label itself.
 The labels only say toxic or not. A labelled document is of a category if it is toxic and holds one of
 the category's seed words; a category with fewer than ``LEAST`` such documents predicts its base rate.
 
+A document is toxic from the probability on that parts the labelled documents best (by F1) when each is
+predicted out of fold; it is never that of a document without features, nor above one half.
+
 Defined cases: null and empty texts have no features and get the base-line probability; without labels,
 or with labels of one class only, every probability is the base rate (zero without labels); a document
 with several labels is toxic if one says so; repeated rows each give a row. The model is fitted on at most
@@ -36,8 +39,6 @@ SEEDS = {
 CATEGORIES = (*SEEDS, "toxic")
 FOLDS = 5
 LEAST = 20
-#: From which probability of the last link a document counts as toxic: a toxic document that stays costs more than a doubtful one that goes.
-THRESHOLD = 0.1
 #: A feature counts if so many samples have it and it is so many standard deviations more common in toxic ones.
 FEATURE_LEAST, FEATURE_Z = 10, 5.0
 STEPS, RATE, DECAY = 300, 0.1, 5e-5
@@ -82,8 +83,37 @@ def _fit(design: hashed.Design, before: np.ndarray, y: np.ndarray, use: np.ndarr
     return x[:d], x[d : d + k], float(x[-1])
 
 
-def fit_chain(features: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, list[Link]]:
-    """The kept features' places and the links over them."""
+@dataclass
+class Chain:
+    """``kept``: places of the features that the links weigh. ``threshold``: from where the last link's probability means toxic."""
+
+    kept: np.ndarray
+    links: list[Link]
+    threshold: float
+
+    def predict(self, columns: np.ndarray) -> list[float]:
+        out: list[float] = []
+        for link in self.links:
+            out.append(link.predict(columns, out))
+        return out
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray, least: float) -> float:
+    """Halfway, in log-odds, between the last probability on the best side of the cut and the next; above ``least``, at most one half."""
+    if not 0 < y.sum() < len(y):
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    p, hits = np.clip(p[order], 1e-9, 1 - 1e-9), np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
+    f1[:-1][p[:-1] == p[1:]] = 0
+    f1[p <= least] = 0
+    k = int(np.argmax(f1))
+    low = max(p[k + 1] if k + 1 < len(p) else least, least, 1e-9)
+    odds = lambda x: np.log(x / (1 - x))
+    return float(min(0.5, hashed.sigmoid(np.array((odds(p[k]) + odds(min(low, p[k]))) / 2)))) if f1[k] > 0 else 0.5
+
+
+def fit_chain(features: list[np.ndarray], toxic: np.ndarray) -> Chain:
     kept = hashed.telling(features, toxic, least=FEATURE_LEAST, z=FEATURE_Z, both=False)
     design = hashed.Design(features, kept)
     fold = np.arange(len(features)) % FOLDS
@@ -100,36 +130,36 @@ def fit_chain(features: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray
                 before = np.column_stack([before, np.full(len(features), rate)])
                 continue
         out_of_fold = np.zeros(len(features))
-        for k in range(FOLDS) if category in SEEDS else ():
+        for k in range(FOLDS):
             w, b, bias = _fit(design, before, y, fold != k)
             out_of_fold = np.where(fold == k, hashed.sigmoid(design.times(w) + before @ b + bias), out_of_fold)
         w, b, bias = _fit(design, before, y, np.ones(len(features), bool))
         links.append(Link(w, b, bias))
         before = np.column_stack([before, out_of_fold])
-    return kept, links
+    chain = Chain(kept, links, 0.5)
+    chain.threshold = best_threshold(before[:, -1], toxic, chain.predict(np.zeros(0, np.int64))[-1])
+    return chain
 
 
-def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "toxic", sample: int = hashed.SAMPLE, threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "toxic", sample: int = hashed.SAMPLE, threshold: float | None = None, keep: bool = False) -> DataFrame:
     """A row per row: its id, a probability for each category, and ``is_toxic``.
 
     With ``keep``: instead, the rows of ``docs`` that are not toxic, with all their columns.
     """
     features, toxic = hashed.labelled_sample(docs, labels, F.col(label), extractor, id_col=id_col, text_col=text_col, label_id=label_id, sample=sample)
-    sent = docs.sparkSession.sparkContext.broadcast(fit_chain(features, toxic))
-
-    def chances(data: bytes, extract: hashed.Extractor) -> list[float]:
-        found, out = extract(data), []
-        for link in sent.value[1]:
-            out.append(link.predict(found, out))
-        return out
+    chain = fit_chain(features, toxic)
+    if threshold is not None:
+        chain.threshold = threshold
+    sent = docs.sparkSession.sparkContext.broadcast(chain)
 
     if keep:
 
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            extract = extractor().keep(sent.value[0])
+            chain = sent.value
+            extract = extractor().keep(chain.kept)
             for batch in batches:
                 texts = batch.column(place).cast(pa.binary())
-                yield batch.filter(pa.array([chances(t.as_py() or b"", extract)[-1] < threshold for t in texts], pa.bool_()))
+                yield batch.filter(pa.array([chain.predict(extract(t.as_py() or b""))[-1] < chain.threshold for t in texts], pa.bool_()))
 
         place = docs.columns.index(text_col)
         return small_batches(docs).mapInArrow(clean, docs.schema)
@@ -137,10 +167,11 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = id_and_bytes(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extract = extractor().keep(sent.value[0])
+        chain = sent.value
+        extract = extractor().keep(chain.kept)
         for batch in batches:
-            all_chances = np.array([chances(data.as_py(), extract) for data in batch.column("data")]).reshape(-1, len(CATEGORIES))
-            columns = [batch.column("id"), *(pa.array(c) for c in all_chances.T), pa.array(all_chances[:, -1] >= threshold)]
+            all_chances = np.array([chain.predict(extract(data.as_py())) for data in batch.column("data")]).reshape(-1, len(CATEGORIES))
+            columns = [batch.column("id"), *(pa.array(c) for c in all_chances.T), pa.array(all_chances[:, -1] >= chain.threshold)]
             yield pa.RecordBatch.from_arrays(columns, [id_col, *(f"p_{c}" for c in CATEGORIES), "is_toxic"])
 
     kinds = ", ".join(f"p_{c} double" for c in CATEGORIES)
