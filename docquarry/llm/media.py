@@ -3,9 +3,9 @@
 Each image is reduced step by step; on each level corners are found by the Harris measure. A corner gets
 an orientation (towards the centre of brightness around it) and a descriptor of 128 binary tests, each of
 two smoothed pixels at places turned by that orientation. Descriptors meet in Hamming tables: under each
-of their four 32-bit parts, so that two within three bits surely meet and closer-by-chance ones rarely
-do. Pairs that differ in at most ``BITS`` bits are matches, and an image is a copy of another if enough
-matches agree on one similarity transform.
+of six parts of ``PART`` bits, so that two within five bits surely meet, those within ``BITS`` mostly, and
+others rarely. Pairs that differ in at most ``BITS`` bits are matches, and an image is a copy of another if
+enough matches agree on one similarity transform; not every corner has to meet for that.
 
 Images are binary PGM (P5, one byte a pixel). Defined cases: null, empty or unreadable images and such
 without corners match nothing but are counted with 0 corners; repeated rows each are images of their own
@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import small_batches
 
 #: Corners kept of an image, radius of a patch, tests, scale from a level to the next, levels.
-CORNERS, RADIUS, TESTS, STEP, LEVELS = 64, 10, 128, 0.85, 4
+CORNERS, RADIUS, TESTS, STEP, LEVELS = 64, 15, 128, 0.85, 4
+#: Bits of a part of a descriptor, under which it stands in a table.
+PART = 21
 #: Bits in which matching descriptors may differ.
-BITS = 24
+BITS = 20
 #: Matches that must agree on a transform, within so many pixels of the indexed image.
 AGREE, TOLERANCE = 6, 5.0
 
@@ -74,7 +76,7 @@ def scaled(x: np.ndarray, factor: float) -> np.ndarray:
 def _pattern() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the tests (from a fixed seed), and the disc over which the orientation is taken."""
     rng = np.random.default_rng(7)
-    places = rng.normal(0, RADIUS / 2.2, (2, TESTS, 2)).clip(-RADIUS * 0.7, RADIUS * 0.7)
+    places = rng.normal(0, RADIUS / 1.6, (2, TESTS, 2)).clip(-RADIUS * 0.7, RADIUS * 0.7)
     y, x = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
     inside = x * x + y * y <= RADIUS * RADIUS
     return places, y[inside], x[inside]
@@ -155,10 +157,10 @@ def descriptors(images: DataFrame, *, id_col: str = "image_id", image_col: str =
 
 
 def _tables(found: DataFrame) -> DataFrame:
-    """Each descriptor under each of its parts."""
-    part = lambda n, of, shift: F.struct(F.lit(n).alias("part"), F.shiftrightunsigned(of, shift).bitwiseAND(0xFFFFFFFF).alias("code"))
-    parts = F.array(part(0, "hi", 32), part(1, "hi", 0), part(2, "lo", 32), part(3, "lo", 0))
-    return found.select("*", F.explode(parts).alias("key"))
+    """Each descriptor under each of its parts, three of either half."""
+    part = lambda n, of, shift: F.shiftrightunsigned(of, shift).bitwiseAND((1 << PART) - 1).bitwiseOR(F.lit(n << PART))
+    parts = [part(3 * half + k, of, PART * k) for half, of in enumerate(("hi", "lo")) for k in range(3)]
+    return found.select("*", F.explode(F.array(*parts)).alias("key"))
 
 
 def agreeing(q: np.ndarray, p: np.ndarray, tolerance: float = TOLERANCE) -> int:
