@@ -1,0 +1,79 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from docquarry.llm import secrets
+from tests.llm.common import ODD, empty, odd, ordered, table
+
+BASE = [
+    ("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""".replace("(?i:", "(?ai:")), lambda m: len(m[2]) >= 6),
+    ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    ("private", re.compile("-----BEGIN [A-Z ]*PRIVATE KEY-----"), lambda m: True),
+    ("github", re.compile("gh[pousr]_[A-Za-z0-9]{36,}"), lambda m: True),
+]
+
+
+def brute(text):
+    found = [(m.start(), n, kind, m.end()) for n, (kind, pattern, ok) in enumerate(BASE) for m in pattern.finditer(text) if ok(m)]
+    return sorted(found)
+
+
+def made(n, seed=0):
+    rng = random.Random(seed)
+    parts = ["password", "PassWd", "secret", "api_key", "APIKEY", "token", "=", ":", ": ", " = ", "'", '"', "abc", "abcdef", "0123456789abcdef", "é", "😀", "\n", " ", "AKIA", "ABCDEFGHIJKLMNOP", "ghp_", "a" * 36, "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "Key", "ſecret"]
+    return [(i, "".join(rng.choices(parts, k=rng.randint(0, 25)))) for i in range(n)]
+
+
+def test_agrees_with_plain_scans(spark):
+    rows = made(600) + [(d, t) for d, t in ODD if d is not None]
+    got = secrets.find_secrets(table(spark, rows)).collect()
+    assert ordered((r["doc_id"], str([tuple(x) for x in r["found"]])) for r in got) == ordered((d, str(brute(t or ""))) for d, t in rows)
+    assert sum(len(brute(t or "")) for _, t in rows) > 300
+
+
+def test_digests(spark):
+    rows = made(50, 7)
+    for r in secrets.secrets(table(spark, rows)).collect():
+        spans = brute(dict(rows)[r["doc_id"]])
+        listed = lambda xs: ",".join(f"{k}:{a}:{b}" for a, _, k, b in xs)
+        assert r["spans"] == listed(spans)
+        assert r["base_sha256"] == hashlib.sha256(listed([x for x in spans if x[1] < 3]).encode()).hexdigest()
+        assert r["n_hex"] == sum(x[2] == "hex" for x in spans)
+
+
+def test_every_match_satisfies_its_trigram_query():
+    rng = random.Random(1)
+    for rule, (kind, pattern, _) in zip(secrets.RULES, BASE, strict=True):
+        assert rule.kind == kind
+        for _, text in made(300, rng.random()):
+            for m in pattern.finditer(text):
+                assert not rule.literals or any(all(t in m[0].lower() for t in q) for q in rule.query())
+
+
+def test_redaction(spark):
+    rows = [*made(300, 3), *((d, t) for d, t in ODD if d is not None)]
+    want = []
+    for d, t in rows:
+        out, at = "", 0
+        for a, _, kind, b in brute(t or ""):
+            if a >= at:
+                out += t[at:a] + f"[{kind}]"
+            at = max(at, b)
+        want.append((d, None if t is None else out + t[at:]))
+    assert ordered(secrets.redact(table(spark, rows)).collect()) == ordered(want)
+
+
+def test_odd_rows(spark):
+    assert secrets.find_secrets(empty(spark)).count() == 0
+    got = secrets.redact(odd(spark))
+    assert got.columns == odd(spark).columns
+    assert ordered(got.select("doc_id", "text").collect()) == ordered(ODD)
+
+
+def test_native(spark):
+    plan = secrets.secrets(odd(spark))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
+    assert secrets.secrets(odd(spark).withColumn("text", F.lit(None).cast("string"))).where("spans != ''").count() == 0
