@@ -74,6 +74,23 @@ class Collection:
             df = df.orderBy("key")
         return df if limit is None else df.limit(limit)
 
+    def find_by_index(self, filter: str | dict) -> DataFrame:
+        """``find`` through the postings of the index that ``explain_index`` names, by a join on the key; a plain scan
+        where none applies. The filter is applied again, so both give the same rows."""
+        chosen = self.explain_index(filter)
+        if chosen is None:
+            return self.find(filter=filter)
+        docs, path = self.documents, self.indexes.paths[chosen["index"]]
+        keys = indexing.candidates(indexing.postings(docs.df, docs.root, path), chosen["probe"], docs.root.at(path))
+        return docs.df.join(keys, "key", "left_semi").where(compile_filter(parse_filter(filter), docs.root))
+
+    def drop(self) -> None:
+        """Clears documents, lifetime and index definitions; a later put revives the collection."""
+        if not isinstance(self.source, logs.Log):
+            raise NotFound(f"collection {self.name!r} has no log")
+        self.source.drop()
+        self.indexes.paths.clear()
+
     def project(self, rows: DataFrame, fields: str | None) -> DataFrame:
         """``key`` and ``item``, the projected document as JSON text."""
         return rows.select("key", project_json(self.documents.root, requests.parse_fields(fields)).alias("item"))

@@ -44,6 +44,12 @@ _DOCUMENT = ("put", "del")
 SWEEP_BATCH = 64
 
 
+def suffix(log: DataFrame, after: int, up_to: int | None = None) -> DataFrame:
+    """Entries above ``after`` and, if given, up to ``up_to``; both bounds reach the Parquet scan."""
+    found = log.where(F.col("lsn") > after)
+    return found if up_to is None else found.where(F.col("lsn") <= up_to)
+
+
 def since_drop(log: DataFrame) -> DataFrame:
     """The entries after the last drop."""
     last = log.where("op = 'drop'").agg(F.max("lsn").alias("dropped"))

@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docquarry.errors import Gone, Refused
+from docquarry.errors import Conflict, Gone, Refused
 from docquarry.operators.filtering import compile_filter
 from docquarry.operators.values import VariantValue
 from docquarry.plans.filters import Branch
-from docquarry.plans.requests import CHANGE_OPS
+from docquarry.plans.requests import CHANGE_OPS, decode_cursor, encode_cursor
 
 #: Log numbers in which drops are counted together; see ``epochs``.
 STRETCH = 1 << 20
@@ -114,6 +114,33 @@ def classify_stream(log: DataFrame) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(step, _EVENT, "present boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def merged(shards: dict[int, DataFrame]) -> DataFrame:
+    """Changes of several logs as one feed with a ``shard``; they are ordered within a shard only."""
+    parts = [changes.withColumn("shard", F.lit(n)) for n, changes in sorted(shards.items())]
+    if not parts:
+        raise Refused("a feed has at least one shard")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def merged_position(positions: dict[int, int], layout: int | None = None) -> str:
+    """A cursor of a merged feed: the last number of each shard, and the layout it holds for."""
+    return encode_cursor({"shards": {str(n): lsn for n, lsn in sorted(positions.items())}, "ring": layout})
+
+
+def resume_merged(shards: dict[int, DataFrame], cursor: str, layout: int | None = None) -> DataFrame:
+    """Each shard's changes after its position in the cursor; a cursor of another layout conflicts."""
+    position = decode_cursor(cursor)
+    after = position.get("shards")
+    if not isinstance(after, dict) or not all(isinstance(x, int) for x in after.values()):
+        raise Refused("the cursor is not of a merged feed")
+    if position.get("ring") != layout or {int(n) for n in after} != set(shards):
+        raise Conflict("the layout has changed since the cursor was issued; start again")
+    return merged({n: changes.where(F.col("lsn") > after[str(n)]) for n, changes in shards.items()})
+
+
 def deduplicated(changes: DataFrame, shard: Column | None = None) -> DataFrame:
     """Delivery is at least once; a change is known by its shard and number."""
     return changes.withColumn("shard", F.lit(0) if shard is None else shard).dropDuplicates(["shard", "lsn"])

@@ -139,6 +139,8 @@ def test_indexes(spark):
         c.indexes.create("by_n", "s")
     assert c.index_status() == [{"name": "by_n", "field": "n", "state": "ready", "documents": 10, "values": 4}]
     assert c.explain_index({"n": 1})["index"] == "by_n"
+    for f in ({"n": 1}, {"n": {"$in": [0, 2.0, None]}}, {"n": {"$gte": 1, "$lt": 2}, "s": {"$contains": "xx"}}, {"n": {"$type": "null"}}, {"n": {"$exists": True}}, {"s": "x"}, {"n": {"$gt": 5}}):
+        assert sorted(r["key"] for r in c.find_by_index(f).collect()) == sorted(r["key"] for r in c.find(filter=f).collect()), f
     assert c.explain_index({"$or": [{"n": 1}]}) is None and c.explain_index({"s": "x"}) is None
     with pytest.raises(NotFound):
         c.indexes.drop("other")
@@ -152,8 +154,9 @@ def test_engine_names(spark, tmp_path):
     c = e.create("orders")
     c.source.put("o1", {"x": 1})
     assert e.collections() == ["orders"] and c.get("o1")[0] == {"x": 1}
-    c.source.drop()
-    assert e.collections() == [] and c.query().items == []
+    c.indexes.create("by_x", "x")
+    c.drop()
+    assert c.indexes.list() == [] and e.collections() == [] and c.query().items == []
     with pytest.raises(NotFound):
         c.get("o1")
     assert lookup({"a": [1]}, "a.0") == (False, None)

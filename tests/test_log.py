@@ -7,7 +7,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.errors import Gone, NotFound, PreconditionFailed, Refused
+from docquarry.errors import Conflict, Gone, NotFound, PreconditionFailed, Refused
 from docquarry.functions.patch import merge_patch, merge_patch_json
 from docquarry.plans.filters import parse_filter
 from docquarry.sources import log as logs
@@ -133,6 +133,22 @@ def test_admission_and_resume(spark):
     assert feed.deduplicated(changes.unionByName(changes)).count() == 4
 
 
+def test_merged_feeds(spark):
+    a, b = (feed.classify(entries(spark, ops)) for ops in (OPS, OPS[:3]))
+    both = feed.merged({0: a, 1: b})
+    assert both.count() == 7 and feed.deduplicated(both.unionByName(both), F.col("shard")).count() == 7
+    rest = feed.resume_merged({0: a, 1: b}, feed.merged_position({0: 2, 1: 1}, 9), 9)
+    assert sorted((r["shard"], r["lsn"]) for r in rest.collect()) == [(0, 3), (0, 6), (1, 2), (1, 3)]
+    with pytest.raises(Conflict):
+        feed.resume_merged({0: a}, feed.merged_position({0: 2, 1: 1}))
+    with pytest.raises(Conflict):
+        feed.resume_merged({0: a}, feed.merged_position({0: 2}, 1), 2)
+    for bad in (lambda: feed.merged({}), lambda: feed.resume_merged({0: a}, "e30")):
+        with pytest.raises(Refused):
+            bad()
+    assert [r["lsn"] for r in logs.suffix(entries(spark, OPS), 2, 4).collect()] == [3, 4]
+
+
 def test_stream_agrees_with_batch_and_reaches_a_webhook(spark, tmp_path):
     log = logs.Log(spark, str(tmp_path / "c"))
     for v in range(3):
