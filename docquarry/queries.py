@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.engine import Collection
+from docquarry.functions.patch import merge_patch_json
 from docquarry.operators import indexing, paging
 from docquarry.operators.projecting import project_json, project_struct
 from docquarry.plans.requests import parse_sort
@@ -199,6 +200,40 @@ def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.status(docs.df, docs.root, "o_orderpriority")
 
 
+def by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "orders")
+    c.indexes.create("by_customer", "o_custkey")
+    return c.find_by_index({"o_custkey": {"$gte": 5, "$lt": 20}, "o_orderstatus": "F"}).select("doc.o_orderkey")
+
+
+def postings_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "part").documents
+    return indexing.postings(docs.df, docs.root, "p_brand").select(F.col("value").alias("p_brand"), "key")
+
+
+def merge_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    patch = F.when(F.col("event_id") % 3 == 0, '{"k":null,"seen":true}').when(F.col("event_id") % 3 == 1, '{"k":{"n":1,"gone":null}}').otherwise('{"list":[1,null]}')
+    return events.select("event_id", merge_patch_json("props", patch).alias("patched"))
+
+
+def etags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.snapshot(event_log(spark, sf_dir)).select("key", logs.etag().alias("etag"))
+
+
+def embed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "supplier")
+    return c.project(c.find(filter={"s_nationkey": {"$lte": 3}}), "s_suppkey,s_name")
+
+
+def shard_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log dealt to two shards by key, each classified by itself, as one feed after a position in either."""
+    log = event_log(spark, sf_dir)
+    shard = F.col("key").cast("bigint") % 2
+    feeds = {n: feed.classify(log.where(shard == n)) for n in (0, 1)}
+    return feed.resume_merged(feeds, feed.merged_position({0: 4000, 1: 6000})).select("shard", "lsn", "op")
+
+
 def agg_min_max_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return props(spark, sf_dir).totals(metrics="min:k,max:k,sum:k")
 
@@ -287,6 +322,18 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "cdc_filtered": (cdc_filtered, _CHANGES.format(drops=_NO_DROPS) + "SELECT * FROM changes WHERE op IN ('update', 'delete') AND (value IS NULL OR CAST(json_extract(value, '$.k') AS DOUBLE) > 50)"),
     "cdc_resume": (partial(cdc, after=5000), _CHANGES.format(drops=_NO_DROPS) + "SELECT * FROM changes WHERE op IS NOT NULL AND lsn > 5000"),
     "cdc_stream": (cdc_stream, _CHANGES.format(drops=_NO_DROPS) + "SELECT op, count(*) AS n FROM changes WHERE op IS NOT NULL GROUP BY op"),
+    "cdc_shards": (shard_feed, _CHANGES.format(drops=_NO_DROPS) + "SELECT (key::BIGINT % 2)::INTEGER AS shard, lsn, op FROM changes WHERE op IS NOT NULL AND lsn > CASE WHEN key::BIGINT % 2 = 0 THEN 4000 ELSE 6000 END"),
+    "cdc_retention": (lambda spark, sf_dir: cdc(spark, sf_dir).orderBy(F.col("lsn").desc()).limit(1024), _CHANGES.format(drops=_NO_DROPS) + "SELECT * FROM changes WHERE op IS NOT NULL ORDER BY lsn DESC LIMIT 1024"),
+    "log_suffix": (lambda spark, sf_dir: logs.suffix(event_log(spark, sf_dir), 100, 250).select("lsn", "key"), "SELECT event_id AS lsn, user_id::VARCHAR AS key FROM events WHERE event_id > 100 AND event_id <= 250"),
+    "etags": (etags, _SNAPSHOT.format(drops=_NO_DROPS) + """SELECT key, '"1.' || lsn || '"' AS etag FROM newest WHERE n = 1 AND op = 'put'"""),
+    "merge_patch_json": (
+        merge_patch,
+        """SELECT event_id, json_merge_patch(props, CASE event_id % 3 WHEN 0 THEN '{"k":null,"seen":true}' WHEN 1 THEN '{"k":{"n":1,"gone":null}}' ELSE '{"list":[1,null]}' END)::VARCHAR AS patched FROM events""",
+    ),
+    "keys_with_items": (embed_keys, """SELECT s_name AS key, '{"s_name":"' || s_name || '","s_suppkey":' || s_suppkey || '}' AS item FROM supplier WHERE s_nationkey <= 3"""),
+    "find_by_index": (by_index, "SELECT o_orderkey FROM orders WHERE o_custkey >= 5 AND o_custkey < 20 AND o_orderstatus = 'F'"),
+    "index_postings": (postings_keys, "SELECT p_brand, lpad(p_partkey::VARCHAR, 20, '0') AS key FROM part"),
+    "agg_variant_group": (lambda spark, sf_dir: props(spark, sf_dir).totals(group="k", metrics="count"), "SELECT json_extract(props, '$.k')::VARCHAR AS k, count(*) AS count FROM events GROUP BY 1"),
     "index_status": (index_status, "SELECT count(*) AS documents, count(DISTINCT o_orderpriority) AS values FROM orders"),
     "doc_corpus_by_lang": (totals("documents", group="lang", metrics="count,min:n_chars,max:n_chars"), "SELECT lang, count(*) AS count, min(n_chars) AS min_n_chars, max(n_chars) AS max_n_chars FROM documents GROUP BY lang"),
     "labels_quality": (totals("labels", group="quality,toxic", metrics="count"), "SELECT quality, toxic, count(*) AS count FROM labels GROUP BY ALL"),
