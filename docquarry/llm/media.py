@@ -22,7 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import small_batches
@@ -31,10 +31,12 @@ from docquarry.llm.common import small_batches
 CORNERS, RADIUS, TESTS, STEP, LEVELS = 64, 15, 128, 0.85, 4
 #: Bits of a part of a descriptor, under which it stands in a table.
 PART = 21
+#: Corners of a query image that are looked up, the strongest.
+ASKED = 24
 #: Bits in which matching descriptors may differ.
 BITS = 20
 #: Matches that must agree on a transform, within so many pixels of the indexed image.
-AGREE, TOLERANCE = 6, 5.0
+AGREE, TOLERANCE = 5, 5.0
 
 
 def encode_pgm(pixels: np.ndarray) -> bytes:
@@ -156,11 +158,15 @@ def descriptors(images: DataFrame, *, id_col: str = "image_id", image_col: str =
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {_CORNER}")
 
 
-def _tables(found: DataFrame) -> DataFrame:
-    """Each descriptor under each of its parts, three of either half."""
+def _parts(hi: str, lo: str) -> list[Column]:
+    """The parts of a descriptor, three of either half, each told by its number."""
     part = lambda n, of, shift: F.shiftrightunsigned(of, shift).bitwiseAND((1 << PART) - 1).bitwiseOR(F.lit(n << PART))
-    parts = [part(3 * half + k, of, PART * k) for half, of in enumerate(("hi", "lo")) for k in range(3)]
-    return found.select("*", F.explode(F.array(*parts)).alias("key"))
+    return [part(3 * half + k, of, PART * k) for half, of in enumerate((hi, lo)) for k in range(3)]
+
+
+def _tables(found: DataFrame) -> DataFrame:
+    """Each descriptor under each of its parts."""
+    return found.select("*", F.posexplode(F.array(*_parts("hi", "lo"))).alias("part", "key"))
 
 
 def agreeing(q: np.ndarray, p: np.ndarray, tolerance: float = TOLERANCE) -> int:
@@ -176,14 +182,19 @@ def agreeing(q: np.ndarray, p: np.ndarray, tolerance: float = TOLERANCE) -> int:
     return best
 
 
-def find_copies(images: DataFrame, wanted: DataFrame, *, id_col: str = "image_id", image_col: str = "image", bits: int = BITS, agree: int = AGREE) -> DataFrame:
+def find_copies(images: DataFrame, wanted: DataFrame, *, id_col: str = "image_id", image_col: str = "image", bits: int = BITS, agree: int = AGREE, asked_corners: int = ASKED) -> DataFrame:
     """``query_id, id, n_matches, n_agreeing`` of each image that a query image (``wanted``, same columns) is a copy of."""
     index = _tables(descriptors(images, id_col=id_col, image_col=image_col))
-    asked = _tables(descriptors(wanted, id_col=id_col, image_col=image_col))
-    asked = asked.select("key", *(F.col(c).alias(f"q_{c}") for c in ("id", "corner", "x", "y", "scale", "angle", "hi", "lo")))
+    asked = descriptors(wanted, id_col=id_col, image_col=image_col).where(F.col("corner") < asked_corners)
+    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in asked.columns))
+    asked = asked.select("*", F.explode(F.array(*_parts("q_hi", "q_lo"))).alias("q_key"))
     apart = F.bit_count(F.col("hi").bitwiseXOR(F.col("q_hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("q_lo")))
+    # Two descriptors may meet under several parts; they are a match under the first.
+    first = F.lit(True)
+    for n, (mine, its) in enumerate(zip(_parts("hi", "lo"), _parts("q_hi", "q_lo"), strict=True)):
+        first = first & ((F.col("part") <= n) | (mine != its))
+    met = index.join(asked, (F.col("key") == F.col("q_key")) & (apart <= bits) & first & F.col("id").isNotNull() & F.col("q_id").isNotNull())
     place = lambda side: F.array(*(F.col(f"{side}{c}") for c in ("x", "y", "scale", "angle")))
-    met = index.join(asked, "key").where((apart <= bits) & F.col("id").isNotNull() & F.col("q_id").isNotNull())
     matches = met.groupBy("q_id", "id", "q_corner", "corner").agg(F.first(place("q_")).alias("q"), F.first(place("")).alias("p"))
     # Bounded by the corners of two images.
     pairs = matches.groupBy("q_id", "id").agg(F.collect_list(F.struct("q", "p")).alias("matches"), F.count("*").alias("n_matches")).where(F.col("n_matches") >= agree)
