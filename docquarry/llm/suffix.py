@@ -12,8 +12,8 @@ contexts of an anchor piece that has several, is brought together by that piece
 - the remaining suffixes are sorted by a symbol and the rank that follows, and merged with the sample,
 - neighbours in that order are compared over ``LENGTH`` bytes.
 
-Windows equal to a neighbour are repeated. Every step is exact; hashes of 64 bits only deal out, and
-whole contexts are equated by 128 bits.
+Windows equal to a neighbour are repeated. Hashes of pieces only deal out; whole contexts are equated by
+64 bits, but only those of one anchor piece with the same extents.
 
 An anchor piece with more than ``CROWD`` distinct contexts is dealt out further, by the bytes that all
 windows in a narrow range of places share, so no task gets all of a common passage.
@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import small_batches
 
 LENGTH = 200
-PIECE = 64
+PIECE = 32
 #: Distinct contexts of an anchor piece from which they are dealt out further, and the width of the ranges then.
-CROWD, RANGE = 2048, 16
+CROWD, RANGE = 2048, 85
 #: Bytes of a text whose anchors are looked for at a time, and bytes that are suffix-sorted at a time.
 SLICE, BATCH = 1 << 20, 1 << 20
 
@@ -103,7 +103,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     n = len(symbols)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: symbols[i:].tolist()), np.int64)
-    s = np.concatenate([symbols.astype(np.int64), np.zeros(3, np.int64)])
+    s = np.concatenate([symbols, np.zeros(3, symbols.dtype)]).astype(np.int32)
     # A sample at the end stands for the empty suffix, so that the first half of the names ends with the least.
     ones = np.arange(1, n + (n % 3 == 1), 3)
     twos = np.arange(2, n, 3)
@@ -112,12 +112,12 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     a = sample[order]
     new = np.ones(len(a), bool)
     new[1:] = (s[a[1:]] != s[a[:-1]]) | (s[a[1:] + 1] != s[a[:-1] + 1]) | (s[a[1:] + 2] != s[a[:-1] + 2])
-    names = np.empty(len(a), np.int64)
+    names = np.empty(len(a), np.int32)
     names[order] = np.cumsum(new)
     if names.max() < len(names):
         order = suffix_array(names)
         a = sample[order]
-    rank = np.zeros(n + 3, np.int64)
+    rank = np.zeros(n + 3, np.int32)
     rank[a] = np.arange(1, len(a) + 1)
     a = a[a < n]
     # The remaining suffixes by their first symbol and the rank of what follows.
@@ -128,8 +128,9 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     top = np.int64(s.max() + 1)
     if int(top) * int(top) * int(width) < 1 << 62:
         one, two = a[a % 3 == 1], a[a % 3 == 2]
-        below = np.searchsorted(s[one] * width + rank[one + 1], s[rest] * width + rank[rest + 1])
-        key = lambda i: (s[i] * top + s[i + 1]) * width + rank[i + 2]
+        key = lambda i: s[i].astype(np.int64) * width + rank[i + 1]
+        below = np.searchsorted(key(one), key(rest))
+        key = lambda i: (s[i].astype(np.int64) * top + s[i + 1]) * width + rank[i + 2]
         below = below + np.searchsorted(key(two), key(rest))
     else:
         below = _merged_below(s, rank, rest, a)
@@ -164,10 +165,10 @@ def repeated_windows(data: np.ndarray, valid: np.ndarray, more: np.ndarray, leng
 
     ``data``: the contexts, each followed by a separator (0); windows hold no separator.
     """
-    order = suffix_array(data.astype(np.int64) + 1)
+    order = suffix_array(data.astype(np.int32) + 1)
     order = order[valid[order]]
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1)).copy().view("<u8").ravel()
+    words = np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1)).copy().view("<u8").ravel()  # the eight bytes from each place
     same = np.ones(max(0, len(order) - 1), bool)
     left = np.arange(len(same))
     for k in [*range(0, length - 7, 8), length - 8]:
@@ -181,7 +182,8 @@ def repeated_windows(data: np.ndarray, valid: np.ndarray, more: np.ndarray, leng
     return out
 
 
-_CONTEXT = "id {id}, h bigint, piece bigint, anchor int, first int, last int, hi bigint, lo bigint"
+#: ``place`` has the first start, and 16 bits each for how far from it the anchor and the last start are.
+_CONTEXT = "id {id}, h bigint, piece bigint, place bigint, digest bigint"
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -190,7 +192,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def contexts(rows: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
-    """A row per context, with the halves ``hi, lo`` of its digest."""
+    """A row per context."""
+    if length > 1 << 16:
+        raise ValueError("windows are of 65536 bytes at most")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length, piece)
@@ -203,13 +207,13 @@ def contexts(rows: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataF
                     got = anchors.contexts(text)
                     of.append(np.full(len(got[0]), i))
                     found.append(got)
-                    digests += [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(got[2].tolist(), (got[3] + length).tolist(), strict=True)]
+                    digests += [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(got[2].tolist(), (got[3] + length).tolist(), strict=True)]
                 at = pa.array(np.concatenate(of))
-                columns = [np.concatenate(x) for x in zip(*found, strict=True)]
-                halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                key, anchor, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+                place = first << 32 | (anchor - first) << 16 | (last - first)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("id").take(at), some.column("h").take(at), pa.array(columns[0]), *(pa.array(c.astype(np.int32)) for c in columns[1:]), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())],
-                    ["id", "h", "piece", "anchor", "first", "last", "hi", "lo"],
+                    [some.column("id").take(at), some.column("h").take(at), pa.array(key), pa.array(place), pa.array(np.array(digests, np.uint64).view(np.int64))],
+                    ["id", "h", "piece", "place", "digest"],
                 )
 
     return rows.mapInArrow(run, _CONTEXT.format(id=rows.schema["id"].dataType.simpleString()))
@@ -300,11 +304,15 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """``id, h, first, last``: runs of starts whose windows of ``length`` bytes occur elsewhere too."""
     rows = _rows(docs, id_col, text_col)
     found = contexts(rows, length, piece).repartition("piece")
-    same, group = Window.partitionBy("piece", "hi", "lo"), Window.partitionBy("piece")
-    place = F.row_number().over(same.orderBy("id", "h", "first"))
-    judged = found.withColumn("n", F.count("*").over(same)).withColumn("place", place).withColumn("distinct", F.sum(F.when(F.col("place") == 1, 1).otherwise(0)).over(group)).where("n > 1 OR distinct > 1")
+    extents = F.col("place").bitwiseAND(0xFFFFFFFF)
+    same, group = Window.partitionBy("piece", "digest", extents), Window.partitionBy("piece")
+    order = F.row_number().over(same.orderBy("id", "h", "place"))
+    judged = found.withColumn("n", F.count("*").over(same)).withColumn("order", order).withColumn("distinct", F.sum(F.when(F.col("order") == 1, 1).otherwise(0)).over(group)).where("n > 1 OR distinct > 1")
+    first = F.shiftrightunsigned("place", 32).cast("int")
+    judged = judged.withColumn("first", first).withColumn("last", (first + F.col("place").bitwiseAND(0xFFFF)).cast("int"))
     whole = judged.where("n > 1").select("id", "h", "first", "last")
-    asked = judged.where("distinct > 1 AND place = 1").withColumn("more", F.col("n") > 1).withColumn("crowd", F.col("distinct") > crowd)
+    anchor = (first + F.shiftrightunsigned("place", 16).bitwiseAND(0xFFFF)).cast("int")
+    asked = judged.where("distinct > 1 AND order = 1").withColumn("anchor", anchor).withColumn("more", F.col("n") > 1).withColumn("crowd", F.col("distinct") > crowd)
     return whole.unionByName(_sorted_spans(_dealt(rows, asked, length), length))
 
 
