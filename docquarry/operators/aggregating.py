@@ -32,7 +32,8 @@ def _metric(m: Metric, root: Value, scale: int | None) -> dict[str, Column]:
             best = F.max_by(value.json(), F.when(value.exists(), value.sort_key()))
         return {f"{m.kind}_{suffix}": best}
     number = value.number()
-    total = F.sum(number) if scale is None else F.sum(number.cast(f"decimal(38,{scale})")).cast("double")
+    # Whole units add up exactly and as fast as doubles; a sum beyond 64 bits is an error, never a wrong one.
+    total = F.sum(number) if scale is None else F.sum(F.rint(number * 10**scale).cast("bigint")).cast("double") / 10**scale
     sums = {f"sum_{suffix}": total, f"count_{suffix}": F.count(number)}
     return sums | ({f"avg_{suffix}": total / F.when(F.count(number) > 0, F.count(number))} if m.kind == "avg" else {})
 
@@ -42,7 +43,7 @@ def aggregate(df: DataFrame, root: Value, filter: Branch | None, group: list[str
     ``sum_f`` and ``count_f``, or those and ``avg_f``; dots in names become underscores.
 
     Without group fields there is one group, and none if nothing matches. ``budget``: only so many documents
-    in key order are read. ``scale``: decimals in which numbers are summed, exactly and in any order; without
+    in key order are read. ``scale``: decimals to which numbers are rounded and then summed exactly, in any order; without
     it they are summed as doubles. ``names`` renames group fields.
     """
     if budget is not None:
