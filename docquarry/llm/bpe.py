@@ -14,6 +14,7 @@ are read.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from docquarry.llm.common import id_and_bytes, small_batches
 
 #: Entries of a worker's memos (pieces, pairs); a full memo is emptied, results don't depend on it.
-MEMO = 1 << 17
+MEMO = 1 << 18
 #: Pieces longer than this are not kept in the memo.
 MEMO_PIECE = 64
 #: Characters from which a text's pieces are taken one after another instead of all at once.
@@ -60,7 +61,8 @@ class _Pieces(dict[str, bytes]):
         self.bpe = bpe
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.bpe.encode_piece(piece.encode()), "<u4").tobytes()
+        found = self.bpe.encode_piece(piece.encode())
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= MEMO_PIECE:
             if len(self) >= MEMO:
                 self.clear()
@@ -86,22 +88,29 @@ class ByteBPE:
                     self._split[rank] = ranks[halves[0]], ranks[halves[1]]
         self._automaton.make_automaton()
         self._size = [len(token) for token in self.token]
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._shorter: dict[int, int] = {}
+        #: Of a token the longest other one that it begins with and that merges form, -1 if there is none.
+        self._shorter = [self._begins(token) for token in self.token]
+        #: Verdicts by both ranks in one number.
+        self._pairs: dict[int, bool] = {}
         self._pieces = _Pieces(self)
 
+    def _begins(self, token: bytes) -> int:
+        for size in range(len(token) - 1, 0, -1):
+            rank = self.ranks.get(token[:size], -1)
+            if rank >= 0 and (size == 1 or rank in self._split):
+                return rank
+        return -1
+
     def _agree(self, left: int, right: int) -> bool:
-        """Whether the merges of the two tokens' bytes give these two tokens.
+        """Whether the merges of the two tokens' bytes give these two tokens; the verdict is kept.
 
         They do unless something merges across the border before the tokens next to it are complete. So
         both are taken apart from the border outwards, last merge first, and at each step the border's
         neighbours must not form a token earlier than the merge just undone.
         """
-        verdict = self._pairs.get((left, right))
-        if verdict is None:
-            if len(self._pairs) >= MEMO:
-                self._pairs.clear()
-            verdict = self._pairs[left, right] = self._apart(left, right)
+        if len(self._pairs) >= MEMO:
+            self._pairs.clear()
+        verdict = self._pairs[left << 32 | right] = self._apart(left, right)
         return verdict
 
     def _apart(self, left: int, right: int) -> bool:
@@ -117,52 +126,40 @@ class ByteBPE:
                 return True
         return False
 
-    def _next_shorter(self, rank: int) -> int:
-        """The longest token that is a proper prefix and that merges form; -1 if there is none."""
-        found = self._shorter.get(rank)
-        if found is None:
-            token, found = self.token[rank], -1
-            for size in range(len(token) - 1, 0, -1):
-                other = self.ranks.get(token[:size], -1)
-                if other >= 0 and (size == 1 or other in self._split):
-                    found = other
-                    break
-            self._shorter[rank] = found
-        return found
-
     def encode_piece(self, data: bytes) -> list[int]:
         if not data:
             return []
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        size = self._size
-        longest = [-1] * len(data)
+        size, shorter, known, agree = self._size, self._shorter, self._pairs.get, self._agree
+        longest = [-1] * (len(data) + 1)
         for end, rank in self._automaton.iter(data.decode("latin-1")):
             longest[end + 1 - size[rank]] = rank
         usable = bytearray(b"\1") * (len(data) + 1)
         out: list[int] = []
-        at, candidate = 0, longest[0]
-        while at < len(data):
-            if candidate < 0:
-                raise ValueError("the vocabulary lacks a byte")
-            last = out[-1] if out else -1
+        at, last, candidate, n = 0, -1, longest[0], len(data)
+        while at < n:
             while candidate >= 0:
                 end = at + size[candidate]
-                if usable[end] and (last < 0 or self._agree(last, candidate)):
-                    break
-                candidate = self._next_shorter(candidate)
+                if usable[end]:
+                    if last < 0:
+                        break
+                    verdict = known(last << 32 | candidate)
+                    if verdict or verdict is None and agree(last, candidate):
+                        break
+                candidate = shorter[candidate]
             if candidate >= 0:
                 out.append(candidate)
-                at = end
-                candidate = longest[at] if at < len(data) else -1
-            else:
-                if last < 0:
-                    raise ValueError("the vocabulary lacks a byte")
+                at, last, candidate = end, candidate, longest[end]
+            elif last >= 0 and longest[at] >= 0:
+                # No token here agrees with the one before, so that one must be another.
                 usable[at] = 0
-                out.pop()
-                at -= size[last]
-                candidate = last
+                candidate = out.pop()
+                at -= size[candidate]
+                last = out[-1] if out else -1
+            else:
+                raise ValueError("the vocabulary lacks a byte")
         return out
 
     def encode(self, text: str) -> bytes:
