@@ -34,9 +34,9 @@ PART = 21
 #: Corners of a query image that are looked up, the strongest.
 ASKED = 24
 #: Bits in which matching descriptors may differ.
-BITS = 20
+BITS = 14
 #: Matches that must agree on a transform, within so many pixels of the indexed image.
-AGREE, TOLERANCE = 5, 5.0
+AGREE, TOLERANCE = 4, 5.0
 
 
 def encode_pgm(pixels: np.ndarray) -> bytes:
@@ -164,9 +164,19 @@ def _parts(hi: str, lo: str) -> list[Column]:
     return [part(3 * half + k, of, PART * k) for half, of in enumerate((hi, lo)) for k in range(3)]
 
 
-def _tables(found: DataFrame) -> DataFrame:
-    """Each descriptor under each of its parts."""
-    return found.select("*", F.posexplode(F.array(*_parts("hi", "lo"))).alias("part", "key"))
+def _place() -> Column:
+    """Corner (8 bits), x and y in eighths of a pixel (20 each), level (4) and angle (12) in one number."""
+    x, y = (F.round(F.col(c) * 8).cast("bigint").bitwiseAND(0xFFFFF) for c in ("x", "y"))
+    level = F.round(F.log("scale") / float(np.log(1 / STEP))).cast("bigint").bitwiseAND(0xF)
+    angle = F.round(F.col("angle") * (4096 / (2 * np.pi))).cast("bigint").bitwiseAND(0xFFF)
+    up = lambda c, n: F.shiftleft(c, n)
+    return up(F.col("corner").cast("bigint"), 56).bitwiseOR(up(x, 36)).bitwiseOR(up(y, 16)).bitwiseOR(up(level, 12)).bitwiseOR(angle)
+
+
+def _placed(places: list[int]) -> np.ndarray:
+    """Rows ``x, y, scale, angle``."""
+    n = np.array(places, np.int64)
+    return np.column_stack([(n >> 36 & 0xFFFFF) / 8, (n >> 16 & 0xFFFFF) / 8, STEP ** -(n >> 12 & 0xF).astype(float), (n & 0xFFF) * (2 * np.pi / 4096)])
 
 
 def agreeing(q: np.ndarray, p: np.ndarray, tolerance: float = TOLERANCE) -> int:
@@ -184,27 +194,27 @@ def agreeing(q: np.ndarray, p: np.ndarray, tolerance: float = TOLERANCE) -> int:
 
 def find_copies(images: DataFrame, wanted: DataFrame, *, id_col: str = "image_id", image_col: str = "image", bits: int = BITS, agree: int = AGREE, asked_corners: int = ASKED) -> DataFrame:
     """``query_id, id, n_matches, n_agreeing`` of each image that a query image (``wanted``, same columns) is a copy of."""
-    index = _tables(descriptors(images, id_col=id_col, image_col=image_col))
-    asked = descriptors(wanted, id_col=id_col, image_col=image_col).where(F.col("corner") < asked_corners)
-    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in asked.columns))
+    # Few narrow columns: each descriptor goes to six tables.
+    index = descriptors(images, id_col=id_col, image_col=image_col).where("id IS NOT NULL")
+    index = index.select("id", _place().alias("place"), "hi", "lo").select("*", F.explode(F.array(*_parts("hi", "lo"))).alias("key"))
+    asked = descriptors(wanted, id_col=id_col, image_col=image_col).where((F.col("corner") < asked_corners) & F.col("id").isNotNull())
+    asked = asked.select(F.col("id").alias("q_id"), _place().alias("q_place"), F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo"))
     asked = asked.select("*", F.explode(F.array(*_parts("q_hi", "q_lo"))).alias("q_key"))
     apart = F.bit_count(F.col("hi").bitwiseXOR(F.col("q_hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("q_lo")))
     # Two descriptors may meet under several parts; they are a match under the first.
     first = F.lit(True)
     for n, (mine, its) in enumerate(zip(_parts("hi", "lo"), _parts("q_hi", "q_lo"), strict=True)):
-        first = first & ((F.col("part") <= n) | (mine != its))
-    met = index.join(asked, (F.col("key") == F.col("q_key")) & (apart <= bits) & first & F.col("id").isNotNull() & F.col("q_id").isNotNull())
-    place = lambda side: F.array(*(F.col(f"{side}{c}") for c in ("x", "y", "scale", "angle")))
-    matches = met.groupBy("q_id", "id", "q_corner", "corner").agg(F.first(place("q_")).alias("q"), F.first(place("")).alias("p"))
+        first = first & ((F.shiftright("key", PART) <= n) | (mine != its))
+    met = index.join(asked, (F.col("key") == F.col("q_key")) & (apart <= bits) & first)
     # Bounded by the corners of two images.
-    pairs = matches.groupBy("q_id", "id").agg(F.collect_list(F.struct("q", "p")).alias("matches"), F.count("*").alias("n_matches")).where(F.col("n_matches") >= agree)
+    pairs = met.groupBy("q_id", "id").agg(F.collect_set(F.struct("q_place", "place")).alias("matches")).withColumn("n_matches", F.size("matches").cast("bigint")).where(F.col("n_matches") >= agree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = []
             for listed in batch.column("matches"):
                 m = listed.as_py()
-                counts.append(agreeing(np.array([x["q"] for x in m]), np.array([x["p"] for x in m])))
+                counts.append(agreeing(_placed([x["q_place"] for x in m]), _placed([x["place"] for x in m])))
             out = pa.RecordBatch.from_arrays([batch.column("q_id"), batch.column("id"), batch.column("n_matches"), pa.array(counts, pa.int64())], ["query_id", "id", "n_matches", "n_agreeing"])
             yield out.filter(pa.compute.greater_equal(out.column("n_agreeing"), agree))
 
