@@ -34,7 +34,7 @@ PART = 21
 #: Corners of a query image that are looked up, the strongest.
 ASKED = 24
 #: Bits in which matching descriptors may differ.
-BITS = 14
+BITS = 15
 #: Matches that must agree on a transform, within so many pixels of the indexed image.
 AGREE, TOLERANCE = 4, 5.0
 
