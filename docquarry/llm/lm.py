@@ -6,9 +6,9 @@ Within its class a word has its share of the corpus counts. A document's score i
 logarithms of both over all its words.
 
 Fitting covers every document: each task starts from the same weights, passes once over its documents,
-with every ``MASK``-th word of each masked in turn, and hands in its weights and word counts. These are
-added up as integers, so that the order of addition doesn't matter, and the weights are averaged by the
-number of words. What goes to the driver has the size of the model.
+with every word masked once, and hands in its weights and word counts. These are added up as integers, so
+that the order of addition doesn't matter, and the weights are averaged by the number of words; how the
+table is dealt over tasks shows in them. What goes to the driver has the size of the model.
 
 Defined cases: null, empty and wordless texts have no words, the score 0 and no mean; repeated rows are
 counted and scored each; long texts are taken in slices that overlap by ``REACH``; an empty table leaves
@@ -32,8 +32,6 @@ from docquarry.llm.decontaminate import words
 BUCKETS, CLASSES, CONTEXTS, SIZE = 1 << 16, 256, 4096, 16
 REACH = 2
 OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
-#: While fitting, one word of so many is masked; scoring masks each in turn.
-MASK = 8
 BATCH, RATE = 256, 0.2
 #: Words handled at a time.
 SLICE = 4096
@@ -120,13 +118,14 @@ class Trainer:
         p[np.arange(n), classes] -= 1
         p /= n
         dx = (p @ w["out"].T) * (1 - h * h)
-        used, at = np.unique(contexts, return_inverse=True)
-        at = at.reshape(contexts.shape)
-        d_embed = np.zeros((len(used), SIZE), np.float32)
-        d_place = np.empty_like(w["place"])
-        for j in range(contexts.shape[1]):
-            np.add.at(d_embed, at[:, j], dx * w["place"][j])
-            d_place[j] = (dx * w["embed"][contexts[:, j]]).sum(axis=0)
+        # The gradients of an entry stand together after the sort and are summed by stretches.
+        flat = contexts.ravel()
+        order = np.argsort(flat, kind="stable")
+        held = flat[order]
+        starts = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+        used = held[starts]
+        d_embed = np.add.reduceat((dx[:, None, :] * w["place"]).reshape(-1, SIZE)[order], starts, axis=0)
+        d_place = (dx[:, None, :] * w["embed"][contexts]).sum(axis=0)
         d_out, d_bias = h.T @ p, p.sum(axis=0)
         self._update("embed", d_embed, used)
         self._update("place", d_place)
@@ -155,12 +154,12 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> t
         trainer, memo = Trainer(), _Buckets()
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for k, data in enumerate(batch.column("data")):
+            for data in batch.column("data"):
                 text = words(data.as_py())
                 buckets = np.fromiter(map(memo.__getitem__, text), np.int64, len(text))
                 np.add.at(counts, buckets, 1)
                 for contexts, own in _slices(buckets):
-                    trainer.add(contexts[k % MASK :: MASK], own[k % MASK :: MASK] % CLASSES)
+                    trainer.add(contexts, own % CLASSES)
         total = int(counts.sum())
         if not total:
             return

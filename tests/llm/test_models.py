@@ -171,3 +171,9 @@ def test_lm_counts_and_sums(spark):
     by_class = np.bincount(np.arange(lm.BUCKETS) % lm.CLASSES, counts, lm.CLASSES)
     share = [np.log((counts[b] + 0.5) / (by_class[b % lm.CLASSES] + 0.5 * lm.BUCKETS / lm.CLASSES)) for b in buckets]
     assert abs(got[1]["log_likelihood"] - lm.class_log_probs(w, contexts, buckets % lm.CLASSES).sum() - sum(share)) < 1e-4
+
+
+def test_lm_trains_every_word(spark):
+    """One-word documents after the first of a batch are targets too."""
+    w, _ = lm.fit(table(spark, [(0, ""), *((i, "a") for i in range(1, 8))]).coalesce(1))
+    assert w["bias"][lm.zlib.crc32(b"a") % lm.CLASSES] > 0
