@@ -2,8 +2,13 @@
 
 The network looks at ``REACH`` words to the left and to the right of a masked word, whose embeddings are
 weighted by position, summed and squashed, and gives a distribution over ``CLASSES`` classes of words.
-Within its class a word has its share of the corpus counts. A document's score is the sum of the
-logarithms of both over all its words.
+A class holds the buckets that are equal modulo ``CLASSES``, a bucket all words whose hashes agree: within its class
+a bucket has its share of the corpus counts, and within its bucket a word has its own. So every word has a
+probability of its own, and a document's score is the sum of the logarithms of all three over its words.
+
+The vocabulary, each word's exact count, is a table that grows with the corpus and is never gathered:
+words of at least the ``FREQUENT``-th part of the corpus, hence at most so many, are sent to the tasks, the
+others are joined by key. The context table grows with the square root of the number of words.
 
 Fitting covers every document: each task starts from the same weights, passes once over its documents,
 with every word masked once, and hands in its weights and word counts. These are added up as integers, so
@@ -18,51 +23,106 @@ the starting weights and gives no rows.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import id_and_bytes
+from docquarry.llm.common import checkpoint, id_and_bytes
 from docquarry.llm.decontaminate import words
 
-#: Buckets of words, classes of buckets, context entries (one more stands for the border), embedding size.
+#: Buckets of words, classes of buckets, least context entries (one more stands for the border), embedding size.
 BUCKETS, CLASSES, CONTEXTS, SIZE = 1 << 16, 256, 4096, 16
 REACH = 2
 OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
 BATCH, RATE = 256, 0.2
+#: Words of at least this part of the corpus are sent to the tasks.
+FREQUENT = 1 << 16
 #: Words handled at a time.
 SLICE = 4096
 #: Weights are added up as multiples of this fraction.
 UNIT = 1 << 20
 MEMO = 1 << 18
 
-SHAPES = {"embed": (CONTEXTS + 1, SIZE), "place": (2 * REACH, SIZE), "out": (SIZE, CLASSES), "bias": (CLASSES,)}
 
 
-class _Buckets(dict[bytes, int]):
+def _shapes(entries: int) -> dict[str, tuple[int, ...]]:
+    return {"embed": (entries + 1, SIZE), "place": (2 * REACH, SIZE), "out": (SIZE, CLASSES), "bias": (CLASSES,)}
+
+
+class _Codes(dict[bytes, int]):
+    """The hash of a word; its bucket and its context entry are remainders of it."""
+
     def __missing__(self, word: bytes) -> int:
-        bucket = zlib.crc32(word) % BUCKETS
+        code = zlib.crc32(word)
+        if len(self) >= MEMO:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = code
+        return code
+
+
+def _key(word: bytes) -> int:
+    """A signed 64-bit digest, by which a word stands in the vocabulary; never 0."""
+    key = xxhash.xxh3_64_intdigest(word) or 1
+    return key - (1 << 64) if key >> 63 else key
+
+
+class _Rare(dict[bytes, int]):
+    """The key of a word, 0 for the frequent ones, which were sent."""
+
+    def __init__(self, frequent: dict[int, float]) -> None:
+        self.frequent = frequent
+
+    def __missing__(self, word: bytes) -> int:
+        key = _key(word)
+        held = 0 if key in self.frequent else key
+        if len(self) >= MEMO:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = held
+        return held
+
+
+class _Frequent(dict[bytes, float]):
+    """The share of a frequent word in its bucket; for the others the part of it that the bucket gives."""
+
+    def __init__(self, frequent: dict[int, float], in_bucket: np.ndarray) -> None:
+        self.frequent, self.in_bucket = frequent, in_bucket
+
+    def __missing__(self, word: bytes) -> float:
+        share = self.frequent.get(_key(word), 0.0) - float(self.in_bucket[zlib.crc32(word) % BUCKETS])
         if len(self) >= MEMO:
             self.clear()
         if len(word) <= 64:
-            self[word] = bucket
-        return bucket
+            self[word] = share
+        return share
+
 
+def entries_for(distinct: int) -> int:
+    """Context entries for so many distinct words: a power of two, from eight times their square root on."""
+    entries = CONTEXTS
+    while entries * entries < 64 * distinct:
+        entries *= 2
+    return entries
 
-def start_weights() -> dict[str, np.ndarray]:
+
+def start_weights(entries: int = CONTEXTS) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(0)
-    w = {"embed": rng.normal(0, 0.3, SHAPES["embed"]), "place": np.ones(SHAPES["place"]), "out": rng.normal(0, 0.1, SHAPES["out"]), "bias": np.zeros(SHAPES["bias"])}
+    shapes = _shapes(entries)
+    w = {"embed": rng.normal(0, 0.3, shapes["embed"]), "place": np.ones(shapes["place"]), "out": rng.normal(0, 0.1, shapes["out"]), "bias": np.zeros(shapes["bias"])}
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def _contexts(buckets: np.ndarray) -> np.ndarray:
+def _contexts(codes: np.ndarray, entries: int = CONTEXTS) -> np.ndarray:
     """A row per word: the context entries of its neighbours."""
-    edge = np.full(REACH, CONTEXTS)
-    padded = np.concatenate([edge, buckets % CONTEXTS, edge])
-    return np.stack([padded[REACH + o : REACH + o + len(buckets)] for o in OFFSETS], axis=1)
+    edge = np.full(REACH, entries)
+    padded = np.concatenate([edge, codes % entries, edge])
+    return np.stack([padded[REACH + o : REACH + o + len(codes)] for o in OFFSETS], axis=1)
 
 
 def _hidden(w: dict[str, np.ndarray], contexts: np.ndarray) -> np.ndarray:
@@ -85,8 +145,8 @@ def class_log_probs(w: dict[str, np.ndarray], contexts: np.ndarray, classes: np.
 class Trainer:
     """One pass of AdaGrad in batches."""
 
-    def __init__(self) -> None:
-        self.w = start_weights()
+    def __init__(self, entries: int = CONTEXTS) -> None:
+        self.w = start_weights(entries)
         self.seen = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.w.items()}
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.n = 0
@@ -105,18 +165,19 @@ class Trainer:
                 self._step(contexts[i : i + BATCH], classes[i : i + BATCH])
 
     def _update(self, name: str, g: np.ndarray, at=...) -> None:
-        self.seen[name][at] += g * g
-        self.w[name][at] -= RATE * g / np.sqrt(self.seen[name][at])
+        seen = self.seen[name][at] + g * g
+        self.seen[name][at] = seen
+        self.w[name][at] -= RATE * g / np.sqrt(seen)
 
     def _step(self, contexts: np.ndarray, classes: np.ndarray) -> None:
         w, n = self.w, len(classes)
         h = _hidden(w, contexts)
-        p = h @ w["out"] + w["bias"]
+        p = h @ w["out"]
+        p += w["bias"]
         p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), classes] -= 1
-        p /= n
+        p *= 1 / (p.sum(axis=1, keepdims=True) * n)
+        p[np.arange(n), classes] -= 1 / n
         dx = (p @ w["out"].T) * (1 - h * h)
         # The gradients of an entry stand together after the sort and are summed by stretches.
         flat = contexts.ravel()
@@ -133,39 +194,65 @@ class Trainer:
         self._update("bias", d_bias)
 
 
-def _slices(buckets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Contexts and buckets, a bounded number of words at a time."""
-    for i in range(0, len(buckets), SLICE):
-        low, high = max(0, i - REACH), min(len(buckets), i + SLICE + REACH)
-        some = buckets[low:high]
-        inside = slice(i - low, i - low + min(SLICE, len(buckets) - i))
+def _slices(codes: np.ndarray, entries: int = CONTEXTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Contexts and codes, a bounded number of words at a time."""
+    for i in range(0, len(codes), SLICE):
+        low, high = max(0, i - REACH), min(len(codes), i + SLICE + REACH)
+        some = codes[low:high]
+        inside = slice(i - low, i - low + min(SLICE, len(codes) - i))
         # The words beyond the slice are there as neighbours; the border is that of the text.
-        yield _contexts(some)[inside], some[inside]
+        yield _contexts(some, entries)[inside], some[inside]
 
 
-def _lengths() -> list[int]:
-    return [int(np.prod(s)) for s in SHAPES.values()]
+def vocabulary(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """``key, bucket, n`` of each distinct word: its digest, its bucket and its exact count."""
 
+    def out(counts: Counter[bytes]) -> pa.RecordBatch:
+        held = [(_key(w), zlib.crc32(w) % BUCKETS, n) for w, n in counts.items()]
+        kinds = (pa.int64(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*held, strict=True), kinds, strict=True)], ["key", "bucket", "n"])
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Weights of the network and counts of the buckets, from all documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[bytes] = Counter()
+        for batch in batches:
+            for data in batch.column("data"):
+                counts.update(words(data.as_py()))
+                if len(counts) >= MEMO:
+                    yield out(counts)
+                    counts.clear()
+        if counts:
+            yield out(counts)
+
+    rows = id_and_bytes(docs, text_col, text_col).select("data")
+    return rows.mapInArrow(run, "key bigint, bucket int, n bigint").groupBy("key", "bucket").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distinct: int | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Weights of the network and counts of the buckets, from all documents; ``distinct`` is their number of words, where known."""
+    entries = entries_for(vocabulary(docs, text_col=text_col).count() if distinct is None else distinct)
+    shapes = _shapes(entries)
+    lengths = [int(np.prod(x)) for x in shapes.values()]
+
+    def flat(w: dict[str, np.ndarray]) -> np.ndarray:
+        return np.concatenate([w[k].ravel() for k in shapes]).astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, memo = Trainer(), _Buckets()
+        trainer, memo = Trainer(entries), _Codes()
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for data in batch.column("data"):
                 text = words(data.as_py())
-                buckets = np.fromiter(map(memo.__getitem__, text), np.int64, len(text))
-                np.add.at(counts, buckets, 1)
-                for contexts, own in _slices(buckets):
+                codes = np.fromiter(map(memo.__getitem__, text), np.int64, len(text))
+                np.add.at(counts, codes % BUCKETS, 1)
+                for contexts, own in _slices(codes, entries):
                     trainer.add(contexts, own % CLASSES)
         total = int(counts.sum())
         if not total:
             return
         trainer.flush()
-        flat = np.concatenate([trainer.w[k].ravel() for k in SHAPES]).astype(np.float64)
-        values = np.concatenate([counts, np.rint(flat * UNIT).astype(np.int64) * total])
+        # What a task has moved: entries that none of its words touched are not handed in.
+        moved = flat(trainer.w) - flat(start_weights(entries))
+        values = np.concatenate([counts, np.rint(moved * UNIT).astype(np.int64) * total])
         held = np.flatnonzero(values)
         for i in range(0, len(held), 1 << 15):
             some = held[i : i + (1 << 15)]
@@ -174,38 +261,89 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> t
     handed_in = id_and_bytes(docs, id_col, text_col).mapInArrow(run, "place int, value bigint")
     # Weights times words can leave 64 bits in a large corpus; the sums have more.
     summed = handed_in.groupBy("place").agg(F.sum(F.col("value").cast("decimal(20,0)")).alias("value")).toArrow()
-    values = np.zeros(BUCKETS + sum(_lengths()))
-    values[summed.column("place").to_numpy()] = [float(v.as_py()) for v in summed.column("value")]
+    values = np.zeros(BUCKETS + sum(lengths))
+    values[summed.column("place").to_numpy()] = summed.column("value").cast(pa.float64()).to_numpy()
     counts = values[:BUCKETS]
     total = counts.sum()
+    start = start_weights(entries)
     if not total:
-        return start_weights(), counts
-    parts = np.split(values[BUCKETS:] / total / UNIT, np.cumsum(_lengths())[:-1])
-    return {k: x.reshape(SHAPES[k]).astype(np.float32) for k, x in zip(SHAPES, parts, strict=True)}, counts
+        return start, counts
+    parts = np.split(flat(start) + values[BUCKETS:] / total / UNIT, np.cumsum(lengths)[:-1])
+    return {k: x.reshape(shapes[k]).astype(np.float32) for k, x in zip(shapes, parts, strict=True)}, counts
 
 
-def score(docs: DataFrame, model: tuple[dict[str, np.ndarray], np.ndarray] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row: its id, ``n_words``, ``log_likelihood`` (natural logarithm) and ``mean_log_likelihood``."""
-    weights, counts = fit(docs, id_col=id_col, text_col=text_col) if model is None else model
+def _rare_sums(docs: DataFrame, known: DataFrame, frequent, text_col: str) -> DataFrame:
+    """``h, units``: for each text, by its hash, the logarithms of the counts of its rare words, summed in multiples of 1 / UNIT."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.xxhash64(text).alias("h"), text.cast("binary").alias("data"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Rare(frequent.value)
+        for batch in batches:
+            at, keys, times, firsts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+            for i, data in enumerate(batch.column("data")):
+                text = words(data.as_py())
+                found = np.fromiter(map(memo.__getitem__, text), np.int64, len(text))
+                k, n = np.unique(found[found != 0], return_counts=True)
+                at.append(np.full(len(k), i))
+                keys.append(k)
+                times.append(n.astype(np.int32))
+                firsts.append((np.arange(len(k)) == 0).astype(np.int32))
+            h = batch.column("h").take(pa.array(np.concatenate(at)))
+            yield pa.RecordBatch.from_arrays([h, *(pa.array(np.concatenate(x)) for x in (keys, times, firsts))], ["h", "key", "times", "first"])
+
+    # Rows with one text add up to a multiple of its sum; the first words tell how many there are.
+    one = F.col("times") * F.coalesce(F.round(F.log(F.col("n")) * UNIT), F.lit(round(np.log(0.5) * UNIT))).cast("bigint")
+    met = rows.mapInArrow(run, "h bigint, key bigint, times int, first int").join(known.select("key", "n"), "key", "left")
+    return met.groupBy("h").agg(F.sum(one).alias("units"), F.sum("first").alias("rows")).select("h", F.expr("units div rows").alias("units"))
+
+
+def score(
+    docs: DataFrame,
+    model: tuple[dict[str, np.ndarray], np.ndarray] | None = None,
+    *,
+    known: DataFrame | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    frequent: int = FREQUENT,
+) -> DataFrame:
+    """A row per row: its id, ``n_words``, ``log_likelihood`` (natural logarithm) and ``mean_log_likelihood``.
+
+    ``known`` is the vocabulary, of ``docs`` if none is given; a word that it lacks counts as half an occurrence.
+    """
+    known = checkpoint(vocabulary(docs, text_col=text_col) if known is None else known)
+    held = known.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).toArrow()
+    in_bucket = np.zeros(BUCKETS)
+    in_bucket[held.column("bucket").to_numpy()] = held.column("n").to_numpy()
+    least = in_bucket.sum() / frequent
+    often = known.where(F.col("n") >= float(least)).select("key", "n").toArrow()
+    logs = {k: float(np.log(n)) for k, n in zip(often.column("key").to_pylist(), often.column("n").to_pylist(), strict=True)}
+    weights, counts = fit(docs, id_col=id_col, text_col=text_col, distinct=sum(held.column("distinct").to_pylist())) if model is None else model
     by_class = np.bincount(np.arange(BUCKETS) % CLASSES, counts, CLASSES)
     share = np.log(counts + 0.5) - np.log(by_class + 0.5 * BUCKETS / CLASSES)[np.arange(BUCKETS) % CLASSES]
-    sent = docs.sparkSession.sparkContext.broadcast((weights, share))
+    sc = docs.sparkSession.sparkContext
+    sent, sent_often = sc.broadcast((weights, share, np.log(np.maximum(in_bucket, 0.5)))), sc.broadcast(logs)
     rows = id_and_bytes(docs, id_col, text_col)
+    # The bytes are those of the text, so their hash is the one that the rare words have.
+    rows = rows.select("id", "data", F.xxhash64(F.col("data").cast("string")).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, within = sent.value
-        memo = _Buckets()
+        w, within, logs_in_bucket = sent.value
+        entries = len(w["embed"]) - 1
+        memo, own_share = _Codes(), _Frequent(sent_often.value, logs_in_bucket)
         for batch in batches:
             lengths, sums = [], []
             for data in batch.column("data"):
                 text = words(data.as_py())
-                buckets = np.fromiter(map(memo.__getitem__, text), np.int64, len(text))
-                total = 0.0
-                for contexts, own in _slices(buckets):
-                    total += float(class_log_probs(w, contexts, own % CLASSES).sum(dtype=np.float64)) + float(within[own].sum())
+                codes = np.fromiter(map(memo.__getitem__, text), np.int64, len(text))
+                total = float(np.fromiter(map(own_share.__getitem__, text), np.float64, len(text)).sum())
+                for contexts, own in _slices(codes, entries):
+                    total += float(class_log_probs(w, contexts, own % CLASSES).sum(dtype=np.float64)) + float(within[own % BUCKETS].sum())
                 lengths.append(len(text))
                 sums.append(total)
-            means = [s / n if n else None for s, n in zip(sums, lengths, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lengths, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], [id_col, "n_words", "log_likelihood", "mean_log_likelihood"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(lengths, pa.int64()), pa.array(sums, pa.float64())], ["id", "h", "n_words", "total"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_words bigint, log_likelihood double, mean_log_likelihood double")
+    kind = rows.schema["id"].dataType.simpleString()
+    scored = rows.mapInArrow(run, f"id {kind}, h bigint, n_words bigint, total double").join(_rare_sums(docs, known, sent_often, text_col), "h", "left")
+    total = F.col("total") + F.coalesce(F.col("units"), F.lit(0)) / UNIT
+    return scored.select(F.col("id").alias(id_col), "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood"))

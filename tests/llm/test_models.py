@@ -177,3 +177,37 @@ def test_lm_trains_every_word(spark):
     """One-word documents after the first of a batch are targets too."""
     w, _ = lm.fit(table(spark, [(0, ""), *((i, "a") for i in range(1, 8))]).coalesce(1))
     assert w["bias"][lm.zlib.crc32(b"a") % lm.CLASSES] > 0
+
+
+def one_bucket():
+    """Two words with one bucket."""
+    seen = {}
+    for i in range(10_000):
+        w = f"w{i}"
+        if (b := lm.zlib.crc32(w.encode()) % lm.BUCKETS) in seen:
+            return seen[b], w
+        seen[b] = w
+    raise AssertionError
+
+
+def test_lm_words_of_one_bucket_have_their_own_counts(spark):
+    often, seldom = one_bucket()
+    rows = [(i, often) for i in range(50)] + [(50, seldom)]
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm.score(table(spark, rows)).collect()}
+    assert abs(got[0] - got[50] - np.log(50)) < 1e-4
+
+
+def test_lm_joined_words_score_as_sent_ones(spark):
+    rows = [(i, t) for i, t in ODD] + [(20, " ".join(one_bucket()) + " fox"), (20, " ".join(one_bucket()) + " fox"), (21, one_bucket()[1])]
+    docs = table(spark, rows)
+    model = lm.fit(docs)
+    sent, joined = (sorted(map(tuple, lm.score(docs, model, frequent=f).collect()), key=lambda r: str(r[:2])) for f in (lm.FREQUENT, 3))
+    assert len(sent) == len(rows) and [r[:2] for r in sent] == [r[:2] for r in joined]
+    assert all(abs(a[2] - b[2]) < 1e-4 * (1 + a[1]) for a, b in zip(sent, joined, strict=True))
+
+
+def test_lm_gathers_more_from_more_words(spark):
+    docs = table(spark, [(i, " ".join(f"v{i}x{j}" for j in range(1000))) for i in range(300)] + [(300, "v0x0 V0X0"), (301, None)])
+    known = lm.vocabulary(docs)
+    assert known.count() == 300_000 and known.agg(F.max("n"), F.sum("n")).first() == (3, 300_002)
+    assert lm.entries_for(100) == lm.CONTEXTS < lm.entries_for(300_000) < lm.entries_for(30_000_000)
