@@ -27,12 +27,10 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.common import small_batches
 
-#: Corners kept of an image, radius of a patch, tests, scale from a level to the next, levels.
-CORNERS, RADIUS, TESTS, STEP, LEVELS = 64, 15, 128, 0.85, 4
+#: Radius of a patch, tests, scale from a level to the next, levels.
+RADIUS, TESTS, STEP, LEVELS = 15, 128, 0.85, 4
 #: Bits of a part of a descriptor, under which it stands in a table.
 PART = 21
-#: Corners of a query image that are looked up, the strongest.
-ASKED = 24
 #: Bits in which matching descriptors may differ.
 BITS = 15
 #: Matches that must agree on a transform, within so many pixels of the indexed image.
@@ -126,7 +124,8 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         strength.append(r)
     if not found:
         return np.zeros((0, 4)), np.zeros((0, 2), np.int64)
-    order = np.argsort(-np.concatenate(strength), kind="stable")[:CORNERS]
+    # All of them, so their number grows with the image; the strongest come first.
+    order = np.argsort(-np.concatenate(strength), kind="stable")
     return np.concatenate(found)[order], np.concatenate(bits)[order].view(">i8").astype(np.int64).reshape(-1, 2)
 
 
@@ -165,18 +164,18 @@ def _parts(hi: str, lo: str) -> list[Column]:
 
 
 def _place() -> Column:
-    """Corner (8 bits), x and y in eighths of a pixel (20 each), level (4) and angle (12) in one number."""
+    """x and y in eighths of a pixel (20 bits each), level (6) and angle (12) in one number, which tells a corner of an image."""
     x, y = (F.round(F.col(c) * 8).cast("bigint").bitwiseAND(0xFFFFF) for c in ("x", "y"))
-    level = F.round(F.log("scale") / float(np.log(1 / STEP))).cast("bigint").bitwiseAND(0xF)
+    level = F.round(F.log("scale") / float(np.log(1 / STEP))).cast("bigint").bitwiseAND(0x3F)
     angle = F.round(F.col("angle") * (4096 / (2 * np.pi))).cast("bigint").bitwiseAND(0xFFF)
     up = lambda c, n: F.shiftleft(c, n)
-    return up(F.col("corner").cast("bigint"), 56).bitwiseOR(up(x, 36)).bitwiseOR(up(y, 16)).bitwiseOR(up(level, 12)).bitwiseOR(angle)
+    return up(x, 38).bitwiseOR(up(y, 18)).bitwiseOR(up(level, 12)).bitwiseOR(angle)
 
 
 def _placed(places: list[int]) -> np.ndarray:
     """Rows ``x, y, scale, angle``."""
     n = np.array(places, np.int64)
-    return np.column_stack([(n >> 36 & 0xFFFFF) / 8, (n >> 16 & 0xFFFFF) / 8, STEP ** -(n >> 12 & 0xF).astype(float), (n & 0xFFF) * (2 * np.pi / 4096)])
+    return np.column_stack([(n >> 38 & 0xFFFFF) / 8, (n >> 18 & 0xFFFFF) / 8, STEP ** -(n >> 12 & 0x3F).astype(float), (n & 0xFFF) * (2 * np.pi / 4096)])
 
 
 def agreeing(q: np.ndarray, p: np.ndarray, tolerance: float = TOLERANCE) -> int:
@@ -192,12 +191,12 @@ def agreeing(q: np.ndarray, p: np.ndarray, tolerance: float = TOLERANCE) -> int:
     return best
 
 
-def find_copies(images: DataFrame, wanted: DataFrame, *, id_col: str = "image_id", image_col: str = "image", bits: int = BITS, agree: int = AGREE, asked_corners: int = ASKED) -> DataFrame:
+def find_copies(images: DataFrame, wanted: DataFrame, *, id_col: str = "image_id", image_col: str = "image", bits: int = BITS, agree: int = AGREE) -> DataFrame:
     """``query_id, id, n_matches, n_agreeing`` of each image that a query image (``wanted``, same columns) is a copy of."""
     # Few narrow columns: each descriptor goes to six tables.
     index = descriptors(images, id_col=id_col, image_col=image_col).where("id IS NOT NULL")
     index = index.select("id", _place().alias("place"), "hi", "lo").select("*", F.explode(F.array(*_parts("hi", "lo"))).alias("key"))
-    asked = descriptors(wanted, id_col=id_col, image_col=image_col).where((F.col("corner") < asked_corners) & F.col("id").isNotNull())
+    asked = descriptors(wanted, id_col=id_col, image_col=image_col).where(F.col("id").isNotNull())
     asked = asked.select(F.col("id").alias("q_id"), _place().alias("q_place"), F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo"))
     asked = asked.select("*", F.explode(F.array(*_parts("q_hi", "q_lo"))).alias("q_key"))
     apart = F.bit_count(F.col("hi").bitwiseXOR(F.col("q_hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("q_lo")))

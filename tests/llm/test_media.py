@@ -72,3 +72,18 @@ def test_odd_images(spark):
     assert media.find_copies(extra.limit(0), extra).count() == 0 and media.descriptors(extra.limit(0)).count() == 0
     drawn = media.drawn(spark.createDataFrame([(1, [0.5] * 64), (2, None), (3, []), (None, [1.0])], "vec_id bigint, embedding array<float>"))
     assert drawn.where("image IS NULL").count() == 3
+
+
+def test_corners_grow_with_the_image(spark):
+    """An image pasted into a larger one is found, whose strongest corners lie elsewhere."""
+    originals = pictures(6, 3)
+    rng = np.random.default_rng(5)
+    pasted = []
+    for p in originals:
+        busy = np.kron(rng.integers(0, 2, (40, 40)) * 255, np.ones((8, 8))).astype(np.uint8)
+        busy[100:196, 120:216] = p
+        pasted.append(busy)
+    assert len(media.describe(pasted[0].astype(np.float32))[0]) > 4 * 64
+    rows = lambda ps: frame(spark, [(i, media.encode_pgm(p)) for i, p in enumerate(ps)])
+    got = {(r["query_id"], r["id"]) for r in media.find_copies(rows(originals), rows(pasted)).collect()}
+    assert len({q for q, i in got if q == i}) >= 5
