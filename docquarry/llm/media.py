@@ -7,8 +7,11 @@ of six parts of ``PART`` bits, so that two within five bits surely meet, those w
 others rarely. Pairs that differ in at most ``BITS`` bits are matches, and an image is a copy of another if
 enough matches agree on one similarity transform; not every corner has to meet for that.
 
-Images are binary PGM (P5, one byte a pixel). Defined cases: null, empty or unreadable images and such
-without corners match nothing but are counted with 0 corners; repeated rows each are images of their own
+Images with the same bytes are copies too, so that those too small for a corner aren't lost; by no corners at all
+``n_matches`` and ``n_agreeing`` are 0.
+
+Images are binary PGM (P5, one byte a pixel). Defined cases: null, empty or unreadable images and such of
+one tone match nothing; those without corners match only the same bytes; repeated rows each are images of their own
 and are listed for each; an empty table gives no rows. Only the id and image columns are read.
 
 The search takes a set of query images against all rows; the tables are joined by key, not broadcast.
@@ -16,6 +19,7 @@ The search takes a set of query images against all rows; the tables are joined b
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -27,8 +31,8 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.common import small_batches
 
-#: Radius of a patch, tests, scale from a level to the next, levels.
-RADIUS, TESTS, STEP, LEVELS = 15, 128, 0.85, 4
+#: Radius of a patch, tests, scale from a level to the next; levels go on until one is smaller than a patch.
+RADIUS, TESTS, STEP = 15, 128, 0.85
 #: Bits of a part of a descriptor, under which it stands in a table.
 PART = 21
 #: Bits in which matching descriptors may differ.
@@ -103,10 +107,10 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``x, y, scale, angle`` of each corner in pixels of the image, and its descriptor as two 64-bit halves."""
     places, dy, dx = _pattern()
     found, bits, strength = [], [], []
-    level, factor = image, 1.0
-    for k in range(LEVELS):
-        if k:
-            level, factor = scaled(level, STEP), factor * STEP
+    below, factor = image, 1.0
+    while min(below.shape) > 2 * (RADIUS + 1):
+        level, here = below, factor
+        below, factor = scaled(level, STEP), factor * STEP
         ys, xs, r = _corners(level)
         if not len(ys):
             continue
@@ -120,7 +124,7 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             at.append(smooth[np.rint(ys[:, None] + py).astype(int), np.rint(xs[:, None] + px).astype(int)])
         bits.append(np.packbits(at[0] < at[1], axis=1))
         size_y, size_x = image.shape[0] / level.shape[0], image.shape[1] / level.shape[1]
-        found.append(np.stack([(xs + 0.5) * size_x, (ys + 0.5) * size_y, np.full(len(xs), 1 / factor), angle], axis=1))
+        found.append(np.stack([(xs + 0.5) * size_x, (ys + 0.5) * size_y, np.full(len(xs), 1 / here), angle], axis=1))
         strength.append(r)
     if not found:
         return np.zeros((0, 4)), np.zeros((0, 2), np.int64)
@@ -187,10 +191,29 @@ def agreeing(q: np.ndarray, p: np.ndarray, tolerance: float = TOLERANCE) -> int:
         dx, dy = q[:, 0] - q[k, 0], q[:, 1] - q[k, 1]
         off = np.hypot(p[k, 0] + cos[k] * dx - sin[k] * dy - p[:, 0], p[k, 1] + sin[k] * dx + cos[k] * dy - p[:, 1])
         inside = off <= tolerance
+        # No more corners than matches: most need no further look.
+        if inside.sum() <= best:
+            continue
         best = max(best, min(len(np.unique(q[inside, :2].round(1), axis=0)), len(np.unique(p[inside, :2].round(1), axis=0))))
     return best
 
 
+def _digests(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
+    """``id, digest`` of the bytes of each readable image that has more than one tone."""
+    rows = small_batches(images).select(F.col(id_col).alias("id"), F.col(image_col).cast("binary").alias("image")).where("id IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for data in batch.column("image"):
+                pixels = decode_pgm(data.as_py())
+                digests.append(None if pixels is None or pixels.min() == pixels.max() else hashlib.sha256(data.as_py()).digest())
+            out = pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary())], ["id", "digest"])
+            yield out.filter(out.column("digest").is_valid())
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary")
+
+
 def find_copies(images: DataFrame, wanted: DataFrame, *, id_col: str = "image_id", image_col: str = "image", bits: int = BITS, agree: int = AGREE) -> DataFrame:
     """``query_id, id, n_matches, n_agreeing`` of each image that a query image (``wanted``, same columns) is a copy of."""
     # Few narrow columns: each descriptor goes to six tables.
@@ -218,7 +241,10 @@ def find_copies(images: DataFrame, wanted: DataFrame, *, id_col: str = "image_id
             yield out.filter(pa.compute.greater_equal(out.column("n_agreeing"), agree))
 
     kind = pairs.schema["id"].dataType.simpleString()
-    return pairs.mapInArrow(run, f"query_id {kind}, id {kind}, n_matches bigint, n_agreeing bigint")
+    found = pairs.mapInArrow(run, f"query_id {kind}, id {kind}, n_matches bigint, n_agreeing bigint")
+    alike = _digests(images, id_col, image_col).join(_digests(wanted, id_col, image_col).withColumnRenamed("id", "query_id"), "digest")
+    found = found.unionByName(alike.select("query_id", "id", F.lit(0).cast("bigint").alias("n_matches"), F.lit(0).cast("bigint").alias("n_agreeing")))
+    return found.groupBy("query_id", "id").agg(F.max("n_matches").alias("n_matches"), F.max("n_agreeing").alias("n_agreeing"))
 
 
 #: Side of a drawn vector, and the wave lengths that it is drawn with.

@@ -87,3 +87,23 @@ def test_corners_grow_with_the_image(spark):
     rows = lambda ps: frame(spark, [(i, media.encode_pgm(p)) for i, p in enumerate(ps)])
     got = {(r["query_id"], r["id"]) for r in media.find_copies(rows(originals), rows(pasted)).collect()}
     assert len({q for q, i in got if q == i}) >= 5
+
+
+@pytest.mark.parametrize("factor", (0.5, 2.0))
+def test_resized_copies_are_found(spark, factor):
+    originals = [np.kron(p, np.ones((2, 2), np.uint8)) if factor < 1 else p for p in pictures(4, 6)]
+    resized = [media.scaled(p.astype(np.float32), factor).astype(np.uint8) for p in originals]
+    rows = lambda ps: frame(spark, [(i, media.encode_pgm(p)) for i, p in enumerate(ps)])
+    got = {(r["query_id"], r["id"]) for r in media.find_copies(rows(originals), rows(resized)).collect()}
+    assert len({q for q, i in got if q == i}) >= 3
+
+
+def test_a_third_of_the_size_has_a_level(spark):
+    p = np.kron(pictures(1, 6)[0], np.ones((3, 3), np.uint8)).astype(np.float32)
+    assert media.describe(p)[0][:, 2].max() > 6
+
+
+def test_tiny_images_match_their_own_bytes(spark):
+    icon = media.encode_pgm(np.arange(64).reshape(8, 8))
+    got = media.find_copies(frame(spark, [(1, icon), (2, media.encode_pgm(np.eye(8)))]), frame(spark, [(7, icon)])).collect()
+    assert [tuple(r) for r in got] == [(7, 1, 0, 0)]
