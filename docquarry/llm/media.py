@@ -2,41 +2,55 @@
 
 Each image is reduced step by step; on each level corners are found by the Harris measure. A corner gets
 an orientation (towards the centre of brightness around it) and a descriptor of 128 binary tests, each of
-two smoothed pixels at places turned by that orientation. Descriptors meet in Hamming tables: under each
-of six parts of ``PART`` bits, so that two within five bits surely meet, those within ``BITS`` mostly, and
-others rarely. Pairs that differ in at most ``BITS`` bits are matches, and an image is a copy of another if
-enough matches agree on one similarity transform; not every corner has to meet for that.
+two smoothed pixels at places turned by that orientation. Descriptors meet in Hamming tables: one under
+each two of their six parts of ``PART`` bits, so that two within four bits surely meet, those within
+``BITS`` mostly, and others hardly ever. Pairs that differ in at most ``BITS`` bits are matches, and an
+image is a copy of another if enough matches agree on one similarity transform; not every corner has to
+meet for that. Query images are also described on the levels in between, so that the scales of a copy and
+its original are never far apart.
 
-Images with the same bytes are copies too, so that those too small for a corner aren't lost; by no corners at all
-``n_matches`` and ``n_agreeing`` are 0.
+Images with the same bytes are one class, told by its digest: their descriptors are one row from before the
+shuffle, links are between classes, and the ids come back by membership. Copies by the same bytes alone,
+without corners (those too small for one), have 0 as ``n_matches`` and ``n_agreeing``.
+
+The index rows that leave a task are those whose keys some query may have: a bitmap of the queries' keys,
+``BITMAP`` bits whatever their number, is sent to the tasks. A full bitmap lets every row pass.
 
 Images are binary PGM (P5, one byte a pixel). Defined cases: null, empty or unreadable images and such of
 one tone match nothing; those without corners match only the same bytes; repeated rows each are images of their own
-and are listed for each; an empty table gives no rows. Only the id and image columns are read.
-
-The search takes a set of query images against all rows; the tables are joined by key, not broadcast.
+and are listed for each; images with a null id are not listed; very large images are described so many
+corners at a time; an empty table gives no rows. Only the id and image columns are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import small_batches
+from docquarry.llm.common import checkpoint, small_batches
 
 #: Radius of a patch, tests, scale from a level to the next; levels go on until one is smaller than a patch.
 RADIUS, TESTS, STEP = 15, 128, 0.85
-#: Bits of a part of a descriptor, under which it stands in a table.
-PART = 21
+#: Bits of a part of a descriptor, and the two parts of each table.
+PART, PARTS = 21, 6
+TABLES = list(combinations(range(PARTS), 2))
 #: Bits in which matching descriptors may differ.
-BITS = 15
+BITS = 10
+#: Bits of the map of the queries' keys, a power of two.
+BITMAP = 1 << 26
+#: Corners described at a time.
+SLICE = 4096
+#: Rows from which a task hands a batch on.
+ROWS = 1 << 14
 #: Matches that must agree on a transform, within so many pixels of the indexed image.
 AGREE, TOLERANCE = 4, 5.0
 
@@ -103,83 +117,138 @@ def _corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ys, xs, r[ys, xs]
 
 
-def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``x, y, scale, angle`` of each corner in pixels of the image, and its descriptor as two 64-bit halves."""
+def _tests(level: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Angle and descriptor bytes of each corner of a level."""
     places, dy, dx = _pattern()
-    found, bits, strength = [], [], []
-    below, factor = image, 1.0
-    while min(below.shape) > 2 * (RADIUS + 1):
-        level, here = below, factor
-        below, factor = scaled(level, STEP), factor * STEP
-        ys, xs, r = _corners(level)
-        if not len(ys):
-            continue
-        disc = level[ys[:, None] + dy, xs[:, None] + dx]
+    smooth, angles, bits = _box(level, 2), [], []
+    for i in range(0, len(ys), SLICE):
+        y, x = ys[i : i + SLICE, None], xs[i : i + SLICE, None]
+        disc = level[y + dy, x + dx]
         angle = np.arctan2((disc * dy).sum(1), (disc * dx).sum(1))
         cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
-        smooth = _box(level, 2)
         at = []
         for p in places:
             px, py = p[:, 0] * cos - p[:, 1] * sin, p[:, 0] * sin + p[:, 1] * cos
-            at.append(smooth[np.rint(ys[:, None] + py).astype(int), np.rint(xs[:, None] + px).astype(int)])
+            at.append(smooth[np.rint(y + py).astype(int), np.rint(x + px).astype(int)])
+        angles.append(angle)
         bits.append(np.packbits(at[0] < at[1], axis=1))
-        size_y, size_x = image.shape[0] / level.shape[0], image.shape[1] / level.shape[1]
-        found.append(np.stack([(xs + 0.5) * size_x, (ys + 0.5) * size_y, np.full(len(xs), 1 / here), angle], axis=1))
-        strength.append(r)
+    return np.concatenate(angles), np.concatenate(bits)
+
+
+def describe(image: np.ndarray, fine: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """``x, y, scale, angle`` of each corner in pixels of the image, and its descriptor as two 64-bit halves.
+
+    All corners count, so their number grows with the image. ``fine`` adds the levels halfway between.
+    """
+    found, bits = [], []
+    for below, factor in [(image, 1.0)] + ([(scaled(image, STEP**0.5), STEP**0.5)] if fine else []):
+        while min(below.shape) > 2 * (RADIUS + 1):
+            level, here = below, factor
+            below, factor = scaled(level, STEP), factor * STEP
+            ys, xs, _ = _corners(level)
+            if not len(ys):
+                continue
+            angle, code = _tests(level, ys, xs)
+            bits.append(code)
+            size_y, size_x = image.shape[0] / level.shape[0], image.shape[1] / level.shape[1]
+            found.append(np.stack([(xs + 0.5) * size_x, (ys + 0.5) * size_y, np.full(len(xs), 1 / here), angle], axis=1))
     if not found:
         return np.zeros((0, 4)), np.zeros((0, 2), np.int64)
-    # All of them, so their number grows with the image; the strongest come first.
-    order = np.argsort(-np.concatenate(strength), kind="stable")
-    return np.concatenate(found)[order], np.concatenate(bits)[order].view(">i8").astype(np.int64).reshape(-1, 2)
+    return np.concatenate(found), np.concatenate(bits).view(">i8").astype(np.int64).reshape(-1, 2)
+
+
+def table_keys(codes: np.ndarray) -> np.ndarray:
+    """A row per descriptor: its key in each table, two parts and the number of the table."""
+    halves, mask = codes.view(np.uint64), np.uint64((1 << PART) - 1)
+    part = [halves[:, n // 3] >> np.uint64(PART * (n % 3)) & mask for n in range(PARTS)]
+    return np.stack([np.uint64(k << 2 * PART) | part[i] << np.uint64(PART) | part[j] for k, (i, j) in enumerate(TABLES)], axis=1).view(np.int64)
+
+
+def bitmap_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each key in the map."""
+    x = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return (x & np.uint64(BITMAP - 1)).view(np.int64), (x >> np.uint64(64 - BITMAP.bit_length() + 1)).view(np.int64)
+
+
+def _packed(places: np.ndarray) -> np.ndarray:
+    """x and y in eighths of a pixel (20 bits each), half level (6) and angle (12) in one number, which tells a corner of an image."""
+    x, y = (np.rint(places[:, k] * 8).astype(np.int64) & 0xFFFFF for k in (0, 1))
+    level = np.rint(2 * np.log(places[:, 2]) / np.log(1 / STEP)).astype(np.int64) & 0x3F
+    angle = np.rint(places[:, 3] * (4096 / (2 * np.pi))).astype(np.int64) & 0xFFF
+    return x << 38 | y << 18 | level << 12 | angle
+
+
+def _placed(places: list[int]) -> np.ndarray:
+    """Rows ``x, y, scale, angle``."""
+    n = np.array(places, np.int64)
+    return np.column_stack([(n >> 38 & 0xFFFFF) / 8, (n >> 18 & 0xFFFFF) / 8, STEP ** -((n >> 12 & 0x3F) / 2), (n & 0xFFF) * (2 * np.pi / 4096)])
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.sha256(data).digest()[:16]
+
 
+def _readable(data: bytes | None) -> np.ndarray | None:
+    pixels = decode_pgm(data)
+    return None if pixels is None or pixels.min() == pixels.max() else pixels
 
-_CORNER = "corner int, x float, y float, scale float, angle float, hi bigint, lo bigint"
 
+def descriptors(images: DataFrame, *, image_col: str = "image", fine: bool = False, asked=None) -> DataFrame:
+    """A row for each corner of a readable image and each table: ``digest, place, hi, lo, key``.
 
-def descriptors(images: DataFrame, *, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
-    """A row per corner: ``id, corner, x, y, scale, angle, hi, lo``."""
-    rows = small_batches(images).select(F.col(id_col).alias("id"), F.col(image_col).cast("binary").alias("image"))
+    ``asked``: a broadcast bitmap; rows whose key is not in it are left out.
+    """
+    rows = small_batches(images).select(F.col(image_col).cast("binary").alias("image"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None if asked is None else np.frombuffer(asked.value, np.uint8)
+        ready: list[pa.RecordBatch] = []
+
+        def together() -> pa.RecordBatch:
+            table = pa.Table.from_batches(ready).combine_chunks()
+            ready.clear()
+            return table.to_batches()[0]
+
         for batch in batches:
-            of, corners, places, codes = [], [], [], []
-            for i, data in enumerate(batch.column("image")):
-                pixels = decode_pgm(data.as_py())
+            # Of the same bytes in a batch one is described.
+            for data in dict.fromkeys(batch.column("image").to_pylist()):
+                pixels = _readable(data)
                 if pixels is None:
                     continue
-                p, c = describe(pixels)
-                of.append(np.full(len(p), i))
-                corners.append(np.arange(len(p), dtype=np.int32))
-                places.append(p)
-                codes.append(c)
-            if not of:
-                continue
-            at, p, c = pa.array(np.concatenate(of)), np.concatenate(places).astype(np.float32), np.concatenate(codes)
-            columns = [batch.column("id").take(at), pa.array(np.concatenate(corners)), *(pa.array(p[:, k].copy()) for k in range(4)), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "corner", "x", "y", "scale", "angle", "hi", "lo"])
-
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {_CORNER}")
-
+                corners, codes = describe(pixels, fine)
+                keys = table_keys(codes)
+                use = np.ones(keys.shape, bool)
+                if held is not None:
+                    for at in bitmap_places(keys):
+                        use &= (held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                of, table = np.nonzero(use)
+                if not len(of):
+                    continue
+                columns = [pa.array([_digest(data)] * len(of), pa.binary()), *(pa.array(x) for x in (_packed(corners)[of], codes[of, 0], codes[of, 1], keys[of, table]))]
+                ready.append(pa.RecordBatch.from_arrays(columns, ["digest", "place", "hi", "lo", "key"]))
+                if sum(x.num_rows for x in ready) >= ROWS:
+                    yield together()
+        if ready:
+            yield together()
 
-def _parts(hi: str, lo: str) -> list[Column]:
-    """The parts of a descriptor, three of either half, each told by its number."""
-    part = lambda n, of, shift: F.shiftrightunsigned(of, shift).bitwiseAND((1 << PART) - 1).bitwiseOR(F.lit(n << PART))
-    return [part(3 * half + k, of, PART * k) for half, of in enumerate((hi, lo)) for k in range(3)]
+    return rows.mapInArrow(run, "digest binary, place bigint, hi bigint, lo bigint, key bigint").distinct()
 
 
-def _place() -> Column:
-    """x and y in eighths of a pixel (20 bits each), level (6) and angle (12) in one number, which tells a corner of an image."""
-    x, y = (F.round(F.col(c) * 8).cast("bigint").bitwiseAND(0xFFFFF) for c in ("x", "y"))
-    level = F.round(F.log("scale") / float(np.log(1 / STEP))).cast("bigint").bitwiseAND(0x3F)
-    angle = F.round(F.col("angle") * (4096 / (2 * np.pi))).cast("bigint").bitwiseAND(0xFFF)
-    up = lambda c, n: F.shiftleft(c, n)
-    return up(x, 38).bitwiseOR(up(y, 18)).bitwiseOR(up(level, 12)).bitwiseOR(angle)
+def _bitmap(keys: DataFrame) -> bytes:
+    """The map of the keys; what reaches the driver is ``BITMAP`` bits at most."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bitmap_places(batch.column("key").to_numpy())))], ["at"])
 
-def _placed(places: list[int]) -> np.ndarray:
-    """Rows ``x, y, scale, angle``."""
-    n = np.array(places, np.int64)
-    return np.column_stack([(n >> 38 & 0xFFFFF) / 8, (n >> 18 & 0xFFFFF) / 8, STEP ** -(n >> 12 & 0x3F).astype(float), (n & 0xFFF) * (2 * np.pi / 4096)])
+    blocks = keys.select("key").mapInArrow(run, "at bigint").groupBy(F.expr("at div 32768").alias("block")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
+    out = bytearray(BITMAP // 8)
+    for block, bits in blocks.toLocalIterator():
+        out[block * 4096 : (block + 1) * 4096] = bits
+    return bytes(out)
 
 
 def agreeing(q: np.ndarray, p: np.ndarray, tolerance: float = TOLERANCE) -> int:
@@ -198,38 +267,32 @@ def agreeing(q: np.ndarray, p: np.ndarray, tolerance: float = TOLERANCE) -> int:
     return best
 
 
-def _digests(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
-    """``id, digest`` of the bytes of each readable image that has more than one tone."""
+def members(images: DataFrame, *, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
+    """``id, digest`` of each image; the digest is null if the image can't be read or has one tone."""
     rows = small_batches(images).select(F.col(id_col).alias("id"), F.col(image_col).cast("binary").alias("image")).where("id IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests = []
-            for data in batch.column("image"):
-                pixels = decode_pgm(data.as_py())
-                digests.append(None if pixels is None or pixels.min() == pixels.max() else hashlib.sha256(data.as_py()).digest())
-            out = pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary())], ["id", "digest"])
-            yield out.filter(out.column("digest").is_valid())
+            digests = [None if _readable(data) is None else _digest(data) for data in batch.column("image").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary())], ["id", "digest"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary")
 
 
-def find_copies(images: DataFrame, wanted: DataFrame, *, id_col: str = "image_id", image_col: str = "image", bits: int = BITS, agree: int = AGREE) -> DataFrame:
-    """``query_id, id, n_matches, n_agreeing`` of each image that a query image (``wanted``, same columns) is a copy of."""
-    # Few narrow columns: each descriptor goes to six tables.
-    index = descriptors(images, id_col=id_col, image_col=image_col).where("id IS NOT NULL")
-    index = index.select("id", _place().alias("place"), "hi", "lo").select("*", F.explode(F.array(*_parts("hi", "lo"))).alias("key"))
-    asked = descriptors(wanted, id_col=id_col, image_col=image_col).where(F.col("id").isNotNull())
-    asked = asked.select(F.col("id").alias("q_id"), _place().alias("q_place"), F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo"))
-    asked = asked.select("*", F.explode(F.array(*_parts("q_hi", "q_lo"))).alias("q_key"))
+def links(images: DataFrame, wanted: DataFrame, *, image_col: str = "image", bits: int = BITS, agree: int = AGREE) -> DataFrame:
+    """``q_digest, digest, n_matches, n_agreeing`` of each two classes, one of query images (``wanted``), that are copies with corners."""
+    asked = checkpoint(descriptors(wanted, image_col=image_col, fine=True).toDF("q_digest", "q_place", "q_hi", "q_lo", "q_key"))
+    sent = images.sparkSession.sparkContext.broadcast(_bitmap(asked.select(F.col("q_key").alias("key"))))
+    index = descriptors(images, image_col=image_col, asked=sent)
     apart = F.bit_count(F.col("hi").bitwiseXOR(F.col("q_hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("q_lo")))
-    # Two descriptors may meet under several parts; they are a match under the first.
-    first = F.lit(True)
-    for n, (mine, its) in enumerate(zip(_parts("hi", "lo"), _parts("q_hi", "q_lo"), strict=True)):
-        first = first & ((F.shiftright("key", PART) <= n) | (mine != its))
-    met = index.join(asked, (F.col("key") == F.col("q_key")) & (apart <= bits) & first)
+    # Two descriptors may meet in several tables; they are a match in that of the first two parts that agree.
+    part = lambda n, hi, lo: F.shiftrightunsigned(lo if n // 3 else hi, PART * (n % 3)).bitwiseAND((1 << PART) - 1)
+    agreeing_parts = sum((F.when(part(n, "hi", "lo") == part(n, "q_hi", "q_lo"), 1 << n).otherwise(0) for n in range(PARTS)), F.lit(0))
+    first = [next((k for k, (i, j) in enumerate(TABLES) if m >> i & 1 and m >> j & 1), -1) for m in range(1 << PARTS)]
+    here = F.element_at(F.lit(first), agreeing_parts + 1) == F.shiftrightunsigned("key", 2 * PART)
+    met = index.join(asked, (F.col("key") == F.col("q_key")) & (apart <= bits) & here)
     # Bounded by the corners of two images.
-    pairs = met.groupBy("q_id", "id").agg(F.collect_set(F.struct("q_place", "place")).alias("matches")).withColumn("n_matches", F.size("matches").cast("bigint")).where(F.col("n_matches") >= agree)
+    pairs = met.groupBy("q_digest", "digest").agg(F.collect_set(F.struct("q_place", "place")).alias("matches")).withColumn("n_matches", F.size("matches").cast("bigint")).where(F.col("n_matches") >= agree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,14 +300,36 @@ def find_copies(images: DataFrame, wanted: DataFrame, *, id_col: str = "image_id
             for listed in batch.column("matches"):
                 m = listed.as_py()
                 counts.append(agreeing(_placed([x["q_place"] for x in m]), _placed([x["place"] for x in m])))
-            out = pa.RecordBatch.from_arrays([batch.column("q_id"), batch.column("id"), batch.column("n_matches"), pa.array(counts, pa.int64())], ["query_id", "id", "n_matches", "n_agreeing"])
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("q_digest", "digest", "n_matches")), pa.array(counts, pa.int64())], ["q_digest", "digest", "n_matches", "n_agreeing"])
             yield out.filter(pa.compute.greater_equal(out.column("n_agreeing"), agree))
 
-    kind = pairs.schema["id"].dataType.simpleString()
-    found = pairs.mapInArrow(run, f"query_id {kind}, id {kind}, n_matches bigint, n_agreeing bigint")
-    alike = _digests(images, id_col, image_col).join(_digests(wanted, id_col, image_col).withColumnRenamed("id", "query_id"), "digest")
-    found = found.unionByName(alike.select("query_id", "id", F.lit(0).cast("bigint").alias("n_matches"), F.lit(0).cast("bigint").alias("n_agreeing")))
-    return found.groupBy("query_id", "id").agg(F.max("n_matches").alias("n_matches"), F.max("n_agreeing").alias("n_agreeing"))
+    return pairs.mapInArrow(run, "q_digest binary, digest binary, n_matches bigint, n_agreeing bigint")
+
+
+def _all_links(images: DataFrame, wanted: DataFrame, image_col: str, bits: int, agree: int, classes: DataFrame, asked: DataFrame) -> DataFrame:
+    """``links`` and those between the same bytes."""
+    alike = asked.select("digest").distinct().join(classes.select("digest"), "digest").select(F.col("digest").alias("q_digest"), "digest", F.expr("0L AS n_matches"), F.expr("0L AS n_agreeing"))
+    found = links(images, wanted, image_col=image_col, bits=bits, agree=agree).unionByName(alike)
+    return found.groupBy("q_digest", "digest").agg(F.max("n_matches").alias("n_matches"), F.max("n_agreeing").alias("n_agreeing"))
+
+
+def find_copies(images: DataFrame, wanted: DataFrame, *, id_col: str = "image_id", image_col: str = "image", bits: int = BITS, agree: int = AGREE) -> DataFrame:
+    """``query_id, id, n_matches, n_agreeing`` of each image that a query image (``wanted``, same columns) is a copy of."""
+    own, asked = (members(x, id_col=id_col, image_col=image_col).where("digest IS NOT NULL") for x in (images, wanted))
+    found = _all_links(images, wanted, image_col, bits, agree, own.select("digest").distinct(), asked)
+    listed = asked.withColumnsRenamed({"id": "query_id", "digest": "q_digest"})
+    return found.join(own, "digest").join(listed, "q_digest").select("query_id", "id", "n_matches", "n_agreeing").distinct()
+
+
+def count_copies(images: DataFrame, wanted: DataFrame, *, id_col: str = "image_id", image_col: str = "image", bits: int = BITS, agree: int = AGREE) -> DataFrame:
+    """A row per query image: ``query_id``, ``copy_of`` (the least id of its copies, null without), ``n_copies`` (rows), ``n_classes``
+    (of different bytes) and ``n_agreeing`` (the most). Classes are counted, never expanded."""
+    own, asked = (members(x, id_col=id_col, image_col=image_col) for x in (images, wanted))
+    classes = own.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    found = _all_links(images, wanted, image_col, bits, agree, classes, asked.where("digest IS NOT NULL"))
+    counted = found.join(classes, "digest").groupBy("q_digest").agg(F.min("least").alias("copy_of"), F.sum("n").alias("n_copies"), F.count("*").alias("n_classes"), F.max("n_agreeing").alias("n_agreeing"))
+    n = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return asked.join(counted, F.col("digest") == F.col("q_digest"), "left").select(F.col("id").alias("query_id"), "copy_of", n("n_copies"), n("n_classes"), n("n_agreeing"))
 
 
 #: Side of a drawn vector, and the wave lengths that it is drawn with.
@@ -282,7 +367,7 @@ def edited(pixels: np.ndarray, kind: int, seed: int) -> np.ndarray:
 
 
 def drawn(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", edit: bool = False) -> DataFrame:
-    """``id`` and ``image`` of each vector; with ``edit`` an edited copy, the edit chosen by the id."""
+    """``id`` and ``image`` of each vector; with ``edit`` an edited copy, the edit chosen by the id or, if that is no integer, its checksum."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,8 +377,9 @@ def drawn(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
                 for n, v in zip(some.column("id").to_pylist(), some.column("vector").to_pylist(), strict=True):
                     pixels = None if n is None or not v or None in v else picture(v)
                     if pixels is not None and edit:
-                        pixels = edited(pixels, n // 100 % 4, n)
+                        seed = n if isinstance(n, int) else zlib.crc32(str(n).encode())
+                        pixels = edited(pixels, seed // 100 % 4, abs(seed))
                     images.append(None if pixels is None else encode_pgm(pixels))
                 yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(images, pa.binary())], [id_col, "image"])
 
-    return rows.mapInArrow(run, f"`{id_col}` bigint, image binary")
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, image binary")

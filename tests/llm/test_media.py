@@ -68,8 +68,13 @@ def test_odd_images(spark):
     odd = [(1, good), (1, good), (2, None), (3, b""), (4, b"no image"), (5, media.encode_pgm(np.zeros((50, 50)))), (6, media.encode_pgm(np.ones((3, 3)))), (None, good)]
     extra = frame(spark, odd).selectExpr("*", "1 AS id", "2 AS key", "3 AS hi")
     got = media.find_copies(extra, extra)
-    assert {(r["query_id"], r["id"]) for r in got.collect()} == {(1, 1)}
+    assert [(r["query_id"], r["id"]) for r in got.collect()] == [(1, 1)]
     assert media.find_copies(extra.limit(0), extra).count() == 0 and media.descriptors(extra.limit(0)).count() == 0
+    counted = sorted((tuple(r)[:4] for r in media.count_copies(extra, extra).collect()), key=str)
+    # The null id is no image; both rows of id 1 are copies of both; the icon of one tone and what can't be read are of none.
+    assert counted == [(1, 1, 2, 1), (1, 1, 2, 1), *((n, None, 0, 0) for n in range(2, 7))]
+    named = media.drawn(spark.createDataFrame([("a", [0.5, 0.1] * 32)], "vec_id string, embedding array<float>"), edit=True)
+    assert [r["vec_id"] for r in named.collect()] == ["a"]
     drawn = media.drawn(spark.createDataFrame([(1, [0.5] * 64), (2, None), (3, []), (None, [1.0])], "vec_id bigint, embedding array<float>"))
     assert drawn.where("image IS NULL").count() == 3
 
