@@ -49,6 +49,8 @@ BITS = 10
 BITMAP = 1 << 26
 #: Corners described at a time.
 SLICE = 4096
+#: Query images that meet the index together.
+BLOCK = 256
 #: Rows from which a task hands a batch on.
 ROWS = 1 << 14
 #: Matches that must agree on a transform, within so many pixels of the indexed image.
@@ -290,18 +292,31 @@ def links(images: DataFrame, wanted: DataFrame, *, image_col: str = "image", bit
     agreeing_parts = sum((F.when(part(n, "hi", "lo") == part(n, "q_hi", "q_lo"), 1 << n).otherwise(0) for n in range(PARTS)), F.lit(0))
     first = [next((k for k, (i, j) in enumerate(TABLES) if m >> i & 1 and m >> j & 1), -1) for m in range(1 << PARTS)]
     here = F.element_at(F.lit(first), agreeing_parts + 1) == F.shiftrightunsigned("key", 2 * PART)
-    met = index.join(asked, (F.col("key") == F.col("q_key")) & (apart <= bits) & here)
-    # Bounded by the corners of two images.
-    pairs = met.groupBy("q_digest", "digest").agg(F.collect_set(F.struct("q_place", "place")).alias("matches")).withColumn("n_matches", F.size("matches").cast("bigint")).where(F.col("n_matches") >= agree)
+    # Query images that share a descriptor meet the index as one row, so many blocks of them give so many rows at most.
+    blocks = max(1, -(-asked.select("q_digest").distinct().count() // BLOCK))
+    block = F.pmod(F.xxhash64("q_digest"), F.lit(blocks)).alias("block")
+    held = asked.groupBy(block, "q_key", "q_hi", "q_lo").agg(F.collect_list(F.struct("q_digest", "q_place")).alias("holders"))
+    met = index.join(held, (F.col("key") == F.col("q_key")) & (apart <= bits) & here)
+    # Bounded by the corners of an image and of a block; each corner of the image that a copy needs is a row.
+    pairs = met.groupBy("block", "digest").agg(F.collect_list(F.struct("place", "holders")).alias("met")).where(F.size("met") >= agree).select("digest", "met")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = []
-            for listed in batch.column("matches"):
-                m = listed.as_py()
-                counts.append(agreeing(_placed([x["q_place"] for x in m]), _placed([x["place"] for x in m])))
-            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("q_digest", "digest", "n_matches")), pa.array(counts, pa.int64())], ["q_digest", "digest", "n_matches", "n_agreeing"])
-            yield out.filter(pa.compute.greater_equal(out.column("n_agreeing"), agree))
+            out: list[tuple[bytes, bytes, int, int]] = []
+            for digest, rows in zip(batch.column("digest").to_pylist(), batch.column("met"), strict=True):
+                of: dict[bytes, set[tuple[int, int]]] = {}
+                for x in rows.as_py():
+                    for q in x["holders"]:
+                        of.setdefault(q["q_digest"], set()).add((q["q_place"], x["place"]))
+                for q_digest, matches in of.items():
+                    if len(matches) >= agree:
+                        mine, its = zip(*sorted(matches), strict=True)
+                        n = agreeing(_placed(list(mine)), _placed(list(its)))
+                        if n >= agree:
+                            out.append((q_digest, digest, len(matches), n))
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["q_digest", "digest", "n_matches", "n_agreeing"])
 
     return pairs.mapInArrow(run, "q_digest binary, digest binary, n_matches bigint, n_agreeing bigint")
 
