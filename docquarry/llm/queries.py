@@ -67,7 +67,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.without_repeats(documents(spark, sf_dir))
     size = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, x: n + x["stop"] - x["start"])
     listed = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["stop"])), ",")
-    return found.select("doc_id", F.col("n_bytes").cast("bigint"), size.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), listed.alias("spans"))
+    return found.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), listed.alias("spans"))
 
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -131,24 +131,35 @@ FROM docs LEFT JOIN summed USING (r)"""
 )
 
 # Occurrences in the order of their rank; texts that agree in id and text are one document.
-OP10_SQL = r"""
+_SPACE = r" \t\r\x0b\f"
+_SENTENCE_SQL = rf"(?:[^.!?。！？]+|[.!?]+[^\n{_SPACE}.!?。！？])+[.!?]*[。！？]?|[.!?]+[。！？]?|[。！？]"
+_WORDS_SQL = rf"array_to_string(regexp_extract_all(translate(%s, {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), ' ')"
+OP10_SQL = rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
-pieces AS (
-  SELECT doc_id, r, i, p[i] AS p, coalesce(list_sum(list_transform(p[1:i - 1], lambda x: strlen(x))), 0) AS ofs
-  FROM (SELECT doc_id, r, regexp_extract_all(t, '\n|[^\n.!?]*[.!?]+|[^\n.!?]+') AS p FROM docs), unnest(range(1, len(p) + 1)) AS u(i)),
+lines AS (
+  SELECT doc_id, r, i, p[i] AS p, coalesce(list_sum(list_transform(p[1:i - 1], lambda x: strlen(x) + 1)), 0) AS ofs
+  FROM (SELECT doc_id, r, string_split(t, chr(10)) AS p FROM docs), unnest(range(1, len(p) + 1)) AS u(i)),
+whole AS (SELECT *, {_WORDS_SQL % "p"} AS w FROM lines),
+sentences AS (
+  SELECT doc_id, r, i, s[k] AS p, ofs + coalesce(list_sum(list_transform(s[1:k - 1], lambda x: strlen(x))), 0) AS ofs, w AS of
+  FROM (SELECT *, regexp_extract_all(p, '{_SENTENCE_SQL}') AS s FROM whole WHERE w <> ''), unnest(range(1, len(s) + 1)) AS u(k)),
 units AS (
-  SELECT doc_id, r, ofs + strlen(p) - strlen(ltrim(p, E' \t\r\x0b\f')) AS start, ofs + strlen(p) AS stop, regexp_extract_all(translate(p, LETTERS), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM pieces WHERE p <> chr(10)),
-ranked AS (SELECT doc_id, r, start, stop, row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, start) AS n FROM units WHERE len(w) >= 5),
-removed AS (
-  SELECT r, sum(stop - start) AS n_removed, count(*) AS n_spans, string_agg(start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start) AS spans
-  FROM ranked WHERE n > 1 GROUP BY r),
-kept AS (
-  SELECT p.r, string_agg(CASE WHEN n > 1 THEN p.gap ELSE p.p END, '' ORDER BY p.i) AS kept
-  FROM (SELECT r, i, p, ofs + strlen(p) AS stop, p[1:length(p) - length(ltrim(p, E' \t\r\x0b\f'))] AS gap FROM pieces) AS p LEFT JOIN ranked USING (r, stop) GROUP BY p.r)
-SELECT doc_id, strlen(t) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(spans, '') AS spans
-FROM docs LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
-""".replace("LETTERS", _LETTERS)
+  SELECT doc_id, r, i, true AS is_line, ofs + strlen(p) - strlen(ltrim(p, E'{_SPACE}')) AS start, ofs + strlen(p) AS stop, w FROM whole WHERE w <> ''
+  UNION ALL
+  SELECT doc_id, r, i, false, ofs + strlen(p) - strlen(ltrim(p, E'{_SPACE}')), ofs + strlen(p), w
+  FROM (SELECT *, {_WORDS_SQL % "p"} AS w FROM sentences) WHERE strlen(w) < strlen(of) AND (strlen(w) >= 40 OR len(string_split(w, ' ')) >= 5)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, start) AS n FROM units),
+gone AS (
+  SELECT r, start, stop FROM (SELECT *, max(is_line) OVER (PARTITION BY r, i) AS line_gone FROM ranked WHERE n > 1) WHERE is_line OR NOT line_gone),
+removed AS (SELECT r, list([start, stop] ORDER BY start) AS g FROM gone GROUP BY r),
+spans AS (
+  SELECT r, list_sum(list_transform(g, lambda x: x[2] - x[1])) AS n_removed, len(g) AS n_spans, array_to_string(list_transform(g, lambda x: x[1]::BIGINT || ':' || x[2]::BIGINT), ',') AS spans,
+    list_concat([0], list_transform(g, lambda x: x[2])) AS a, list_transform(g, lambda x: x[1]) AS b FROM removed)
+SELECT doc_id, strlen(t) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN n_spans IS NULL THEN sha256(t) ELSE sha256(array_to_string(list_transform(range(1, len(a) + 1), lambda k: decode(encode(t)[a[k] + 1:coalesce(b[k], strlen(t))])), '')) END AS kept_sha256,
+  coalesce(spans, '') AS spans
+FROM docs LEFT JOIN spans USING (r)
+"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_copies": op1_media_copies,

@@ -2,12 +2,12 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 
 from docquarry.llm import lines, suffix
-from docquarry.llm.decontaminate import words
 from tests.llm.common import ODD, SF, empty, odd, ordered, table, texts
 
 
@@ -74,15 +74,47 @@ def test_substrings_of_the_tables(spark):
     assert suffix.without_repeats(empty(spark)).count() == 0
 
 
+def plain_units(data):
+    """Start, stop and words of the units, by characters."""
+    text, ascii_words = data.decode(), re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    place = lambda i: len(text[:i].encode())
+    out, at = [], 0
+
+    def unit(i, j):
+        while i < j and text[i] in " \t\r\x0b\f":
+            i += 1
+        return place(i), place(j), ascii_words.findall(text[i:j].translate(lower))
+
+    for line in text.split("\n"):
+        whole = unit(at, at + len(line))
+        if whole[2]:
+            out.append(whole)
+            cuts = [0]
+            for k, c in enumerate(line, 1):
+                following = line[k : k + 1]
+                if c in "。！？" or (c in ".!?" and (not following or following in " \t\r\x0b\f")) or (c in ".!?" and following in "。！？"):
+                    if not (c in ".!?" and following and following in "。！？"):
+                        cuts.append(k)
+            cuts.append(len(line))
+            for i, j in zip(cuts, cuts[1:]):
+                u = unit(at + i, at + j)
+                if u[2] != whole[2] and (len(u[2]) >= 5 or len(" ".join(u[2]).encode()) >= 40):
+                    out.append(u)
+        at += len(line) + 1
+    return out
+
+
 def plain_lines(docs):
     seen, out = set(), []
     # Null ids rank first; rows that agree in id and text are one document.
     for d, t in sorted(set(docs), key=lambda x: (x[0] is not None, x[0] or 0)):
         spans = []
-        for start, stop, digest in lines.units(t):
-            if digest in seen:
+        for start, stop, unit in plain_units(t):
+            if tuple(unit) in seen:
                 spans.append((start, stop))
-            seen.add(digest)
+            seen.add(tuple(unit))
+        spans = sorted(x for x in spans if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in spans))
         out += [(d, t, spans)] * docs.count((d, t))
     return out
 
@@ -97,7 +129,11 @@ def test_lines(spark):
         (5, ""),
         (6, f"{sentence}\n" * 300),
         (6, f"{sentence}\n" * 300),
-        (7, "É à la carte dix mots. é à la carte dix mots."),
+        (7, "É à la carte dix mots. é à la carte dix mots.\nAll rights reserved\n这是三份文件里都有的同一句话。"),
+        (8, "All rights reserved"),
+        (9, "这是三份文件里都有的同一句话。新的\nall rights reserved!"),
+        (10, "一个用来测试没有空格的文字的很长的句子。再来一句话"),
+        (11, "Kept 3.14 only here. 一个用来测试没有空格的文字的很长的句子。"),
     ]
     data = [(d, (t or "").encode()) for d, t in docs]
     for df, rows in ((table(spark, docs), data), (odd(spark).where("doc_id IS NOT NULL"), [(d, (t or "").encode()) for d, t in ODD if d is not None]), (spark.read.parquet(f"{SF}/documents.parquet"), texts(spark))):
@@ -111,10 +147,14 @@ def test_lines(spark):
         assert ordered((r["doc_id"], str([tuple(x) for x in r["removed"]]), bytes(r["kept"])) for r in got) == ordered(want)
     got = {r["doc_id"]: bytes(r["kept"]).decode() for r in lines.without_repeats(table(spark, docs)).collect()}
     assert got[3] == "short line. " and got[2] == "short line.\n" and got[1].startswith(sentence)
+    assert got[8] == "" and got[9] == "新的\n" and got[11] == "Kept 3.14 only here. "
     assert lines.without_repeats(odd(spark)).count() == len(ODD) and lines.without_repeats(empty(spark)).count() == 0
 
 
 def test_units():
-    found = list(lines.units(b"a b c. One two three four five! six\n  seven eight nine ten eleven"))
-    assert [(a, b) for a, b, _ in found] == [(7, 31), (38, 65)]
-    assert len(words(b"a b c.")) < lines.MIN_WORDS
+    data = b"a b c. One two three four five! six\n  seven eight 9.10 eleven\n...\n"
+    assert [(a, b) for a, b, _ in lines.units(data)] == [(0, 35), (7, 31), (38, 61)]
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choices(["word ", "a", "é", ".", "!", "。", "？", " ", "\n", "\t", "句子句子句子句子", "one two three four five"], k=rng.randint(0, 40)))
+        assert [(a, b) for a, b, _ in lines.units(text.encode())] == [(a, b) for a, b, _ in plain_units(text.encode())], text
