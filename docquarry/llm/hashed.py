@@ -63,17 +63,17 @@ class Extractor(dict):
         return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, grade: Column, extractor: Callable[[], Extractor], *, id_col: str, text_col: str, label_id: str, sample: int) -> tuple[list[np.ndarray], np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, grade: Column, extractor: Callable[[], Extractor], *, id_col: str, text_col: str, label_id: str, sample: int, join: Callable[[str], Column] = F.max) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and grades of up to ``sample`` labelled documents, in a fixed order.
 
-    A document with several labels takes the largest; null ids and grades are left out; of labelled rows
+    A document with several labels takes what ``join`` makes of them; of several documents with one id one is taken; null ids and grades are left out; of labelled rows
     with equal features and grade one stays, so that copies don't outweigh the rest.
     """
     chosen = (
         labels.select(F.col(label_id).alias("label_id"), grade.cast("int").alias("grade"))
         .where("label_id IS NOT NULL AND grade IS NOT NULL")
         .groupBy("label_id")
-        .agg(F.max("grade").alias("grade"))
+        .agg(join("grade").alias("grade"))
         .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(sample)
     )
@@ -87,7 +87,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, grade: Column, extractor
             yield pa.RecordBatch.from_arrays([batch.column("label_id"), batch.column("grade"), pa.array(features, pa.binary())], ["label_id", "grade", "features"])
 
     id_type = rows.schema["label_id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"label_id {id_type}, grade int, features binary").collect()
+    # One row for each label, however many documents share its id.
+    found = rows.mapInArrow(run, f"label_id {id_type}, grade int, features binary").groupBy("label_id").agg(F.min(F.struct("grade", "features")).alias("x")).select("label_id", "x.*").collect()
     distinct = sorted({(bytes(r["features"]), r["grade"]): r["label_id"] for r in sorted(found, key=lambda r: r["label_id"], reverse=True)}.items(), key=lambda kv: kv[1])
     return [np.frombuffer(f, np.uint32) for (f, _), _ in distinct], np.array([g for (_, g), _ in distinct], np.int64)
 

@@ -4,21 +4,23 @@ The categories are predicted one after another: each link is a logistic regressi
 features and on the probabilities of the categories before it, which while fitting come from models that
 did not see the document (out of fold). The last link is the label itself.
 
-The labels only say toxic or not. A labelled document is of a category if it is toxic and holds one of
-the category's seed words; a category with fewer than ``LEAST`` such documents predicts its base rate.
+The categories are columns of the labels, named by the caller in the order of the chain. Only where the labels
+just say toxic or not, as a last resort, is a labelled document taken to be of a category if it is toxic and
+holds one of the category's seed words. Every category is fitted, however rare it is.
 
 A document is toxic from the probability on that parts the labelled documents best (by F1) when each is
 predicted out of fold; it is never that of a document without features, nor above one half.
 
 Defined cases: null and empty texts have no features and get the base-line probability; without labels,
 or with labels of one class only, every probability is the base rate (zero without labels); a document
-with several labels is toxic if one says so; repeated rows each give a row. The model is fitted on at most
-``hashed.SAMPLE`` labelled documents and applied to all.
+with several labels is toxic, or of a category, if one says so; a row with a null label is left out, a null category says no; repeated rows each give a
+row; very long texts are read whole, their features are a set; an empty table gives no rows. The model is fitted
+on at most ``hashed.SAMPLE`` labelled documents and applied to all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,9 +38,7 @@ SEEDS = {
     "contempt": ("disgusting", "dirt", "filth", "garbage", "hate", "pathetic", "rubbish", "scum", "trash", "ugly", "vermin", "worthless"),
     "threat": ("beat", "burn", "destroy", "die", "hang", "hurt", "kill", "murder", "shoot", "stab"),
 }
-CATEGORIES = (*SEEDS, "toxic")
 FOLDS = 5
-LEAST = 20
 #: A feature counts if so many samples have it and it is so many standard deviations more common in toxic ones.
 FEATURE_LEAST, FEATURE_Z = 10, 5.0
 STEPS, RATE, DECAY = 300, 0.1, 5e-5
@@ -113,22 +113,26 @@ def best_threshold(p: np.ndarray, y: np.ndarray, least: float) -> float:
     return float(min(0.5, hashed.sigmoid(np.array((odds(p[k]) + odds(min(low, p[k]))) / 2)))) if f1[k] > 0 else 0.5
 
 
-def fit_chain(features: list[np.ndarray], toxic: np.ndarray) -> Chain:
+def seeded(features: list[np.ndarray], toxic: np.ndarray) -> dict[str, np.ndarray]:
+    """Membership by seed words: toxic documents that hold one."""
+    out = {}
+    for category, listed in SEEDS.items():
+        seeds = np.array([hashed.place(b"w" + s.encode()) for s in listed], np.uint32)
+        out[category] = toxic * np.array([np.isin(seeds, f).any() for f in features], bool)
+    return out
+
+
+def fit_chain(features: list[np.ndarray], toxic: np.ndarray, categories: dict[str, np.ndarray]) -> Chain:
+    """``categories``: membership by name, in the order of the chain, before the last link."""
     kept = hashed.telling(features, toxic, least=FEATURE_LEAST, z=FEATURE_Z, both=False)
     design = hashed.Design(features, kept)
-    fold = np.arange(len(features)) % FOLDS
     before = np.zeros((len(features), 0))
     links = []
-    for category in CATEGORIES:
-        y = toxic.astype(float)
-        if category in SEEDS:
-            seeds = np.array([hashed.place(b"w" + s.encode()) for s in SEEDS[category]], np.uint32)
-            y = y * np.array([np.isin(seeds, f).any() for f in features], float) if features else y
-            if y.sum() < LEAST:
-                rate = float(y.mean()) if len(y) else 0.0
-                links.append(Link(np.zeros(len(kept)), np.zeros(before.shape[1]), float(np.log(max(rate, 1e-9) / (1 - min(rate, 1 - 1e-9))))))
-                before = np.column_stack([before, np.full(len(features), rate)])
-                continue
+    for y in (*categories.values(), toxic):
+        y = y.astype(float)
+        # Folds that share out the members, so that a rare category is in all of them.
+        fold = np.empty(len(y), int)
+        fold[np.argsort(-y, kind="stable")] = np.arange(len(y)) % FOLDS
         out_of_fold = np.zeros(len(features))
         for k in range(FOLDS):
             w, b, bias = _fit(design, before, y, fold != k)
@@ -141,13 +145,32 @@ def fit_chain(features: list[np.ndarray], toxic: np.ndarray) -> Chain:
     return chain
 
 
-def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "toxic", sample: int = hashed.SAMPLE, threshold: float | None = None, keep: bool = False) -> DataFrame:
-    """A row per row: its id, a probability for each category, and ``is_toxic``.
-
+def score(
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_id: str = "doc_id",
+    label: str = "toxic",
+    categories: Sequence[str] = (),
+    sample: int = hashed.SAMPLE,
+    threshold: float | None = None,
+    keep: bool = False,
+) -> DataFrame:
+    """A row per row: its id, a probability for each category and at last for the label itself, and ``is_toxic``.
+
+    ``categories``: columns of the labels, 0 or 1, in the order of the chain; without any, those of the seed words.
     With ``keep``: instead, the rows of ``docs`` that are not toxic, with all their columns.
     """
-    features, toxic = hashed.labelled_sample(docs, labels, F.col(label), extractor, id_col=id_col, text_col=text_col, label_id=label_id, sample=sample)
-    chain = fit_chain(features, toxic)
+    held = [F.coalesce(F.col(c).cast("boolean"), F.lit(False)) for c in (label, *categories)]
+    # One number tells all labels of a row; a document with several rows has the labels of any.
+    number = sum((F.when(h, 1 << k).otherwise(0) for k, h in enumerate(held)), F.lit(0))
+    number = F.when(F.col(label).isNotNull(), number)
+    features, numbers = hashed.labelled_sample(docs, labels, number, extractor, id_col=id_col, text_col=text_col, label_id=label_id, sample=sample, join=F.bit_or)
+    toxic, *others = ((numbers.astype(np.int64) >> k & 1).astype(bool) for k in range(len(held)))
+    chain = fit_chain(features, toxic, dict(zip(categories, others, strict=True)) if categories else seeded(features, toxic))
+    names = (*(categories or SEEDS), label)
     if threshold is not None:
         chain.threshold = threshold
     sent = docs.sparkSession.sparkContext.broadcast(chain)
@@ -170,9 +193,9 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         chain = sent.value
         extract = extractor().keep(chain.kept)
         for batch in batches:
-            all_chances = np.array([chain.predict(extract(data.as_py())) for data in batch.column("data")]).reshape(-1, len(CATEGORIES))
+            all_chances = np.array([chain.predict(extract(data.as_py())) for data in batch.column("data")]).reshape(-1, len(names))
             columns = [batch.column("id"), *(pa.array(c) for c in all_chances.T), pa.array(all_chances[:, -1] >= chain.threshold)]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, *(f"p_{c}" for c in CATEGORIES), "is_toxic"])
+            yield pa.RecordBatch.from_arrays(columns, [id_col, *(f"p_{c}" for c in names), "is_toxic"])
 
-    kinds = ", ".join(f"p_{c} double" for c in CATEGORIES)
+    kinds = ", ".join(f"p_{c} double" for c in names)
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, {kinds}, is_toxic boolean")

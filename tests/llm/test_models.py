@@ -48,7 +48,8 @@ def test_held_out_toxicity(spark):
 def test_later_links_use_earlier_probabilities():
     rows = labelled(2000, 3)
     features = [toxicity.extractor()(t.encode()) for _, t, _, _ in rows]
-    links = toxicity.fit_chain(features, np.array([r[3] for r in rows])).links
+    toxic = np.array([r[3] for r in rows], bool)
+    links = toxicity.fit_chain(features, toxic, toxicity.seeded(features, toxic)).links
     assert [len(link.before) for link in links] == [0, 1, 2, 3]
     assert links[-1].before[0] > 0 and links[-1].before[1] > 0
 
@@ -211,3 +212,17 @@ def test_lm_gathers_more_from_more_words(spark):
     known = lm.vocabulary(docs)
     assert known.count() == 300_000 and known.agg(F.max("n"), F.sum("n")).first() == (3, 300_002)
     assert lm.entries_for(100) == lm.CONTEXTS < lm.entries_for(300_000) < lm.entries_for(30_000_000)
+
+
+def test_rare_and_named_categories(spark):
+    """Categories are columns of the labels; one of five members is fitted like any other."""
+    rows = labelled()
+    docs, _ = frames(spark, rows)
+    toxic = [r for r in rows if r[3]]
+    rare = {r[0] for r in toxic[:10]}
+    docs = docs.withColumn("text", F.when(F.col("doc_id").isin(list(rare)), F.concat("text", F.lit(" zzrare zzrare"))).otherwise(F.col("text")))
+    labels = spark.createDataFrame([(r[0], r[3], int(r[0] in rare) if r[0] not in {x[0] for x in toxic[5:10]} else None) for r in rows], "doc_id bigint, toxic int, slur int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels, categories=["slur"]).collect()}
+    assert list(got[rows[0][0]].asDict()) == ["doc_id", "p_slur", "p_toxic", "is_toxic"]
+    known, held, others = ([got[i]["p_slur"] for i in ids] for ids in ([r[0] for r in toxic[:5]], [r[0] for r in toxic[5:10]], [r[0] for r in rows if r[0] not in rare]))
+    assert min(known) > np.quantile(others, 0.95) and len(set(others)) > 1 and np.isfinite(held).all()
