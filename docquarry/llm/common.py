@@ -6,6 +6,7 @@ other column of the input, whatever its name, can neither clash with nor reach t
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,10 @@ BATCH_BYTES = 8 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Bounds the batches that this session sends to Python by their bytes; a smaller setting stays."""
+    """Bounds the batches that this session sends to Python by their bytes; a smaller setting stays.
+
+    Spark reads this from the session when the plan runs, after the operator has returned, so it stays set.
+    """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     held = conf.get(key).lower().rstrip("b")
     # With a unit, as a session may set it, the setting is taken as meant.
@@ -36,8 +40,12 @@ def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared checkpoint folder; a folder of our own only where none is configured."""
+    """Cuts lineage in the shared folder that ``spark.checkpoint.dir`` names. Only a local session may do without the
+    setting, in a folder of this machine; on a cluster that is refused, since executors would write to disks of their own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
