@@ -1,19 +1,23 @@
 """Language-model scores: the pseudo-likelihood of a document, each word predicted from the words on both sides.
 
 The network looks at ``REACH`` words to the left and to the right of a masked word, whose embeddings are
-weighted by position, summed and squashed, and gives a distribution over ``CLASSES`` classes of words.
-A class holds the buckets that are equal modulo ``CLASSES``, a bucket all words whose hashes agree: within its class
-a bucket has its share of the corpus counts, and within its bucket a word has its own. So every word has a
-probability of its own, and a document's score is the sum of the logarithms of all three over its words.
+weighted by position, summed and squashed, and gives a distribution over ``CLASSES`` classes of words. The
+softmax has two steps: the class from both sides, then the word by its exact share of the class's
+occurrences in the corpus. Classes follow the counts: the frequent words, in order of count, are cut into
+``HEAD`` classes of equal mass, so that the most common words are classes of their own; the others are dealt
+out to ``TAIL`` classes by digest. A document's score is the sum of the logarithms over its words.
 
 The vocabulary, each word's exact count, is a table that grows with the corpus and is never gathered:
 words of at least the ``FREQUENT``-th part of the corpus, hence at most so many, are sent to the tasks, the
-others are joined by key. The context table grows with the square root of the number of words.
+others are joined by key. The context table grows with the square root of the number of words; half of it is for the
+most frequent words, one entry each, the rest is shared by the others.
 
-Fitting covers every document: each task starts from the same weights, passes once over its documents,
-with every word masked once, and hands in its weights and word counts. These are added up as integers, so
-that the order of addition doesn't matter, and the weights are averaged by the number of words; how the
-table is dealt over tasks shows in them. What goes to the driver has the size of the model.
+Fitting covers every document, with every word masked once. Documents are dealt out by a hash of id and text to shards
+of about as many words each, whatever tasks there are, and stand there in the order of that hash. Each shard
+starts from the same weights, passes once over its words and hands in what it has moved. This is added
+up as integers, so that the order of addition doesn't matter, and averaged by the number of words: the
+model doesn't depend on how the table was dealt over tasks. What goes to the driver has the size of the model;
+shards grow with it, so that what they hand in stays a small part of the words.
 
 Defined cases: null, empty and wordless texts have no words, the score 0 and no mean; repeated rows are
 counted and scored each; long texts are taken in slices that overlap by ``REACH``; an empty table leaves
@@ -22,9 +26,9 @@ the starting weights and gives no rows.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +39,16 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import checkpoint, id_and_bytes
 from docquarry.llm.decontaminate import words
 
-#: Buckets of words, classes of buckets, least context entries (one more stands for the border), embedding size.
-BUCKETS, CLASSES, CONTEXTS, SIZE = 1 << 16, 256, 4096, 16
+#: Classes of frequent words and of others, least context entries (one more stands for the border), embedding size.
+HEAD, TAIL, CONTEXTS, SIZE = 96, 32, 4096, 16
+CLASSES = HEAD + TAIL
 REACH = 2
 OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
-BATCH, RATE = 256, 0.2
+BATCH, RATE = 512, 0.2
 #: Words of at least this part of the corpus are sent to the tasks.
 FREQUENT = 1 << 16
+#: Words of a shard for each number of the embeddings.
+SHARD = 32
 #: Words handled at a time.
 SLICE = 4096
 #: Weights are added up as multiples of this fraction.
@@ -49,16 +56,64 @@ UNIT = 1 << 20
 MEMO = 1 << 18
 
 
-
 def _shapes(entries: int) -> dict[str, tuple[int, ...]]:
     return {"embed": (entries + 1, SIZE), "place": (2 * REACH, SIZE), "out": (SIZE, CLASSES), "bias": (CLASSES,)}
 
 
+def _key(word: bytes) -> int:
+    """A signed 64-bit digest, by which a word stands in the vocabulary; never 0."""
+    key = xxhash.xxh3_64_intdigest(word) or 1
+    return key - (1 << 64) if key >> 63 else key
+
+
+def entries_for(distinct: int) -> int:
+    """Context entries for so many distinct words: a power of two, from eight times their square root on."""
+    entries = CONTEXTS
+    while entries * entries < 64 * distinct:
+        entries *= 2
+    return entries
+
+
+@dataclass
+class Lexicon:
+    """What the tasks know of words. ``keys`` and ``counts``: the frequent words, the most frequent first.
+    ``tail``: the occurrences of the other words, by class. A word's code is its rank, or from the number of
+    frequent words on a remainder of its digest; ``entry``, ``klass`` and ``share`` (the logarithm of a
+    word's part in its class, without its own count for words that aren't sent) are by code."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    tail: np.ndarray
+    entries: int
+    total: int
+
+    def __post_init__(self) -> None:
+        n, half = len(self.keys), self.entries // 2
+        mass = self.counts.astype(np.float64)
+        before = (np.cumsum(mass) - mass) / max(1.0, mass.sum())
+        rest = np.arange(TAIL * half)
+        self.klass = np.concatenate([(before * HEAD).astype(np.int64), HEAD + rest % TAIL])
+        own = np.arange(n)
+        self.entry = np.concatenate([np.where(own < half, own, half + (self.keys & 0x7FFFFFFF) % half), half + rest // TAIL])
+        of_class = np.concatenate([np.bincount(self.klass[:n], mass, HEAD), self.tail])
+        self.used = of_class > 0
+        self.share = np.concatenate([np.log(mass.clip(0.5)), np.zeros(len(rest))]) - np.log(of_class.clip(0.5))[self.klass]
+        self.rank = {k: r for r, k in enumerate(self.keys.tolist())}
+
+    def code(self, word: bytes) -> int:
+        key = _key(word)
+        rank = self.rank.get(key)
+        return len(self.keys) + (key & 0x7FFFFFFF) % (TAIL * (self.entries // 2)) if rank is None else rank
+
+
 class _Codes(dict[bytes, int]):
-    """The hash of a word; its bucket and its context entry are remainders of it."""
+    """The code of a word."""
+
+    def __init__(self, lexicon: Lexicon) -> None:
+        self.of = lexicon.code
 
     def __missing__(self, word: bytes) -> int:
-        code = zlib.crc32(word)
+        code = self.of(word)
         if len(self) >= MEMO:
             self.clear()
         if len(word) <= 64:
@@ -66,16 +121,10 @@ class _Codes(dict[bytes, int]):
         return code
 
 
-def _key(word: bytes) -> int:
-    """A signed 64-bit digest, by which a word stands in the vocabulary; never 0."""
-    key = xxhash.xxh3_64_intdigest(word) or 1
-    return key - (1 << 64) if key >> 63 else key
-
-
 class _Rare(dict[bytes, int]):
     """The key of a word, 0 for the frequent ones, which were sent."""
 
-    def __init__(self, frequent: dict[int, float]) -> None:
+    def __init__(self, frequent: dict[int, int]) -> None:
         self.frequent = frequent
 
     def __missing__(self, word: bytes) -> int:
@@ -88,41 +137,21 @@ class _Rare(dict[bytes, int]):
         return held
 
 
-class _Frequent(dict[bytes, float]):
-    """The share of a frequent word in its bucket; for the others the part of it that the bucket gives."""
-
-    def __init__(self, frequent: dict[int, float], in_bucket: np.ndarray) -> None:
-        self.frequent, self.in_bucket = frequent, in_bucket
-
-    def __missing__(self, word: bytes) -> float:
-        share = self.frequent.get(_key(word), 0.0) - float(self.in_bucket[zlib.crc32(word) % BUCKETS])
-        if len(self) >= MEMO:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = share
-        return share
-
-
-def entries_for(distinct: int) -> int:
-    """Context entries for so many distinct words: a power of two, from eight times their square root on."""
-    entries = CONTEXTS
-    while entries * entries < 64 * distinct:
-        entries *= 2
-    return entries
-
-
-def start_weights(entries: int = CONTEXTS) -> dict[str, np.ndarray]:
+def start_weights(entries: int = CONTEXTS, used: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """``used``: which classes have words; the others get no probability."""
     rng = np.random.default_rng(0)
     shapes = _shapes(entries)
     w = {"embed": rng.normal(0, 0.3, shapes["embed"]), "place": np.ones(shapes["place"]), "out": rng.normal(0, 0.1, shapes["out"]), "bias": np.zeros(shapes["bias"])}
+    if used is not None:
+        w["bias"][~used] = -40.0
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def _contexts(codes: np.ndarray, entries: int = CONTEXTS) -> np.ndarray:
+def _contexts(entries_of: np.ndarray, entries: int = CONTEXTS) -> np.ndarray:
     """A row per word: the context entries of its neighbours."""
     edge = np.full(REACH, entries)
-    padded = np.concatenate([edge, codes % entries, edge])
-    return np.stack([padded[REACH + o : REACH + o + len(codes)] for o in OFFSETS], axis=1)
+    padded = np.concatenate([edge, entries_of, edge])
+    return np.stack([padded[REACH + o : REACH + o + len(entries_of)] for o in OFFSETS], axis=1)
 
 
 def _hidden(w: dict[str, np.ndarray], contexts: np.ndarray) -> np.ndarray:
@@ -145,8 +174,8 @@ def class_log_probs(w: dict[str, np.ndarray], contexts: np.ndarray, classes: np.
 class Trainer:
     """One pass of AdaGrad in batches."""
 
-    def __init__(self, entries: int = CONTEXTS) -> None:
-        self.w = start_weights(entries)
+    def __init__(self, start: dict[str, np.ndarray]) -> None:
+        self.w = {k: v.copy() for k, v in start.items()}
         self.seen = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.w.items()}
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.n = 0
@@ -194,23 +223,21 @@ class Trainer:
         self._update("bias", d_bias)
 
 
-def _slices(codes: np.ndarray, entries: int = CONTEXTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Contexts and codes, a bounded number of words at a time."""
+def _slices(lexicon: Lexicon, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Contexts and classes, a bounded number of words at a time."""
     for i in range(0, len(codes), SLICE):
         low, high = max(0, i - REACH), min(len(codes), i + SLICE + REACH)
         some = codes[low:high]
         inside = slice(i - low, i - low + min(SLICE, len(codes) - i))
         # The words beyond the slice are there as neighbours; the border is that of the text.
-        yield _contexts(some, entries)[inside], some[inside]
+        yield _contexts(lexicon.entry[some], lexicon.entries)[inside], lexicon.klass[some[inside]]
 
 
 def vocabulary(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``key, bucket, n`` of each distinct word: its digest, its bucket and its exact count."""
+    """``key, n`` of each distinct word: its digest and its exact count."""
 
     def out(counts: Counter[bytes]) -> pa.RecordBatch:
-        held = [(_key(w), zlib.crc32(w) % BUCKETS, n) for w, n in counts.items()]
-        kinds = (pa.int64(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*held, strict=True), kinds, strict=True)], ["key", "bucket", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([_key(w) for w in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
@@ -224,61 +251,84 @@ def vocabulary(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
             yield out(counts)
 
     rows = id_and_bytes(docs, text_col, text_col).select("data")
-    return rows.mapInArrow(run, "key bigint, bucket int, n bigint").groupBy("key", "bucket").agg(F.sum("n").alias("n"))
-
-
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distinct: int | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Weights of the network and counts of the buckets, from all documents; ``distinct`` is their number of words, where known."""
-    entries = entries_for(vocabulary(docs, text_col=text_col).count() if distinct is None else distinct)
-    shapes = _shapes(entries)
+    return rows.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def lexicon(known: DataFrame, frequent: int = FREQUENT) -> Lexicon:
+    """The lexicon of a vocabulary, which is read several times."""
+    total, distinct = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()  # type: ignore[misc]
+    often = F.col("n") * F.lit(frequent) >= F.lit(total)
+    held = known.where(often).select("key", "n").toArrow()
+    keys, counts = held.column("key").to_numpy(), held.column("n").to_numpy()
+    order = np.lexsort((keys, -counts))
+    entries = entries_for(distinct)
+    tail = np.zeros(TAIL)
+    # The class of the others is a remainder of their code, as in Lexicon.
+    for klass, n in known.where(~often).groupBy((F.col("key").bitwiseAND(0x7FFFFFFF) % (TAIL * (entries // 2)) % TAIL).alias("class")).agg(F.sum("n")).collect():
+        tail[klass] = n
+    return Lexicon(keys[order], counts[order], tail, entries, total)
+
+
+@dataclass
+class Model:
+    lexicon: Lexicon
+    weights: dict[str, np.ndarray]
+
+
+def fit(docs: DataFrame, *, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> Model:
+    """The lexicon and the weights of the network, from all documents."""
+    lex = lexicon(checkpoint(vocabulary(docs, text_col=text_col)) if known is None else known, frequent)
+    entries = lex.entries
+    start, shapes = start_weights(entries, lex.used), _shapes(entries)
     lengths = [int(np.prod(x)) for x in shapes.values()]
+    sent = docs.sparkSession.sparkContext.broadcast(lex)
 
     def flat(w: dict[str, np.ndarray]) -> np.ndarray:
         return np.concatenate([w[k].ravel() for k in shapes]).astype(np.float64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, memo = Trainer(entries), _Codes()
-        counts = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for data in batch.column("data"):
-                text = words(data.as_py())
-                codes = np.fromiter(map(memo.__getitem__, text), np.int64, len(text))
-                np.add.at(counts, codes % BUCKETS, 1)
-                for contexts, own in _slices(codes, entries):
-                    trainer.add(contexts, own % CLASSES)
-        total = int(counts.sum())
-        if not total:
-            return
+    def handed_in(trainer: Trainer, total: int) -> Iterator[pa.RecordBatch]:
         trainer.flush()
-        # What a task has moved: entries that none of its words touched are not handed in.
-        moved = flat(trainer.w) - flat(start_weights(entries))
-        values = np.concatenate([counts, np.rint(moved * UNIT).astype(np.int64) * total])
+        # What a shard has moved: entries that none of its words touched are not handed in.
+        values = np.rint((flat(trainer.w) - flat(start)) * UNIT).astype(np.int64) * total
         held = np.flatnonzero(values)
         for i in range(0, len(held), 1 << 15):
             some = held[i : i + (1 << 15)]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(values[some])], ["place", "value"])
 
-    handed_in = id_and_bytes(docs, id_col, text_col).mapInArrow(run, "place int, value bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = sent.value
+        memo, shard, trainer, total = _Codes(lex), None, Trainer(start), 0
+        for batch in batches:
+            for here, data in zip(batch.column("shard").to_pylist(), batch.column("data"), strict=True):
+                if here != shard:
+                    yield from handed_in(trainer, total)
+                    shard, trainer, total = here, Trainer(start), 0
+                text = words(data.as_py())
+                codes = np.fromiter(map(memo.__getitem__, text), np.int64, len(text))
+                total += len(codes)
+                for contexts, own in _slices(lex, codes):
+                    trainer.add(contexts, own)
+        yield from handed_in(trainer, total)
+
+    shards = max(1, round(lex.total / (SHARD * entries * SIZE)))
+    rows = id_and_bytes(docs, id_col, text_col)
+    dealt = rows.select("data", F.xxhash64("id", F.col("data").cast("string")).alias("h")).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+    ordered = dealt.repartitionById(min(shards, 1 << 16), F.pmod("shard", F.lit(1 << 16)).cast("int")).sortWithinPartitions("shard", "h").select("shard", "data")
     # Weights times words can leave 64 bits in a large corpus; the sums have more.
-    summed = handed_in.groupBy("place").agg(F.sum(F.col("value").cast("decimal(20,0)")).alias("value")).toArrow()
-    values = np.zeros(BUCKETS + sum(lengths))
+    summed = ordered.mapInArrow(run, "place int, value bigint").groupBy("place").agg(F.sum(F.col("value").cast("decimal(20,0)")).alias("value")).toArrow()
+    values = np.zeros(sum(lengths))
     values[summed.column("place").to_numpy()] = summed.column("value").cast(pa.float64()).to_numpy()
-    counts = values[:BUCKETS]
-    total = counts.sum()
-    start = start_weights(entries)
-    if not total:
-        return start, counts
-    parts = np.split(flat(start) + values[BUCKETS:] / total / UNIT, np.cumsum(lengths)[:-1])
-    return {k: x.reshape(shapes[k]).astype(np.float32) for k, x in zip(shapes, parts, strict=True)}, counts
+    parts = np.split(flat(start) + values / max(1, lex.total) / UNIT, np.cumsum(lengths)[:-1])
+    return Model(lex, {k: x.reshape(shapes[k]).astype(np.float32) for k, x in zip(shapes, parts, strict=True)})
 
 
-def _rare_sums(docs: DataFrame, known: DataFrame, frequent, text_col: str) -> DataFrame:
+def _rare_sums(docs: DataFrame, known: DataFrame, sent, text_col: str) -> DataFrame:
     """``h, units``: for each text, by its hash, the logarithms of the counts of its rare words, summed in multiples of 1 / UNIT."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.xxhash64(text).alias("h"), text.cast("binary").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Rare(frequent.value)
+        memo = _Rare(sent.value.lexicon.rank)
         for batch in batches:
             at, keys, times, firsts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
             for i, data in enumerate(batch.column("data")):
@@ -298,52 +348,35 @@ def _rare_sums(docs: DataFrame, known: DataFrame, frequent, text_col: str) -> Da
     return met.groupBy("h").agg(F.sum(one).alias("units"), F.sum("first").alias("rows")).select("h", F.expr("units div rows").alias("units"))
 
 
-def score(
-    docs: DataFrame,
-    model: tuple[dict[str, np.ndarray], np.ndarray] | None = None,
-    *,
-    known: DataFrame | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    frequent: int = FREQUENT,
-) -> DataFrame:
+def score(docs: DataFrame, model: Model | None = None, *, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """A row per row: its id, ``n_words``, ``log_likelihood`` (natural logarithm) and ``mean_log_likelihood``.
 
-    ``known`` is the vocabulary, of ``docs`` if none is given; a word that it lacks counts as half an occurrence.
+    ``known`` is the vocabulary that the model was fitted with, of ``docs`` if none is given; a word that it lacks counts as half an occurrence.
     """
     known = checkpoint(vocabulary(docs, text_col=text_col) if known is None else known)
-    held = known.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).toArrow()
-    in_bucket = np.zeros(BUCKETS)
-    in_bucket[held.column("bucket").to_numpy()] = held.column("n").to_numpy()
-    least = in_bucket.sum() / frequent
-    often = known.where(F.col("n") >= float(least)).select("key", "n").toArrow()
-    logs = {k: float(np.log(n)) for k, n in zip(often.column("key").to_pylist(), often.column("n").to_pylist(), strict=True)}
-    weights, counts = fit(docs, id_col=id_col, text_col=text_col, distinct=sum(held.column("distinct").to_pylist())) if model is None else model
-    by_class = np.bincount(np.arange(BUCKETS) % CLASSES, counts, CLASSES)
-    share = np.log(counts + 0.5) - np.log(by_class + 0.5 * BUCKETS / CLASSES)[np.arange(BUCKETS) % CLASSES]
-    sc = docs.sparkSession.sparkContext
-    sent, sent_often = sc.broadcast((weights, share, np.log(np.maximum(in_bucket, 0.5)))), sc.broadcast(logs)
+    if model is None:
+        model = fit(docs, known=known, id_col=id_col, text_col=text_col, frequent=frequent)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = id_and_bytes(docs, id_col, text_col)
     # The bytes are those of the text, so their hash is the one that the rare words have.
     rows = rows.select("id", "data", F.xxhash64(F.col("data").cast("string")).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, within, logs_in_bucket = sent.value
-        entries = len(w["embed"]) - 1
-        memo, own_share = _Codes(), _Frequent(sent_often.value, logs_in_bucket)
+        lex, w = sent.value.lexicon, sent.value.weights
+        memo = _Codes(lex)
         for batch in batches:
             lengths, sums = [], []
             for data in batch.column("data"):
                 text = words(data.as_py())
                 codes = np.fromiter(map(memo.__getitem__, text), np.int64, len(text))
-                total = float(np.fromiter(map(own_share.__getitem__, text), np.float64, len(text)).sum())
-                for contexts, own in _slices(codes, entries):
-                    total += float(class_log_probs(w, contexts, own % CLASSES).sum(dtype=np.float64)) + float(within[own % BUCKETS].sum())
+                total = float(lex.share[codes].sum())
+                for contexts, own in _slices(lex, codes):
+                    total += float(class_log_probs(w, contexts, own).sum(dtype=np.float64))
                 lengths.append(len(text))
                 sums.append(total)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(lengths, pa.int64()), pa.array(sums, pa.float64())], ["id", "h", "n_words", "total"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"id {kind}, h bigint, n_words bigint, total double").join(_rare_sums(docs, known, sent_often, text_col), "h", "left")
+    scored = rows.mapInArrow(run, f"id {kind}, h bigint, n_words bigint, total double").join(_rare_sums(docs, known, sent, text_col), "h", "left")
     total = F.col("total") + F.coalesce(F.col("units"), F.lit(0)) / UNIT
     return scored.select(F.col("id").alias(id_col), "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood"))

@@ -1,12 +1,15 @@
 """Toxicity, quality and language-model scores: held-out accuracy, the mathematics, and the odd cases."""
 
+import collections
+import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docquarry.llm import hashed, lm, quality, toxicity
-from tests.llm.common import ODD, empty, odd, ordered, table
+from tests.llm.common import ODD, SF, empty, odd, ordered, table
 
 WORDS = ["".join(p) for p in zip("abcdefghij" * 10, "klmnopqrst" * 10, "uvwxyzabcd" * 10, strict=True)]
 
@@ -125,7 +128,7 @@ def test_extractor_memo(monkeypatch):
 
 
 def test_network_gradient():
-    trainer = lm.Trainer()
+    trainer = lm.Trainer(lm.start_weights())
     rng = np.random.default_rng(1)
     trainer.w = {k: v.astype(np.float64) for k, v in trainer.w.items()}
     contexts, classes = rng.integers(0, lm.CONTEXTS + 1, (6, 4)), rng.integers(0, lm.CLASSES, 6)
@@ -149,62 +152,96 @@ def test_lm_learns_context_and_slices_agree(spark, monkeypatch):
     rng = random.Random(0)
     pairs = [("alpha", "beta"), ("gamma", "delta"), ("one", "two"), ("up", "down")]
     docs = [(i, " ".join(w for _ in range(40) for w in rng.choice(pairs))) for i in range(400)]
-    model = lm.fit(table(spark, docs).coalesce(2))
-    assert model[1].sum() == 400 * 80
+    model = lm.fit(table(spark, docs))
+    assert model.lexicon.total == 400 * 80
+    known = lm.vocabulary(table(spark, docs))
     mixed = rng.sample([w for p in pairs for w in p] * 10, 80)
-    good, bad = (lm.score(table(spark, [(1, t)]), model).first() for t in (docs[0][1], " ".join(mixed)))
+    good, bad = (lm.score(table(spark, [(1, t)]), model, known=known).first() for t in (docs[0][1], " ".join(mixed)))
     assert good["mean_log_likelihood"] > bad["mean_log_likelihood"] + 1
+    codes = np.arange(50) % 8
+    whole = lm._contexts(model.lexicon.entry[codes], model.lexicon.entries)
     monkeypatch.setattr(lm, "SLICE", 7)
-    parts = list(lm._slices(np.arange(50)))
-    whole = lm._contexts(np.arange(50))
-    assert (np.concatenate([c for c, _ in parts]) == whole).all() and (np.concatenate([b for _, b in parts]) == np.arange(50)).all()
-
-
-def test_lm_counts_and_sums(spark):
+    parts = list(lm._slices(model.lexicon, codes))
+    assert (np.concatenate([c for c, _ in parts]) == whole).all() and (np.concatenate([b for _, b in parts]) == model.lexicon.klass[codes]).all()
+
+
+def plain_score(model, counts, frequent, text):
+    """The score by the definition, a word and a class at a time, in plain Python."""
+    total = sum(counts.values())
+    sent = sorted((w for w in counts if counts[w] * frequent >= total), key=lambda w: (-counts[w], lm._key(w)))
+    half, klass, entry, before = lm.entries_for(len(counts)) // 2, {}, {}, 0
+    mass = sum(counts[w] for w in sent)
+    for rank, w in enumerate(sent):
+        klass[w], entry[w], before = int(before / mass * lm.HEAD), rank, before + counts[w]
+        assert rank < half
+    for w in counts:
+        if w not in klass:
+            rest = lm._key(w) % 2**31 % (lm.TAIL * half)
+            klass[w], entry[w] = lm.HEAD + rest % lm.TAIL, half + rest // lm.TAIL
+    score, w = 0.0, {k: v.astype(float) for k, v in model.weights.items()}
+    for i, word in enumerate(text):
+        hidden = np.zeros(lm.SIZE)
+        for j, o in enumerate((-2, -1, 1, 2)):
+            near = entry[text[i + o]] if 0 <= i + o < len(text) else 2 * half
+            hidden += w["embed"][near] * w["place"][j]
+        z = [float(np.tanh(hidden) @ w["out"][:, c] + w["bias"][c]) for c in range(lm.CLASSES)]
+        within = counts[word] / sum(counts[x] for x in counts if klass[x] == klass[word])
+        score += z[klass[word]] - math.log(sum(map(math.exp, z))) + math.log(within)
+    return score
+
+
+@pytest.mark.parametrize("frequent", (lm.FREQUENT, 40, 1))
+def test_lm_against_plain_sums(spark, frequent):
+    """All words sent, some, or none: the same as by the definition, and probabilities that add up to one over all words."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 900").select("doc_id", "text")
+    counts = collections.Counter(w for r in docs.collect() for w in lm.words((r["text"] or "").encode()))
+    known = lm.vocabulary(docs)
+    assert sorted(map(tuple, known.collect())) == sorted((lm._key(w), n) for w, n in counts.items())
+    model = lm.fit(docs, frequent=frequent)
+    got = {r["doc_id"]: r for r in lm.score(docs, model, known=known).collect()}
+    texts = {r["doc_id"]: lm.words((r["text"] or "").encode()) for r in docs.limit(8).collect()}
+    for i, text in texts.items():
+        assert got[i]["n_words"] == len(text) and abs(got[i]["log_likelihood"] - plain_score(model, counts, frequent, text)) < 1e-3 * (1 + len(text))
+    if frequent == lm.FREQUENT:
+        by = {r["doc_id"]: r["log_likelihood"] for r in lm.score(table(spark, [(0, "the"), *((k, w.decode()) for k, w in enumerate(counts, 1))]), model, known=known).collect()}
+        assert abs(sum(math.exp(by[k]) for k in range(1, len(counts) + 1)) - 1) < 1e-3
+
+
+def test_lm_counts_and_odd_cases(spark):
     rows = [(1, "a b c a"), (2, None), (3, ""), (4, "A, b")]
-    w, counts = lm.fit(table(spark, rows))
-    assert counts.sum() == 6 and counts[lm.zlib.crc32(b"a") % lm.BUCKETS] == 3
-    got = {r["doc_id"]: r for r in lm.score(table(spark, rows), (w, counts)).collect()}
+    model = lm.fit(table(spark, rows))
+    assert model.lexicon.total == 6 and model.lexicon.counts.tolist() == [3, 2, 1]
+    got = {r["doc_id"]: r for r in lm.score(table(spark, rows), model).collect()}
     assert got[2]["n_words"] == 0 and got[2]["log_likelihood"] == 0 and got[2]["mean_log_likelihood"] is None
     assert ordered((r["doc_id"], r["n_words"]) for r in got.values()) == ordered([(1, 4), (2, 0), (3, 0), (4, 2)])
-    buckets = np.array([lm.zlib.crc32(x) % lm.BUCKETS for x in (b"a", b"b", b"c", b"a")])
-    contexts = np.array([[lm.CONTEXTS if not 0 <= i + o < 4 else buckets[i + o] % lm.CONTEXTS for o in lm.OFFSETS] for i in range(4)])
-    by_class = np.bincount(np.arange(lm.BUCKETS) % lm.CLASSES, counts, lm.CLASSES)
-    share = [np.log((counts[b] + 0.5) / (by_class[b % lm.CLASSES] + 0.5 * lm.BUCKETS / lm.CLASSES)) for b in buckets]
-    assert abs(got[1]["log_likelihood"] - lm.class_log_probs(w, contexts, buckets % lm.CLASSES).sum() - sum(share)) < 1e-4
+    empty_model = lm.fit(empty(spark))
+    assert (empty_model.weights["embed"] == lm.start_weights()["embed"]).all()
 
 
 def test_lm_trains_every_word(spark):
-    """One-word documents after the first of a batch are targets too."""
-    w, _ = lm.fit(table(spark, [(0, ""), *((i, "a") for i in range(1, 8))]).coalesce(1))
-    assert w["bias"][lm.zlib.crc32(b"a") % lm.CLASSES] > 0
-
-
-def one_bucket():
-    """Two words with one bucket."""
-    seen = {}
-    for i in range(10_000):
-        w = f"w{i}"
-        if (b := lm.zlib.crc32(w.encode()) % lm.BUCKETS) in seen:
-            return seen[b], w
-        seen[b] = w
-    raise AssertionError
-
-
-def test_lm_words_of_one_bucket_have_their_own_counts(spark):
-    often, seldom = one_bucket()
-    rows = [(i, often) for i in range(50)] + [(50, seldom)]
-    got = {r["doc_id"]: r["log_likelihood"] for r in lm.score(table(spark, rows)).collect()}
-    assert abs(got[0] - got[50] - np.log(50)) < 1e-4
-
-
-def test_lm_joined_words_score_as_sent_ones(spark):
-    rows = [(i, t) for i, t in ODD] + [(20, " ".join(one_bucket()) + " fox"), (20, " ".join(one_bucket()) + " fox"), (21, one_bucket()[1])]
-    docs = table(spark, rows)
-    model = lm.fit(docs)
-    sent, joined = (sorted(map(tuple, lm.score(docs, model, frequent=f).collect()), key=lambda r: str(r[:2])) for f in (lm.FREQUENT, 3))
-    assert len(sent) == len(rows) and [r[:2] for r in sent] == [r[:2] for r in joined]
-    assert all(abs(a[2] - b[2]) < 1e-4 * (1 + a[1]) for a, b in zip(sent, joined, strict=True))
+    """One-word documents are targets too."""
+    model = lm.fit(table(spark, [(0, ""), *((i, "a") for i in range(1, 8)), (8, "b")]))
+    assert model.weights["bias"][0] > 0 > model.weights["bias"][int(7 / 8 * lm.HEAD)] > -1
+
+
+def test_lm_does_not_depend_on_the_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CONTEXTS", 64)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    known = lm.vocabulary(docs).cache()
+    monkeypatch.setattr(lm, "entries_for", lambda distinct: 64)
+    # Several shards, met in any order.
+    one, other = (lm.fit(d, known=known) for d in (docs.coalesce(1), docs.repartition(7, F.rand(3))))
+    assert one.lexicon.total > 2 * lm.SHARD * 64 * lm.SIZE
+    assert all((one.weights[k] == other.weights[k]).all() for k in one.weights)
+    known.unpersist()
+
+
+def test_lm_words_have_their_own_counts(spark):
+    rows = [(i, "often") for i in range(50)] + [(50, "seldom")]
+    model = lm.fit(table(spark, rows), frequent=1)
+    monkey = {r["doc_id"]: r["log_likelihood"] for r in lm.score(table(spark, rows), model).collect()}
+    classes = [lm._key(w) % 2**31 % (lm.TAIL * (model.lexicon.entries // 2)) % lm.TAIL for w in (b"often", b"seldom")]
+    assert model.lexicon.tail[classes[0]] >= 50 and model.lexicon.tail[classes[1]] >= 1 and monkey[0] != monkey[50]
 
 
 def test_lm_gathers_more_from_more_words(spark):
