@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 
 from docquarry.llm import decontaminate
 from tests.llm.common import ODD, empty, odd, ordered, table
@@ -63,3 +65,40 @@ def test_odd_rows(spark):
     assert dirty > 2 and kept.count() == len(ODD) - dirty
     assert figures(decontaminate.contamination(odd(spark), benchmark(spark, items).limit(0))) == brute(ODD, [])
     assert decontaminate.contamination(empty(spark), benchmark(spark, items)).count() == 0
+
+
+def test_memory_of_a_block():
+    """A full block of words that are nearly all different, built in a process of its own: what it takes beside the process."""
+    code = """
+import random, resource
+from docquarry.llm import decontaminate as d
+rng = random.Random(0)
+used = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+items = [(str(i), b" ".join(b"%x" % rng.getrandbits(26) for _ in range(300))) for i in range(d.BLOCK_BYTES // 2250)]
+before = used()
+block = d.Block(items)
+assert block.find(items[7][1]) == (300, [(0, 300)], {"7"})
+print(used() - before)
+"""
+    assert float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 200
+
+
+def test_a_block_is_released_before_the_next(spark, monkeypatch):
+    items, docs = made(40, ["a", "b", "c"], 3, 9, 4), made(30, ["a", "b", "c", "d"], 0, 60, 5)
+    alive, most = [], []
+
+    def counted(real):
+        def broadcast(value):
+            sent = real(value)
+            if isinstance(value, decontaminate.Block) and value.items:
+                alive.append(sent)
+                most.append(len(alive))
+                destroy = sent.destroy
+                sent.destroy = lambda *a, **b: (alive.remove(sent), destroy(*a, **b))
+            return sent
+
+        return broadcast
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", counted(spark.sparkContext.broadcast))
+    found = decontaminate.contamination(table(spark, docs), benchmark(spark, items), window=4, block_bytes=120)
+    assert figures(found) == brute(docs, items, 4) and len(most) >= 4 and max(most) == 1
