@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,13 +40,36 @@ def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder that ``spark.checkpoint.dir`` names. Only a local session may do without the
-    setting, in a folder of this machine; on a cluster that is refused, since executors would write to disks of their own."""
-    sc = df.sparkSession.sparkContext
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names. Only a local session may do without the setting, in
+    a folder of this machine; on a cluster that is refused, since executors would write to disks of their own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()  # type: ignore[return-value]
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the shared folder."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder of the checkpoints."""
+    return f"{_checkpoint_folder(spark)}/{uuid.uuid4()}"
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The frame, written as Parquet and read again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes what was stored, wherever the path leads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,3 +1,6 @@
+import os
+import shutil
+import subprocess
 import sys
 
 import numpy as np
@@ -52,7 +55,11 @@ def test_simhash_stage(stages):
 
 def test_decontamination_stage(spark, stages):
     given, made, _ = stages[2]
-    strings = decontaminate.test_strings([(str(r["item_id"]), r["text"].encode()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    strings = {}
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = decontaminate.words(r["text"].encode())
+        n = min(13, len(w))
+        strings.setdefault(n, set()).update(tuple(w[i : i + n]) for i in range(len(w) - n + 1 if n else 0))
     clean = []
     for r in given:
         w = decontaminate.words(r["text"].encode())
@@ -99,6 +106,21 @@ def test_odd_rows_through_every_stage(spark):
             assert name == "byte_bpe" or out.columns == docs.columns
 
 
-def test_entry_without_the_subpackage(monkeypatch):
-    monkeypatch.setitem(sys.modules, "docquarry.llm", None)
-    assert not [q for q in __spark_entry__.queries() if q.startswith("op")] and "eq_literal" in __spark_entry__.oracle_sql()
+def test_entry_without_the_folders(tmp_path):
+    """A copy of the repository as it is without this subpackage: the entry imports and has the other queries."""
+    here = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    shutil.copytree(here, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') or k == 'pipeline' for k in q), set(e.oracle_sql()) <= set(q))"
+    done = subprocess.run([sys.executable, "-W", "error", "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": ""})
+    n, corpus, known = done.stdout.split()
+    assert int(n) > 50 and (corpus, known) == ("False", "True")
+
+
+def test_entry_without_what_the_operators_need(monkeypatch):
+    for module in [m for m in sys.modules if m.startswith("docquarry.llm")]:
+        monkeypatch.delitem(sys.modules, module)
+    monkeypatch.delattr("docquarry.llm")
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    with pytest.warns(UserWarning, match="ahocorasick"):
+        found = __spark_entry__.queries()
+    assert not [q for q in found if q.startswith("op")] and "eq_literal" in found
