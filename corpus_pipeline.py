@@ -1,6 +1,8 @@
 """A corpus pipeline: every stage works on all that the one before it kept, and hands on the columns of ``documents``.
 
-The last stage returns the tokens instead. SQL can express neither the fitted model nor the tokeniser;
+The last stage returns the tokens instead. Null and empty texts are documents like any other: not toxic, near-copies
+of each other, clean, without secrets or tokens; of repeated rows one stays; columns beyond those of ``documents`` go along up to the
+last stage; very long texts are handled whole; an empty table stays empty through all stages. SQL can express neither the fitted model nor the tokeniser;
 tests hold each stage against a brute-force version.
 """
 
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import bpe, decontaminate, secrets, simhash, toxicity
-from docquarry.llm.common import documents
+from docquarry.llm.common import documents, remove, shared_folder, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages. Each result but the last is written to the shared folder and read again, so that no stage is computed
+    twice and none depends on executors that are gone; what a stage has read is deleted once it is written."""
+    docs, before = documents(spark, sf_dir), None
+    for _, stage in STAGES[:-1]:
+        path = shared_folder(spark)
+        docs = stored(stage(spark, docs, sf_dir), path)
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
