@@ -33,7 +33,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import checkpoint, small_batches
@@ -286,17 +286,21 @@ def links(images: DataFrame, wanted: DataFrame, *, image_col: str = "image", bit
     asked = checkpoint(descriptors(wanted, image_col=image_col, fine=True).toDF("q_digest", "q_place", "q_hi", "q_lo", "q_key"))
     sent = images.sparkSession.sparkContext.broadcast(_bitmap(asked.select(F.col("q_key").alias("key"))))
     index = descriptors(images, image_col=image_col, asked=sent)
-    apart = F.bit_count(F.col("hi").bitwiseXOR(F.col("q_hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("q_lo")))
-    # Two descriptors may meet in several tables; they are a match in that of the first two parts that agree.
     part = lambda n, hi, lo: F.shiftrightunsigned(lo if n // 3 else hi, PART * (n % 3)).bitwiseAND((1 << PART) - 1)
-    agreeing_parts = sum((F.when(part(n, "hi", "lo") == part(n, "q_hi", "q_lo"), 1 << n).otherwise(0) for n in range(PARTS)), F.lit(0))
     first = [next((k for k, (i, j) in enumerate(TABLES) if m >> i & 1 and m >> j & 1), -1) for m in range(1 << PARTS)]
-    here = F.element_at(F.lit(first), agreeing_parts + 1) == F.shiftrightunsigned("key", 2 * PART)
-    # Query images that share a descriptor meet the index as one row, so many blocks of them give so many rows at most.
+
+    def matching(q: Column) -> Column:
+        apart = F.bit_count(F.col("hi").bitwiseXOR(q["q_hi"])) + F.bit_count(F.col("lo").bitwiseXOR(q["q_lo"]))
+        # Two descriptors may meet in several tables; they are a match in that of the first two parts that agree.
+        same = sum((F.when(part(n, F.col("hi"), F.col("lo")) == part(n, q["q_hi"], q["q_lo"]), 1 << n).otherwise(0) for n in range(PARTS)), F.lit(0))
+        return (apart <= bits) & (F.element_at(F.lit(first), same + 1) == F.shiftrightunsigned("key", 2 * PART))
+
+    # The corners of query images under a key meet the index as one row, so many blocks of images give so many rows at most.
     blocks = max(1, -(-asked.select("q_digest").distinct().count() // BLOCK))
     block = F.pmod(F.xxhash64("q_digest"), F.lit(blocks)).alias("block")
-    held = asked.groupBy(block, "q_key", "q_hi", "q_lo").agg(F.collect_list(F.struct("q_digest", "q_place")).alias("holders"))
-    met = index.join(held, (F.col("key") == F.col("q_key")) & (apart <= bits) & here)
+    held = asked.groupBy(block, "q_key").agg(F.collect_list(F.struct("q_hi", "q_lo", "q_digest", "q_place")).alias("corners"))
+    met = index.join(held, (F.col("key") == F.col("q_key")) & F.exists("corners", matching))
+    met = met.select("block", "digest", "place", F.transform(F.filter("corners", matching), lambda q: F.struct(q["q_digest"], q["q_place"])).alias("holders"))
     # Bounded by the corners of an image and of a block; each corner of the image that a copy needs is a row.
     pairs = met.groupBy("block", "digest").agg(F.collect_list(F.struct("place", "holders")).alias("met")).where(F.size("met") >= agree).select("digest", "met")
 
@@ -339,8 +343,9 @@ def find_copies(images: DataFrame, wanted: DataFrame, *, id_col: str = "image_id
 def count_copies(images: DataFrame, wanted: DataFrame, *, id_col: str = "image_id", image_col: str = "image", bits: int = BITS, agree: int = AGREE) -> DataFrame:
     """A row per query image: ``query_id``, ``copy_of`` (the least id of its copies, null without), ``n_copies`` (rows), ``n_classes``
     (of different bytes) and ``n_agreeing`` (the most). Classes are counted, never expanded."""
-    own, asked = (members(x, id_col=id_col, image_col=image_col) for x in (images, wanted))
-    classes = own.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    asked = checkpoint(members(wanted, id_col=id_col, image_col=image_col))
+    own = members(images, id_col=id_col, image_col=image_col).where("digest IS NOT NULL")
+    classes = checkpoint(own.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     found = _all_links(images, wanted, image_col, bits, agree, classes, asked.where("digest IS NOT NULL"))
     counted = found.join(classes, "digest").groupBy("q_digest").agg(F.min("least").alias("copy_of"), F.sum("n").alias("n_copies"), F.count("*").alias("n_classes"), F.max("n_agreeing").alias("n_agreeing"))
     n = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
