@@ -40,13 +40,13 @@ from docquarry.llm.common import checkpoint, id_and_bytes
 from docquarry.llm.decontaminate import words
 
 #: Classes of frequent words and of others, least context entries (one more stands for the border), embedding size.
-HEAD, TAIL, CONTEXTS, SIZE = 96, 32, 4096, 16
+HEAD, TAIL, CONTEXTS, SIZE = 64, 32, 4096, 16
 CLASSES = HEAD + TAIL
 REACH = 2
 OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
-BATCH, RATE = 512, 0.2
+BATCH, RATE = 1024, 0.2
 #: Words of at least this part of the corpus are sent to the tasks.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 #: Words of a shard for each number of the embeddings.
 SHARD = 32
 #: Words handled at a time.
@@ -154,18 +154,30 @@ def _contexts(entries_of: np.ndarray, entries: int = CONTEXTS) -> np.ndarray:
     return np.stack([padded[REACH + o : REACH + o + len(entries_of)] for o in OFFSETS], axis=1)
 
 
-def _hidden(w: dict[str, np.ndarray], contexts: np.ndarray) -> np.ndarray:
-    x = w["embed"][contexts[:, 0]] * w["place"][0]
-    for j in range(1, contexts.shape[1]):
-        x += w["embed"][contexts[:, j]] * w["place"][j]
-    return np.tanh(x, out=x)
+def _hidden(w: dict[str, np.ndarray], contexts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The hidden layer with a one beside it, for the bias, and the embeddings of the neighbours at each offset."""
+    near = [w["embed"].take(contexts[:, j], axis=0) for j in range(contexts.shape[1])]
+    x = near[0] * w["place"][0]
+    for j in range(1, len(near)):
+        x += near[j] * w["place"][j]
+    h = np.ones((len(x), SIZE + 1), x.dtype)
+    np.tanh(x, out=h[:, :SIZE])
+    return h, near
+
+
+def _logits(w: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
+    """Of all classes, so that their exponentials neither leave the range of the numbers nor all vanish."""
+    z = h @ np.concatenate([w["out"], w["bias"][None]])
+    # The hidden layer lies between -1 and 1, so weights within bounds need no look at each row.
+    reach = np.abs(w["out"]).sum(axis=0)
+    if (w["bias"] + reach).max() > 60 or (w["bias"] - reach).max() < -60:
+        z -= z.max(axis=1, keepdims=True)
+    return z
 
 
 def class_log_probs(w: dict[str, np.ndarray], contexts: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """The logarithm of each word's class probability, given its neighbours."""
-    z = _hidden(w, contexts) @ w["out"]
-    z += w["bias"]
-    z -= z.max(axis=1, keepdims=True)
+    z = _logits(w, _hidden(w, contexts)[0])
     own = z[np.arange(len(z)), classes]
     np.exp(z, out=z)
     return own - np.log(z.sum(axis=1))
@@ -200,27 +212,28 @@ class Trainer:
 
     def _step(self, contexts: np.ndarray, classes: np.ndarray) -> None:
         w, n = self.w, len(classes)
-        h = _hidden(w, contexts)
-        p = h @ w["out"]
-        p += w["bias"]
-        p -= p.max(axis=1, keepdims=True)
+        h, near = _hidden(w, contexts)
+        p = _logits(w, h)
         np.exp(p, out=p)
-        p *= 1 / (p.sum(axis=1, keepdims=True) * n)
-        p[np.arange(n), classes] -= 1 / n
-        dx = (p @ w["out"].T) * (1 - h * h)
+        sums = p.sum(axis=1)
+        # The rows are left as they are and what they are multiplied with is divided by their sums.
+        p[np.arange(n), classes] -= sums
+        part = (1 / (sums * n))[:, None]
+        dx = (p @ w["out"].T) * part
+        dx *= 1 - h[:, :SIZE] ** 2
+        d_out = (h * part).T @ p
         # The gradients of an entry stand together after the sort and are summed by stretches.
-        flat = contexts.ravel()
-        order = np.argsort(flat, kind="stable")
+        flat = contexts.T.ravel()
+        order = np.argsort(flat.astype(np.uint16) if len(w["embed"]) <= 1 << 16 else flat, kind="stable")
         held = flat[order]
         starts = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
-        used = held[starts]
-        d_embed = np.add.reduceat((dx[:, None, :] * w["place"]).reshape(-1, SIZE)[order], starts, axis=0)
-        d_place = (dx[:, None, :] * w["embed"][contexts]).sum(axis=0)
-        d_out, d_bias = h.T @ p, p.sum(axis=0)
-        self._update("embed", d_embed, used)
+        d_near = np.concatenate([dx * w["place"][j] for j in range(len(near))])
+        d_embed = np.add.reduceat(d_near.take(order, axis=0), starts, axis=0)
+        d_place = np.stack([(dx * x).sum(axis=0) for x in near])
+        self._update("embed", d_embed, held[starts])
         self._update("place", d_place)
-        self._update("out", d_out)
-        self._update("bias", d_bias)
+        self._update("out", d_out[:SIZE])
+        self._update("bias", d_out[SIZE])
 
 
 def _slices(lexicon: Lexicon, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -322,32 +335,6 @@ def fit(docs: DataFrame, *, known: DataFrame | None = None, id_col: str = "doc_i
     return Model(lex, {k: x.reshape(shapes[k]).astype(np.float32) for k, x in zip(shapes, parts, strict=True)})
 
 
-def _rare_sums(docs: DataFrame, known: DataFrame, sent, text_col: str) -> DataFrame:
-    """``h, units``: for each text, by its hash, the logarithms of the counts of its rare words, summed in multiples of 1 / UNIT."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.xxhash64(text).alias("h"), text.cast("binary").alias("data"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Rare(sent.value.lexicon.rank)
-        for batch in batches:
-            at, keys, times, firsts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-            for i, data in enumerate(batch.column("data")):
-                text = words(data.as_py())
-                found = np.fromiter(map(memo.__getitem__, text), np.int64, len(text))
-                k, n = np.unique(found[found != 0], return_counts=True)
-                at.append(np.full(len(k), i))
-                keys.append(k)
-                times.append(n.astype(np.int32))
-                firsts.append((np.arange(len(k)) == 0).astype(np.int32))
-            h = batch.column("h").take(pa.array(np.concatenate(at)))
-            yield pa.RecordBatch.from_arrays([h, *(pa.array(np.concatenate(x)) for x in (keys, times, firsts))], ["h", "key", "times", "first"])
-
-    # Rows with one text add up to a multiple of its sum; the first words tell how many there are.
-    one = F.col("times") * F.coalesce(F.round(F.log(F.col("n")) * UNIT), F.lit(round(np.log(0.5) * UNIT))).cast("bigint")
-    met = rows.mapInArrow(run, "h bigint, key bigint, times int, first int").join(known.select("key", "n"), "key", "left")
-    return met.groupBy("h").agg(F.sum(one).alias("units"), F.sum("first").alias("rows")).select("h", F.expr("units div rows").alias("units"))
-
-
 def score(docs: DataFrame, model: Model | None = None, *, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """A row per row: its id, ``n_words``, ``log_likelihood`` (natural logarithm) and ``mean_log_likelihood``.
 
@@ -358,25 +345,41 @@ def score(docs: DataFrame, model: Model | None = None, *, known: DataFrame | Non
         model = fit(docs, known=known, id_col=id_col, text_col=text_col, frequent=frequent)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = id_and_bytes(docs, id_col, text_col)
-    # The bytes are those of the text, so their hash is the one that the rare words have.
     rows = rows.select("id", "data", F.xxhash64(F.col("data").cast("string")).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document, and one for each of its words that weren't sent, with how often it has it."""
         lex, w = sent.value.lexicon, sent.value.weights
-        memo = _Codes(lex)
+        codes_of, rare_of = _Codes(lex), _Rare(lex.rank)
         for batch in batches:
-            lengths, sums = [], []
-            for data in batch.column("data"):
-                text = words(data.as_py())
-                codes = np.fromiter(map(memo.__getitem__, text), np.int64, len(text))
-                total = float(lex.share[codes].sum())
-                for contexts, own in _slices(lex, codes):
-                    total += float(class_log_probs(w, contexts, own).sum(dtype=np.float64))
-                lengths.append(len(text))
-                sums.append(total)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(lengths, pa.int64()), pa.array(sums, pa.float64())], ["id", "h", "n_words", "total"])
+            for first in range(0, batch.num_rows, 256):
+                some = batch.slice(first, 256)
+                sizes, lengths, sums, keys, times = [], [], [], [], []
+                for h, data in zip(some.column("h").to_pylist(), some.column("data"), strict=True):
+                    text = words(data.as_py())
+                    codes = np.fromiter(map(codes_of.__getitem__, text), np.int64, len(text))
+                    total = float(lex.share[codes].sum())
+                    for contexts, own in _slices(lex, codes):
+                        total += float(class_log_probs(w, contexts, own).sum(dtype=np.float64))
+                    rare, n = np.unique(np.array([rare_of[text[i]] for i in np.flatnonzero(codes >= len(lex.keys)).tolist()], np.int64), return_counts=True)
+                    sizes.append(1 + len(rare))
+                    lengths.append(len(text))
+                    sums.append(total)
+                    # The document's own row stands where its hash leads and finds nothing that counts.
+                    keys += [[h], rare]
+                    times += [[0], n]
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                at = pa.array(of)
+                own_row = np.diff(of, prepend=-1).astype(np.int32)
+                columns = [some.column("id").take(at), some.column("h").take(at), pa.array(np.array(lengths, np.int64)[of]), pa.array(np.array(sums)[of])]
+                columns += [pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(np.concatenate([np.zeros(0, np.int32), *times]).astype(np.int32)), pa.array(own_row)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "h", "n_words", "total", "key", "times", "own"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"id {kind}, h bigint, n_words bigint, total double").join(_rare_sums(docs, known, sent, text_col), "h", "left")
-    total = F.col("total") + F.coalesce(F.col("units"), F.lit(0)) / UNIT
-    return scored.select(F.col("id").alias(id_col), "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood"))
+    found = rows.mapInArrow(run, f"id {kind}, h bigint, n_words bigint, total double, key bigint, times int, own int").join(known, "key", "left")
+    # Whole numbers, which add up alike in any order. Equal rows meet in one and are told apart by how many there are.
+    one = F.col("times") * F.coalesce(F.round(F.log(F.col("n")) * UNIT), F.lit(round(np.log(0.5) * UNIT))).cast("bigint")
+    summed = found.groupBy("id", "h", "n_words", "total").agg(F.sum(one).alias("units"), F.sum("own").alias("rows"))
+    total = F.col("total") + F.col("units") / F.col("rows") / UNIT
+    scored = summed.select(F.col("id").alias(id_col), "n_words", total.alias("log_likelihood"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return scored.select(id_col, "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood"))
