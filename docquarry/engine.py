@@ -28,6 +28,8 @@ class Collection:
     name: str
     source: Documents | logs.Log
     indexes: Indexes = field(default_factory=Indexes)
+    #: Where the postings of a registered table's indexes are written.
+    folder: str | None = None
 
     @property
     def documents(self) -> Documents:
@@ -69,10 +71,48 @@ class Collection:
         df = paging.key_range(docs.df, start, end)
         df = df.where(compile_filter(parsed, docs.root)) if parsed is not None else df
         if order is not None:
-            df = df.orderBy(*paging.order_by(order, docs.root))
-        elif limit is not None:
-            df = df.orderBy("key")
-        return df if limit is None else df.limit(limit)
+            return paging.ordered(df, docs.root, order, limit, docs.key_order())
+        return df if limit is None else df.orderBy(*docs.key_order()).limit(limit)
+
+    @property
+    def postings(self) -> indexing.Postings:
+        """Where the written postings are: beside the log, or in the folder that was given."""
+        folder = self.folder if isinstance(self.source, Documents) else f"{self.source.path}.indexes"
+        if folder is None:
+            raise NotFound(f"collection {self.name!r} has no folder for indexes")
+        return indexing.Postings(self._spark, folder)
+
+    @property
+    def _spark(self) -> SparkSession:
+        return self.source.df.sparkSession if isinstance(self.source, Documents) else self.source.spark
+
+    def create_index(self, name: str, path: str) -> bool:
+        """Defines an index and writes its postings; whether it is new. A log keeps the definition."""
+        self._load()
+        new = self.indexes.create(name, path)
+        if new and isinstance(self.source, logs.Log):
+            self.source.define_index(name, path)
+        self.refresh_index(name)
+        return new
+
+    def drop_index(self, name: str) -> None:
+        self._load()
+        self.indexes.drop(name)
+        self.postings.drop(name)
+        if isinstance(self.source, logs.Log):
+            self.source.define_index(name, None)
+
+    def refresh_index(self, name: str) -> None:
+        """Brings the postings to the state of the collection; registered tables are taken as they were at first."""
+        path, docs = self.indexes.paths[name], self.documents
+        if isinstance(self.source, logs.Log):
+            self.postings.refresh(name, self.source.read(), self.source.head(), docs.root, path)
+        elif self.postings.version(name) is None:
+            self.postings.write(name, indexing.postings(docs.df, docs.root, path), 0)
+
+    def _load(self) -> None:
+        if isinstance(self.source, logs.Log):
+            self.indexes.paths = self.source.index_definitions()
 
     def find_by_index(self, filter: str | dict) -> DataFrame:
         """``find`` through the postings of the index that ``explain_index`` names, by a join on the key; a plain scan
@@ -80,14 +120,22 @@ class Collection:
         chosen = self.explain_index(filter)
         if chosen is None:
             return self.find(filter=filter)
-        docs, path = self.documents, self.indexes.paths[chosen["index"]]
-        keys = indexing.candidates(indexing.postings(docs.df, docs.root, path), chosen["probe"], docs.root.at(path))
-        return docs.df.join(keys, "key", "left_semi").where(compile_filter(parse_filter(filter), docs.root))
+        docs = self.documents
+        keys = indexing.candidates(self.postings.read(chosen["index"]), chosen["probe"], docs.root.at(self.indexes.paths[chosen["index"]]))
+        rows = docs.df.join(keys, "key", "left_semi")
+        if isinstance(self.source, logs.Log):
+            # Only the entries of the candidates are folded.
+            log = self.source.read()
+            rows = logs.documents(log.join(keys, "key", "left_semi").unionByName(log.where("op = 'drop'"))).df
+        return rows.where(compile_filter(parse_filter(filter), docs.root))
 
     def drop(self) -> None:
-        """Clears documents, lifetime and index definitions; a later put revives the collection."""
+        """Clears documents, lifetime and indexes; a later put revives the collection."""
         if not isinstance(self.source, logs.Log):
             raise NotFound(f"collection {self.name!r} has no log")
+        self._load()
+        for name in self.indexes.paths:
+            self.postings.drop(name)
         self.source.drop()
         self.indexes.paths.clear()
 
@@ -126,18 +174,32 @@ class Collection:
         return feed.admitted(found, kinds, parsed)
 
     def index_status(self) -> list[dict[str, Any]]:
-        docs = self.documents
+        """Of each index, from its postings; ``stale`` ones wait for entries of the log to be filed."""
+        self._load()
+        head = self.source.head() if isinstance(self.source, logs.Log) else 0
         out = []
         for d in self.indexes.list():
-            n = indexing.status(docs.df, docs.root, d["field"]).first()
-            out.append(d | {"state": "ready", "documents": n["documents"], "values": n["values"]})
+            version = self.postings.version(d["name"])
+            if version is None:
+                out.append(d | {"state": "building", "documents": 0, "values": 0})
+                continue
+            n = indexing.counted(self.postings.read(d["name"])).first()
+            out.append(d | {"state": "ready" if version == head else "stale", "documents": n["documents"], "values": n["values"]})
         return out
 
     def explain_index(self, filter: str | dict) -> dict[str, Any] | None:
-        """Which index would answer, and from where to where it is read; None for a scan."""
-        docs, parsed = self.documents, parse_filter(filter)
-        count = lambda path, p: indexing.candidates(indexing.postings(docs.df, docs.root, path), p, docs.root.at(path)).count()
-        chosen = indexing.choose(self.indexes, parsed, count, docs.df.count())
+        """Which index would answer, and from where to where it is read; None for a scan. Postings are brought up to date before."""
+        self._load()
+        parsed = parse_filter(filter)
+        root = self.documents.root
+        by_path = {path: name for name, path in sorted(self.indexes.paths.items(), reverse=True)}
+
+        def count(path: str, p: indexing.Probe) -> int:
+            self.refresh_index(by_path[path])
+            return indexing.candidates(self.postings.read(by_path[path]), p, root.at(path)).count()
+
+        # The total matters for large candidate sets only.
+        chosen = indexing.choose(self.indexes, parsed, count, lambda: self.documents.df.count())
         return None if chosen is None else {"index": chosen[0], "probe": chosen[1]}
 
 
@@ -149,7 +211,7 @@ class Engine:
         self._collections: dict[str, Collection] = {}
 
     def register(self, name: str, source: Documents | logs.Log) -> Collection:
-        self._collections[requests.check_name(name)] = Collection(name, source)
+        self._collections[requests.check_name(name)] = Collection(name, source, folder=self.root and f"{self.root}/{name}.indexes")
         return self._collections[name]
 
     def create(self, name: str) -> Collection:

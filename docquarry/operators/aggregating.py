@@ -11,25 +11,40 @@ from pyspark.sql import functions as F
 
 from docquarry.errors import Refused
 from docquarry.operators.filtering import compile_filter
+from docquarry.operators.paging import keyed
 from docquarry.operators.values import TypedValue, Value
 from docquarry.plans.filters import Branch
 from docquarry.plans.requests import MAX_GROUPS, Metric
 
 
-def _metric(m: Metric, root: Value, scale: int | None) -> dict[str, Column]:
+def _plain(value: Value) -> bool:
+    """Whether Spark orders the values itself."""
+    return isinstance(value, TypedValue) and value.kind not in ("array", "object")
+
+
+def _sorted_by(df: DataFrame, root: Value, metrics: list[Metric]) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with the sort keys that minima and maxima need, and their columns by path."""
+    paths = sorted({m.path for m in metrics if m.kind in ("min", "max") and not _plain(root.at(m.path))})
+    if not paths:
+        return df, {}
+    rows, names = keyed(df, root, paths)
+    return rows, dict(zip(paths, names, strict=True))
+
+
+def _metric(m: Metric, root: Value, scale: int | None, by: dict[str, str]) -> dict[str, Column]:
     """The metric's columns by name. Sums come with the number of values summed, averages with both."""
     if m.kind == "count":
         return {}
     value = root.at(m.path)
     suffix = m.path.replace(".", "_")
     if m.kind in ("min", "max"):
-        if isinstance(value, TypedValue) and value.kind not in ("array", "object"):
+        if _plain(value):
             best = (F.min if m.kind == "min" else F.max)(value.column)
         elif m.kind == "min":
             # Of equal values the first in key order.
-            best = F.min_by(value.json(), F.when(value.exists(), F.struct(value.sort_key(), F.col("key"))))
+            best = F.min_by(value.json(), F.when(value.exists(), F.struct(F.col(by[m.path]), F.col("key"))))
         else:
-            best = F.max_by(value.json(), F.when(value.exists(), value.sort_key()))
+            best = F.max_by(value.json(), F.when(value.exists(), F.col(by[m.path])))
         return {f"{m.kind}_{suffix}": best}
     number = value.number()
     # Whole units add up exactly and as fast as doubles; a sum beyond 64 bits is an error, never a wrong one.
@@ -51,7 +66,8 @@ def aggregate(df: DataFrame, root: Value, filter: Branch | None, group: list[str
     if filter is not None:
         df = df.where(compile_filter(filter, root))
     keys = [root.at(f).group_key().alias((names or {}).get(f, f.replace(".", "_"))) for f in group]
-    columns = {name: c for m in metrics for name, c in _metric(m, root, scale).items()}
+    df, by = _sorted_by(df, root, metrics)
+    columns = {name: c for m in metrics for name, c in _metric(m, root, scale, by).items()}
     return df.groupBy(*keys).agg(F.count("*").alias("count"), *(c.alias(name) for name, c in columns.items())).where("count > 0")
 
 
@@ -74,7 +90,8 @@ def aggregate_page(df: DataFrame, root: Value, filter: Branch | None, group: lis
     if filter is not None:
         read = read.where(compile_filter(filter, root))
     keys = [root.at(f).json().alias(f"g{i}") for i, f in enumerate(group)]
-    columns = [c for m in metrics for c in _metric(m, root, scale).values()]
+    read, by = _sorted_by(read, root, metrics)
+    columns = [c for m in metrics for c in _metric(m, root, scale, by).values()]
     named = [c.alias(f"m{i}") for i, c in enumerate(columns)]
     rows = read.groupBy(*keys).agg(F.count("*").alias("n"), *named).where("n > 0").limit(MAX_GROUPS + 1).collect()
     if len(rows) > MAX_GROUPS:

@@ -1,22 +1,26 @@
 """Secondary indexes: definitions, what they would answer, and their tables.
 
-Parquet statistics and pushed filters take the place of probing. A definition says what is filed; the
-postings table can be written and joined where a path is asked for often and the data are not sorted by it.
+A definition says what is filed. Its postings are written as a table in the order of the values, so that the bounds of a
+probe reach the Parquet scan and most of it is passed over. A table stands in a folder that is named by the
+log number that it holds for; a refresh takes over the postings of the keys that have not changed since.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.errors import Conflict, NotFound
 from docquarry.functions.kinds import KINDS
+from docquarry.operators.paging import keyed
 from docquarry.operators.values import Value
 from docquarry.plans.filters import Branch, Condition, conjuncts
 from docquarry.plans.requests import MAX_INDEXES, check_index
+from docquarry.sources.log import documents, suffix
 
 #: An index is used for this many candidates, beyond that only for at most half of the documents.
 ALWAYS, SHARE = 64, 2
@@ -51,13 +55,17 @@ class Indexes:
 
 def postings(df: DataFrame, root: Value, path: str) -> DataFrame:
     """``value`` (sort key), ``key`` for each document that has the path; an explicit null is filed."""
-    value = root.at(path)
-    return df.where(value.exists()).select(value.sort_key().alias("value"), "key")
+    rows, (name,) = keyed(df.where(root.at(path).exists()), root, [path])
+    return rows.select(F.col(name).alias("value"), "key")
 
 
 def status(df: DataFrame, root: Value, path: str) -> DataFrame:
     """``documents`` that are filed and ``values`` that are distinct."""
-    return postings(df, root, path).agg(F.count("*").alias("documents"), F.countDistinct("value").alias("values"))
+    return counted(postings(df, root, path))
+
+
+def counted(table: DataFrame) -> DataFrame:
+    return table.agg(F.count("*").alias("documents"), F.countDistinct("value").alias("values"))
 
 
 @dataclass(frozen=True)
@@ -121,10 +129,56 @@ def candidates(table: DataFrame, p: Probe, path_value: Value) -> DataFrame:
     return table.select("key")
 
 
-def choose(indexes: Indexes, filter: Branch | None, count, total: int) -> tuple[str, Probe] | None:
+class Postings:
+    """The written postings of a collection's indexes, in a folder."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def _at(self, *parts: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((self.folder, *parts)))
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def version(self, name: str) -> int | None:
+        """The log number that the newest whole table of an index holds for."""
+        where, system = self._at(name)
+        found = [f.getPath().getName() for f in system.listStatus(where)] if system.exists(where) else []
+        whole = [int(v) for v in found if system.exists(self._at(name, v, "_SUCCESS")[0])]
+        return max(whole, default=None)
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}/{self.version(name)}")
+
+    def write(self, name: str, table: DataFrame, version: int) -> None:
+        before = self.version(name)
+        table.repartitionByRange("value").sortWithinPartitions("value").write.mode("overwrite").parquet(f"{self.folder}/{name}/{version}")
+        if before is not None and before != version:
+            where, system = self._at(name, str(before))
+            system.delete(where, True)
+
+    def drop(self, name: str) -> None:
+        where, system = self._at(name)
+        system.delete(where, True)
+
+    def refresh(self, name: str, log: DataFrame, head: int, root: Value, path: str) -> None:
+        """Brings a table to the state of a log: written anew at first and after a drop, else only changed keys are filed again."""
+        held = self.version(name)
+        if held == head:
+            return
+        newer = None if held is None else suffix(log, held)
+        if newer is None or newer.where("op = 'drop'").head(1):
+            self.write(name, postings(documents(log).df, root, path), head)
+            return
+        changed = newer.where(F.col("op").isin("put", "del")).select("key").distinct()
+        current = documents(log.join(changed, "key", "left_semi").unionByName(log.where("op = 'drop'"))).df
+        kept = self.read(name).join(changed, "key", "left_anti").select("value", "key")
+        self.write(name, kept.unionByName(postings(current, root, path)), head)
+
+
+def choose(indexes: Indexes, filter: Branch | None, count: Callable[[str, Probe], int], total: Callable[[], int]) -> tuple[str, Probe] | None:
     """The index with the fewest candidates: ``count(path, probe)`` tells them. Ties go to the first path, then name.
 
-    None if no index applies, or the best still reads more than half of the ``total`` documents.
+    None if no index applies, or the best still reads more than half of all documents, whose number ``total`` tells.
     """
     best = None
     for at in sorted(conjuncts(filter), key=lambda a: a.path) if filter is not None else ():
@@ -134,6 +188,6 @@ def choose(indexes: Indexes, filter: Branch | None, count, total: int) -> tuple[
                 n = count(path, p)
                 if best is None or n < best[0]:
                     best = n, name, p
-    if best is None or best[0] > ALWAYS and best[0] * SHARE > total:
+    if best is None or best[0] > ALWAYS and best[0] * SHARE > total():
         return None
     return best[1], best[2]

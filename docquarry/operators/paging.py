@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docquarry.errors import Refused
 from docquarry.operators.filtering import compile_filter
 from docquarry.operators.projecting import project_json
-from docquarry.operators.values import Value, every, false
+from docquarry.operators.values import Value, VariantValue, every, false, some
 from docquarry.plans.filters import Branch
 from docquarry.plans.requests import SortKey, encode_cursor
 
@@ -25,10 +25,30 @@ def key_range(df: DataFrame, start: str | None, end: str | None, after: str | No
     return df
 
 
-def order_by(keys: list[SortKey], root: Value) -> list[Column]:
-    """Missing first ascending and last descending; the key always ascending."""
-    columns = [(k, root.at(k.path).sort_key()) for k in keys]
-    return [c.desc() if k.descending else c.asc() for k, c in columns] + [F.col("key").asc()]
+def keyed(df: DataFrame, root: Value, paths: list[str]) -> tuple[DataFrame, list[str]]:
+    """The rows with a column of the sort key for each path, and the columns' names.
+
+    Only arrays and objects are ordered by an encoding that Python makes: rows with one at such a path are read apart.
+    """
+    values, names = [root.at(p) for p in paths], [f"_sort{i}" for i in range(len(paths))]
+    full = {n: v.sort_key() for n, v in zip(names, values, strict=True)}
+    variants = [v for v in values if isinstance(v, VariantValue)]
+    if not variants:
+        return df.withColumns(full), names
+    nested = some([v.nested() for v in variants])
+    plain = {n: v.sort_key(plain=True) if isinstance(v, VariantValue) else full[n] for n, v in zip(names, values, strict=True)}
+    return df.where(~nested).withColumns(plain).unionByName(df.where(nested).withColumns(full)), names
+
+
+def ordered(df: DataFrame, root: Value, keys: list[SortKey], limit: int | None = None, tie: list[Column] | None = None) -> DataFrame:
+    """Missing first ascending and last descending; then by key, always ascending. Limited, a heap of so many rows in each task.
+
+    ``tie``: columns whose order is that of the keys.
+    """
+    rows, names = keyed(df, root, [k.path for k in keys])
+    by = [F.col(n).desc() if k.descending else F.col(n).asc() for k, n in zip(keys, names, strict=True)]
+    found = rows.orderBy(*by, *(c.asc() for c in tie or [F.col("key")]))
+    return (found if limit is None else found.limit(limit)).drop(*names)
 
 
 def after_position(keys: list[SortKey], values: list[Any], key: str, root: Value) -> Column:
@@ -41,11 +61,11 @@ def after_position(keys: list[SortKey], values: list[Any], key: str, root: Value
     return out | every([*same, F.col("key") > key])
 
 
-def top(df: DataFrame, root: Value, keys: list[SortKey], limit: int, position: tuple[list[Any], str] | None = None) -> DataFrame:
+def top(df: DataFrame, root: Value, keys: list[SortKey], limit: int, position: tuple[list[Any], str] | None = None, tie: list[Column] | None = None) -> DataFrame:
     """The first rows in order, optionally after a position; a bounded heap per task, no full sort."""
     if position is not None:
         df = df.where(after_position(keys, *position, root))
-    return df.orderBy(*order_by(keys, root)).limit(limit)
+    return ordered(df, root, keys, limit, tie)
 
 
 @dataclass

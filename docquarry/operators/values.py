@@ -367,8 +367,12 @@ class VariantValue(Value):
     def group_key(self) -> Column:
         return self.json()
 
-    def sort_key(self) -> Column:
-        """Kind, number, string, bytes; only the one that the kind calls for is filled."""
+    def nested(self) -> Column:
+        """Whether it is an array or an object, whose order takes an encoding."""
+        return F.coalesce(self._kind("array") | self._kind("object"), F.lit(False))
+
+    def sort_key(self, plain: bool = False) -> Column:
+        """Kind, number, string, bytes; only the one that the kind calls for is filled. ``plain``: none is nested."""
         kind = self.kind_column()
         rank = F.coalesce(F.array_position(F.lit(list(KINDS)), kind).cast("int") - 1, F.lit(0))
         nested = kind.isin("array", "object")
@@ -377,7 +381,7 @@ class VariantValue(Value):
             rank.alias("rank"),
             F.coalesce(number, F.lit(0.0)).alias("num"),
             F.coalesce(F.when(kind == "string", self._get("string")), F.lit("")).alias("str"),
-            F.coalesce(encode_json(F.when(nested, F.to_json(self.column))), F.lit(b"")).alias("bin"),
+            (F.lit(b"") if plain else F.coalesce(encode_json(F.when(nested, F.to_json(self.column))), F.lit(b""))).alias("bin"),
         )
 
     @staticmethod
@@ -394,7 +398,13 @@ class VariantValue(Value):
         return F.col("value")["rank"] == KINDS.index(kind)
 
     def compare_key(self, literal: Any, op: str) -> Column:
-        return _BY[op](F.col("value"), self._bound(literal))
+        """By the part of the sort key that the literal's kind fills, a bare comparison that reaches the scan."""
+        kind = kind_of(literal)
+        if kind == "null":
+            return self.key_kind(kind)
+        part = "num" if kind in ("bool", "number") else "str" if kind == "string" else "bin"
+        bound = float(literal) if part == "num" else literal if part == "str" else encode(literal)
+        return self.key_kind(kind) & _BY[op](F.col("value")[part], F.lit(bound))
 
     def after(self, value: Any, descending: bool) -> tuple[Column, Column]:
         key, bound = self.sort_key(), self._bound(value)

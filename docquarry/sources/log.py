@@ -40,8 +40,6 @@ SCHEMA = T.StructType(
     ]
 )
 _DOCUMENT = ("put", "del")
-#: Expired documents that a sweep deletes at a time.
-SWEEP_BATCH = 64
 
 
 def suffix(log: DataFrame, after: int, up_to: int | None = None) -> DataFrame:
@@ -50,10 +48,15 @@ def suffix(log: DataFrame, after: int, up_to: int | None = None) -> DataFrame:
     return found if up_to is None else found.where(F.col("lsn") <= up_to)
 
 
+def last_drop(log: DataFrame) -> int | None:
+    """The number of the last drop, by a scan for drops alone."""
+    return log.where("op = 'drop'").agg(F.max("lsn")).first()[0]
+
+
 def since_drop(log: DataFrame) -> DataFrame:
-    """The entries after the last drop."""
-    last = log.where("op = 'drop'").agg(F.max("lsn").alias("dropped"))
-    return log.join(F.broadcast(last), F.coalesce("dropped", F.lit(-1)) < F.col("lsn")).drop("dropped")
+    """The entries after the last drop. Its number is looked up now and is a bound that reaches the scan."""
+    dropped = last_drop(log)
+    return log if dropped is None else log.where(F.col("lsn") > dropped)
 
 
 def snapshot(log: DataFrame) -> DataFrame:
@@ -126,12 +129,26 @@ class Log:
         self.spark, self.path, self.term = spark, path, term
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+        """All entries; none before the first write."""
+        return self.spark.read.schema(SCHEMA).parquet(self.path) if self._exists() else self.spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMA))
+
+    def _at(self, path: str) -> tuple[Any, Any]:
+        """The path and its file system, whichever it is."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _exists(self, path: str | None = None) -> bool:
+        where, system = self._at(path or self.path)
+        return system.exists(where)
+
+    def _rename(self, source: str, target: str) -> None:
+        where, system = self._at(source)
+        if not system.rename(where, self._at(target)[0]):
+            raise OSError(f"{source} could not be renamed")
 
-    def _exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    def _delete(self, path: str) -> None:
+        where, system = self._at(path)
+        system.delete(where, True)
 
     def head(self) -> int:
         """The highest number in use; 0 for an empty log."""
@@ -218,6 +235,15 @@ class Log:
             seen.add(d["id"])
         return out
 
+    def define_index(self, name: str, path: str | None) -> None:
+        """Logs a definition; None takes it back."""
+        self.append([{"op": "index", "key": name, "value": path}])
+
+    def index_definitions(self) -> dict[str, str]:
+        """The path of each index by its name; there are few."""
+        newest = since_drop(self.read()).where("op = 'index'").groupBy("key").agg(F.max_by(F.struct("value"), "lsn").alias("e"))
+        return {r["key"]: r["e"]["value"] for r in newest.collect() if r["e"]["value"] is not None}
+
     def drop(self) -> None:
         """Clears documents, index definitions and lifetime; a later put revives the collection."""
         if self._exists() and since_drop(self.read()).head(1):
@@ -233,29 +259,77 @@ class Log:
         return ttl(self.read()).first()[0] if self._exists() else None
 
     def sweep(self, now_ms: int) -> int:
-        """Logs a deletion of each due document, in batches; how many. A version written meanwhile stays."""
-        due = expired(self.read(), now_ms) if self._exists() else None
-        n, batch = 0, []
-        for row in due.orderBy("key").toLocalIterator() if due is not None else ():
-            batch.append((row["key"], row["lsn"]))
-            if len(batch) == SWEEP_BATCH:
-                n += self._sweep(batch)
-                batch = []
-        return n + self._sweep(batch)
-
-    def _sweep(self, batch: list[tuple[str, int]]) -> int:
-        if not batch:
+        """Logs a deletion of each document that is due, all in one append; how many."""
+        if not self._exists():
             return 0
-        now = {r["key"]: r["lsn"] for r in snapshot(self.read().where(F.col("key").isin([k for k, _ in batch]) | (F.col("op") == "drop"))).select("key", "lsn").collect()}
-        still = [k for k, lsn in batch if now.get(k) == lsn]
-        self.append([{"op": "del", "key": k} for k in still])
-        return len(still)
-
-    def compact(self, target: str, keep_after: int | None = None) -> None:
-        """Writes the live documents' puts, the settings and the entries after ``keep_after`` to another folder."""
+        first = self.head() + 1
+        due = expired(self.read(), now_ms).select("key").repartitionByRange("key").sortWithinPartitions("key")
+        fixed = {"term": self.term, "op": "del", "value": None, "ts": 0, "expire_at": None, "migration": False, "ttl_secs": None}
+        rows = due.withColumn("lsn", F.monotonically_increasing_id() + first)
+        rows.select(*(F.col(f.name) if f.name in ("lsn", "key") else F.lit(fixed[f.name]).cast(f.dataType).alias(f.name) for f in SCHEMA)).write.mode("append").parquet(self.path)
+        return self.read().where((F.col("lsn") >= first) & (F.col("op") == "del")).count()
+
+    def compacted(self, keep_after: int | None = None) -> DataFrame:
+        """The live documents' puts, the settings and the entries after ``keep_after``: another log of the same state."""
         log = self.read()
-        live = log.join(snapshot(log).select("lsn"), "lsn", "left_semi")
-        kept = live.unionByName(since_drop(log).where("op IN ('ttl', 'index')"))
+        since = since_drop(log)
+        # Of the newest entry of each key only its number is gathered; numbers are unique in a log.
+        newest = since.where(F.col("op").isin(*_DOCUMENT)).groupBy("key").agg(F.max("lsn").alias("lsn")).select("lsn")
+        kept = since.where("op = 'put'").join(newest, "lsn", "left_semi").unionByName(since.where("op IN ('ttl', 'index')"))
         if keep_after is not None:
             kept = kept.where(F.col("lsn") <= keep_after).unionByName(log.where(F.col("lsn") > keep_after))
-        kept.select(*SCHEMA.names).repartitionByRange("lsn").sortWithinPartitions("lsn").write.parquet(target)
+        return kept.select(*SCHEMA.names).repartitionByRange("lsn").sortWithinPartitions("lsn")
+
+    def compact(self, target: str | None = None, keep_after: int | None = None) -> None:
+        """Writes the compacted log to another folder or, without one, in place of this one.
+
+        In place, the new folder is written whole before the old one makes way; ``recover`` ends a swap that was cut short.
+        The number of the last entry is kept by a barrier, so numbers are never given out twice.
+        """
+        if target is not None:
+            return self.compacted(keep_after).write.parquet(target)
+        if not self._exists():
+            return None
+        head = self.head()
+        new, old = f"{self.path}.new", f"{self.path}.old"
+        barrier = {"lsn": head, "term": self.term, "op": "barrier", "ts": 0, "migration": False}
+        last = self.spark.range(1).select(*(F.lit(barrier.get(f.name)).cast(f.dataType).alias(f.name) for f in SCHEMA))
+        kept = self.compacted(keep_after)
+        # The last entry may be among those that stay; then there is no need of a barrier.
+        kept.unionByName(last.join(kept.select("lsn"), "lsn", "left_anti").select(*SCHEMA.names)).write.mode("overwrite").parquet(new)
+        self._delete(old)
+        self._rename(self.path, old)
+        self._rename(new, self.path)
+        self._delete(old)
+        return None
+
+    def recover(self) -> None:
+        """After a writer that stopped in the middle of a swap: the old folder comes back if the new one isn't in its place."""
+        old = f"{self.path}.old"
+        if not self._exists() and self._exists(old):
+            self._rename(old, self.path)
+        self._delete(old)
+        self._delete(f"{self.path}.new")
+
+    def compact_if(self, share: float = 0.5, keep_after: int | None = None) -> bool:
+        """Compacts in place if at least this share of the entries would go; whether it did."""
+        total = self.read().count()
+        if not total or total - self.compacted(keep_after).count() < share * total:
+            return False
+        self.compact(keep_after=keep_after)
+        return True
+
+    def export(self, target: str) -> int:
+        """Writes the state at this moment to a folder: live documents with their versions and deadlines, and the
+        settings. The number up to which it holds, at which a change feed takes over."""
+        head = self.head()
+        log = suffix(self.read(), 0, head)
+        live = snapshot(log).withColumns({"op": F.lit("put"), "migration": F.lit(False), "ttl_secs": F.lit(None).cast("bigint")})
+        live.select(*SCHEMA.names).unionByName(since_drop(log).where("op IN ('ttl', 'index')").select(*SCHEMA.names)).write.parquet(target)
+        return head
+
+    def restore(self, source: str) -> None:
+        """Takes over an exported state, as it was; only into an empty log."""
+        if self.head():
+            raise PreconditionFailed("the log is not empty", None)
+        self.spark.read.schema(SCHEMA).parquet(source).write.mode("append").parquet(self.path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +13,19 @@ from docquarry.operators.values import TypedValue, Value, VariantValue
 
 @dataclass
 class Documents:
-    """``df`` has ``key`` and ``doc``; other columns (version, times) may follow."""
+    """``df`` has ``key`` and ``doc``; other columns (version, times) may follow.
+
+    ``order``: top-level members whose order, one after another, is that of the keys, so that sorting needs no key text.
+    """
 
     df: DataFrame
     exact: bool = True
+    order: tuple[str, ...] = ()
+
+    def key_order(self) -> list[Column]:
+        return [F.col("doc")[name] for name in self.order] or [F.col("key")]
 
-    @property
+    @cached_property
     def root(self) -> Value:
         dtype = self.df.schema["doc"].dataType
         if dtype.typeName() == "variant":
@@ -25,12 +33,12 @@ class Documents:
         return TypedValue(F.col("doc"), dtype, self.exact)
 
 
-def typed(df: DataFrame, key: Column, exact: bool = True) -> Documents:
+def typed(df: DataFrame, key: Column, exact: bool = True, order: tuple[str, ...] = ()) -> Documents:
     """A table as a collection: its columns are the members, SQL NULL is a missing member.
 
     The struct is only named here; Spark reads the members that a query touches.
     """
-    return Documents(df.select(key.alias("key"), F.struct(*df.columns).alias("doc")), exact)
+    return Documents(df.select(key.alias("key"), F.struct(*df.columns).alias("doc")), exact, order)
 
 
 def variant(df: DataFrame, key: Column, text: Column, exact: bool = True) -> Documents:

@@ -28,18 +28,17 @@ STRETCH = 1 << 20
 def epochs(log: DataFrame) -> DataFrame:
     """Adds ``epoch``, the number of drops up to an entry.
 
-    A running count over the whole log would take one task. Drops are counted by stretches of the log
-    numbers instead, the few stretches that have any are summed up, and the count runs within a stretch.
+    A running count over the whole log would take one task. Drops are counted by stretches of the log numbers
+    instead, summed up over the stretches that there are, a row for each ``STRETCH`` numbers, and joined by stretch; the
+    count runs on within a stretch.
     """
     stretch = F.floor(F.col("lsn") / STRETCH)
-    drops = log.where("op = 'drop'").groupBy(stretch.alias("stretch")).agg(F.count("*").alias("n"))
-    sums = drops.select("stretch", F.sum("n").over(Window.orderBy("stretch")).alias("through"))
-    till = sums.select(F.col("stretch").alias("from"), F.lead("stretch").over(Window.orderBy("stretch")).alias("to"), "through")
-    s = F.col("stretch")
-    within = F.sum(F.when(F.col("op") == "drop", 1).otherwise(0)).over(Window.partitionBy("stretch").orderBy("lsn"))
-    counted = log.withColumn("stretch", stretch).withColumn("within", within)
-    before = (s > F.col("from")) & (F.col("to").isNull() | (s <= F.col("to")))
-    return counted.join(F.broadcast(till), before, "left").withColumn("epoch", F.coalesce("through", F.lit(0)) + F.col("within")).drop("from", "to", "through", "within", "stretch")
+    drops = F.sum(F.when(F.col("op") == "drop", 1).otherwise(0))
+    each = log.groupBy(stretch.alias("stretch")).agg(drops.alias("n"))
+    before = F.sum("n").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    sums = each.select("stretch", F.coalesce(before, F.lit(0)).alias("before"))
+    counted = log.withColumn("stretch", stretch).withColumn("within", drops.over(Window.partitionBy("stretch").orderBy("lsn")))
+    return counted.join(sums, "stretch").withColumn("epoch", F.col("before") + F.col("within")).drop("before", "within", "stretch")
 
 
 def classify(log: DataFrame) -> DataFrame:

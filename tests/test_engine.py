@@ -52,17 +52,22 @@ def pages(c, **request):
     raise AssertionError("no end")
 
 
-@pytest.mark.parametrize("limit", [1, 4, 7, 50])
-def test_pages_concatenate_to_the_whole(spark, limit):
-    docs = {f"k{i:02}": {"rank": 15 - i, "tag": "even" if i % 2 == 0 else "odd"} for i in range(15)}
-    if limit == 1:
-        docs = {k: docs[k] for k in list(docs)[:5]}
+@pytest.mark.parametrize("seed", range(4))
+def test_any_paging_gives_the_whole_answer(spark, seed):
+    """Random documents, orders, filters and page sizes: the pages one after another are what one request finds."""
+    rng = random.Random(seed)
+    docs = {f"{rng.randrange(10**6):06}-{n}": {"size": rng.choice([rng.randint(0, 4), 2.5, "m", None]), "shade": rng.choice("xyz")} | ({"extra": n} if rng.random() < 0.3 else {}) for n in range(23)}
     c = collection(spark, docs)
-    assert pages(c, limit=limit) == sorted(docs)
-    assert pages(c, limit=limit, sort="rank") == sorted(docs, reverse=True)
-    assert pages(c, limit=limit, sort="tag:desc,rank") == sorted(docs, key=lambda k: (docs[k]["tag"] == "even", docs[k]["rank"]))
-    assert pages(c, limit=limit, filter={"tag": "odd"}) == [k for k in sorted(docs) if docs[k]["tag"] == "odd"]
-    assert pages(c, limit=limit, filter={"tag": "odd"}, max_docs=3) == [k for k in sorted(docs) if docs[k]["tag"] == "odd"]
+    sort = rng.choice([None, "size", "shade:desc,size", "extra:desc,shade"])
+    chosen = rng.choice([None, {"shade": {"$in": ["x", "z"]}}, {"extra": {"$exists": False}}])
+    request = {"sort": sort, "filter": chosen} | ({"max_docs": 5} if sort is None else {})
+    whole = [k for k in sorted(docs) if chosen is None or matches(parse_filter(chosen), docs[k])]
+    for part in reversed((sort or "").split(",")):
+        if part:
+            path, _, way = part.partition(":")
+            rank = {k: b"" if path not in docs[k] else b"1" + encode(docs[k][path]) for k in whole}
+            whole.sort(key=rank.__getitem__, reverse=way == "desc")
+    assert pages(c, limit=rng.choice([2, 3, 9, 100]), **request) == whole
 
 
 def test_sorted_pages_over_mixed_and_missing(spark):
@@ -132,19 +137,90 @@ def test_typed_and_variant_agree_and_filters_are_pushed(spark, tmp_path):
     assert "GreaterThanOrEqual(age,3)" in pushed and "StringStartsWith(tier,g)" in pushed
 
 
-def test_indexes(spark):
-    c = collection(spark, {f"k{i}": {"n": i % 3, "s": "x" * i} if i else {"n": None} for i in range(10)} | {"z": {}})
-    assert c.indexes.create("by_n", "n") and not c.indexes.create("by_n", "n")
+FILTERS = ({"n": 1}, {"n": {"$in": [0, 2.0, None]}}, {"n": {"$gte": 1, "$lt": 2}, "s": {"$contains": "xx"}}, {"n": {"$type": "null"}}, {"n": {"$exists": True}}, {"s": "x"}, {"n": {"$gt": 5}}, {"n": [1, {"a": 2}]}, {"n": {"$type": "array"}}, {"n": "w"}, {"n": {"$prefix": "w"}}, {"n": True}, {"n": {"$lt": "x"}})
+
+
+def same_with_index(c):
+    for f in FILTERS:
+        assert sorted(r["key"] for r in c.find_by_index(f).collect()) == sorted(r["key"] for r in c.find(filter=f).collect()), f
+
+
+def test_indexes(spark, tmp_path):
+    c = collection(spark, {f"k{i}": {"n": i % 3, "s": "x" * i} if i else {"n": None} for i in range(10)} | {"z": {}, "l": {"n": [1, {"a": 2}]}, "w": {"n": "wx"}, "t": {"n": True}})
+    with pytest.raises(NotFound):
+        c.create_index("homeless", "n")
+    c.indexes.drop("homeless")
+    c.folder = str(tmp_path / "indexes")
+    assert c.create_index("by_n", "n") and not c.create_index("by_n", "n")
     with pytest.raises(Conflict):
-        c.indexes.create("by_n", "s")
-    assert c.index_status() == [{"name": "by_n", "field": "n", "state": "ready", "documents": 10, "values": 4}]
+        c.create_index("by_n", "s")
+    assert c.index_status() == [{"name": "by_n", "field": "n", "state": "ready", "documents": 13, "values": 7}]
     assert c.explain_index({"n": 1})["index"] == "by_n"
-    for f in ({"n": 1}, {"n": {"$in": [0, 2.0, None]}}, {"n": {"$gte": 1, "$lt": 2}, "s": {"$contains": "xx"}}, {"n": {"$type": "null"}}, {"n": {"$exists": True}}, {"s": "x"}, {"n": {"$gt": 5}}):
-        assert sorted(r["key"] for r in c.find_by_index(f).collect()) == sorted(r["key"] for r in c.find(filter=f).collect()), f
+    same_with_index(c)
     assert c.explain_index({"$or": [{"n": 1}]}) is None and c.explain_index({"s": "x"}) is None
     with pytest.raises(NotFound):
-        c.indexes.drop("other")
-    assert successor("a") == "b" and successor("a\U0010ffff") == "b" and successor("\U0010ffff") is None and successor("퟿") == ""
+        c.drop_index("other")
+    c.drop_index("by_n")
+    assert c.index_status() == [] and c.explain_index({"n": 1}) is None
+    assert successor("a") == "b" and successor("a\U0010ffff") == "b" and successor("\U0010ffff") is None and successor("\ud7ff") == "\ue000"
+
+
+def test_indexes_follow_the_log(spark, tmp_path):
+    c = Engine(spark, str(tmp_path)).create("c")
+    c.source.bulk([{"id": f"k{i}", "value": {"n": i % 3, "s": "x" * i}} for i in range(8)])
+    c.create_index("by_n", "n")
+    first = c.postings.version("by_n")
+    same_with_index(c)
+    c.source.put("k1", {"n": "wide"})
+    c.source.put("new", {"n": [1, {"a": 2}]})
+    c.source.delete("k4")
+    assert c.index_status()[0]["state"] == "stale"
+    same_with_index(c)
+    assert c.postings.version("by_n") == c.source.head() > first and c.index_status()[0] == {"name": "by_n", "field": "n", "state": "ready", "documents": 8, "values": 5}
+    # Another process finds the definition in the log.
+    again = Engine(spark, str(tmp_path)).create("c")
+    assert again.explain_index({"n": 2})["index"] == "by_n"
+    c.source.drop()
+    c.source.put("late", {"n": 1})
+    assert c.explain_index({"n": 1}) is None and [r["key"] for r in c.find_by_index({"n": 1}).collect()] == ["late"]
+
+
+def test_probes_reach_the_scan_of_postings(spark, tmp_path):
+    c = collection(spark, {f"k{i:03}": {"n": i} for i in range(300)})
+    c.folder = str(tmp_path)
+    c.create_index("by_n", "n")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = c.find_by_index({"n": {"$gte": 10, "$lt": 20}})._jdf.queryExecution().executedPlan().toString()
+    pushed = " ".join(part.split("]")[0] for part in plan.split("PushedFilters:")[1:])
+    assert "GreaterThanOrEqual(value.num,10.0)" in pushed and "LessThan(value.num,20.0)" in pushed and "EqualTo(value.rank" in pushed
+
+
+def test_plans_of_sorted_variants(spark):
+    c = collection(spark, {"a": {"v": 1}, "b": {"v": [2]}, "c": {}})
+    found = c.find(sort="v:desc", limit=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and [r["key"] for r in found.collect()] == ["b", "a"]
+    # Python stands in the branch of nested values only.
+    assert plan.count("ArrowEvalPython") <= 1 < plan.count("Union") + 1
+
+
+def test_key_order_by_parts(spark):
+    rows = spark.createDataFrame([(i * 37 % 100, i % 3) for i in range(100)], "a bigint, b int")
+    key = F.concat_ws("-", F.lpad(F.col("a").cast("string"), 20, "0"), F.lpad(F.col("b").cast("string"), 20, "0"))
+    plain, parts = (Collection("t", typed(rows, key, order=o)) for o in ((), ("a", "b")))
+    for request in ({"limit": 30}, {"sort": "b:desc", "limit": 30}):
+        assert [r["key"] for r in plain.find(**request).collect()] == [r["key"] for r in parts.find(**request).collect()]
+    plan = parts.find(sort="b", limit=5).select("doc.a")._jdf.queryExecution().executedPlan().toString()
+    assert "lpad" not in plan
+
+
+def test_a_collection_before_its_first_write(spark, tmp_path):
+    c = Engine(spark, str(tmp_path)).create("new")
+    assert c.query().items == [] and c.query(filter={"a": 1}, sort="b").items == []
+    assert c.aggregate(metrics="count,sum:a").groups == [] and c.find().count() == 0
+    assert c.changes(after=0).count() == 0 and c.changes().count() == 0 and c.index_status() == []
+    with pytest.raises(NotFound):
+        c.get("k")
 
 
 def test_engine_names(spark, tmp_path):
@@ -154,7 +230,7 @@ def test_engine_names(spark, tmp_path):
     c = e.create("orders")
     c.source.put("o1", {"x": 1})
     assert e.collections() == ["orders"] and c.get("o1")[0] == {"x": 1}
-    c.indexes.create("by_x", "x")
+    c.create_index("by_x", "x")
     c.drop()
     assert c.indexes.list() == [] and e.collections() == [] and c.query().items == []
     with pytest.raises(NotFound):

@@ -85,6 +85,61 @@ def test_expiry(spark, tmp_path):
     assert small.get("later")[0] == {"v": 2} and small.read().count() < log.read().count()
 
 
+def test_sweep_is_one_append(spark, tmp_path):
+    log = logs.Log(spark, str(tmp_path / "c"))
+    assert log.sweep(10**15) == 0
+    log.append_frame(spark.range(300).selectExpr("concat('k', id) AS key", "'{}' AS value"))
+    log.put("stays", 1, expire_at=10**15, now_ms=1)
+    log.set_ttl(1)
+    files = {f.name for f in (tmp_path / "c").glob("*.parquet")}
+    before = log.head()
+    assert log.sweep(10**14) == 300 and [r["key"] for r in logs.snapshot(log.read()).collect()] == ["stays"]
+    added = logs.suffix(log.read(), before)
+    assert added.select("op").distinct().collect() == [("del",)] and added.select("lsn").distinct().count() == 300
+    assert len({f.name for f in (tmp_path / "c").glob("*.parquet")} - files) < 64
+
+
+def test_compaction_in_place(spark, tmp_path):
+    log = logs.Log(spark, str(tmp_path / "c"))
+    log.compact()
+    for i in range(4):
+        log.put("a", {"n": i})
+    log.put("b", 1)
+    log.set_ttl(50)
+    log.delete("b")
+    state, head = ordered_state(log), log.head()
+    assert not log.compact_if(0.9) and log.compact_if(0.5)
+    # The last entry was a deletion; a barrier keeps its number in use.
+    assert ordered_state(log) == state and log.head() == head and log.get_ttl() == 50
+    assert sorted((r["lsn"], r["op"]) for r in log.read().collect()) == [(4, "put"), (6, "ttl"), (7, "barrier")]
+    assert log.put("c", 2).etag == '"1.8"' and not (tmp_path / "c.old").exists() and not (tmp_path / "c.new").exists()
+    # A writer that stopped between the two renames.
+    (tmp_path / "c").rename(tmp_path / "c.old")
+    log.recover()
+    assert log.get("c")[0] == 2 and not (tmp_path / "c.old").exists()
+
+
+def ordered_state(log):
+    return sorted((r["key"], r["value"], r["lsn"]) for r in logs.snapshot(log.read()).collect())
+
+
+def test_export_and_restore(spark, tmp_path):
+    log = logs.Log(spark, str(tmp_path / "c"))
+    log.put("a", {"n": 1}, expire_at=77)
+    log.put("a", {"n": 2}, expire_at=78)
+    log.put("gone", 1)
+    log.delete("gone")
+    log.define_index("by_n", "n")
+    head = log.export(str(tmp_path / "out"))
+    log.put("later", 3)
+    other = logs.Log(spark, str(tmp_path / "d"))
+    other.restore(str(tmp_path / "out"))
+    assert head == 5 and ordered_state(other) == [("a", '{"n":2}', 2)] and other.index_definitions() == {"by_n": "n"}
+    assert [r["expire_at"] for r in logs.snapshot(other.read()).collect()] == [78]
+    with pytest.raises(PreconditionFailed):
+        other.restore(str(tmp_path / "out"))
+
+
 def entries(spark, ops):
     rows = [(n, op, k, json.dumps(v) if v is not None else None, moved) for n, (op, k, v, moved) in enumerate(ops, 1)]
     return spark.createDataFrame(rows, "lsn bigint, op string, key string, value string, migration boolean")
