@@ -5,6 +5,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -15,7 +19,7 @@ from docquarry.engine import Collection
 from docquarry.functions.patch import merge_patch_json
 from docquarry.operators import indexing, paging
 from docquarry.operators.projecting import project_json, project_struct
-from docquarry.plans.requests import parse_sort
+from docquarry.plans.requests import MAX_BUDGET
 from docquarry.sources import log as logs
 from docquarry.sources.tables import Documents, padded, prepare, typed, variant
 from docquarry.streaming import changes as feed
@@ -38,8 +42,21 @@ KEYS: dict[str, Callable[[], Column]] = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> Collection:
-    return Collection(name, typed(prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet"), KEYS[name]()))
+#: Members whose order is that of the key text: numbers from 0 on and times.
+ORDER: dict[str, tuple[str, ...]] = {"lineitem": ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"), "orders": ("o_orderkey",), "customer": ("c_name",), "part": ("p_partkey",)}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, folder: str | None = None) -> Collection:
+    return Collection(name, typed(prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet"), KEYS[name](), order=ORDER.get(name, ())), folder=folder)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share; only a local session may do without the setting for it."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='docquarry-')}/{name}-{uuid.uuid4().hex}"
 
 
 def find(name: str, columns: str, **request) -> Callable[[SparkSession, str], DataFrame]:
@@ -92,25 +109,114 @@ _LINE = "l_orderkey,l_linenumber,l_partkey,l_suppkey,l_shipdate"
 _LINE_KEY = "lpad(l_orderkey::VARCHAR, 20, '0') || '-' || lpad(l_linenumber::VARCHAR, 20, '0') || '-' || lpad(l_partkey::VARCHAR, 20, '0') || '-' || lpad(l_suppkey::VARCHAR, 20, '0') || '-' || strftime(l_shipdate, '%Y-%m-%d %H:%M:%S')"
 
 
+def items(spark: SparkSession, page: paging.Page, schema: str) -> DataFrame:
+    """The documents of a page as rows."""
+    texts = spark.createDataFrame([(json.dumps(x),) for x in page.items], "text string")
+    return texts.select(F.from_json("text", schema).alias("d")).select("d.*")
+
+
 def sort_page_2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second page of ten, resumed after the last row of the first."""
+    """The second page of ten, asked for with the cursor of the first."""
+    request = {"sort": "l_quantity:desc,l_shipdate", "fields": _LINE, "limit": 10, "max_docs": MAX_BUDGET}
     c = table(spark, sf_dir, "lineitem")
-    docs, keys = c.documents, parse_sort("l_quantity:desc,l_shipdate")
-    first = paging.top(docs.df, docs.root, keys, 10).select("key", *(docs.root.at(k.path).json().alias(k.path) for k in keys))
-    import json
-
-    last = first.collect()[-1]
-    values = [json.loads(last[k.path]) for k in keys]
-    return paging.top(docs.df, docs.root, keys, 10, (values, last["key"])).select(*project_struct(docs.root, _LINE.split(",")))
+    page = c.query(**request, cursor=c.query(**request).next_cursor)
+    return items(spark, page, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_shipdate timestamp_ntz")
 
 
 def unsorted_page_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    request = {"filter": {"o_orderstatus": "F"}, "fields": "o_orderkey", "limit": 20, "max_docs": MAX_BUDGET}
     c = table(spark, sf_dir, "orders")
-    first = c.query(filter={"o_orderstatus": "F"}, limit=20, keys=True)
-    from docquarry.plans.requests import key_position
+    return items(spark, c.query(**request, cursor=c.query(**request).next_cursor), "o_orderkey bigint")
+
+
+#: Values of all kinds at one path, some missing; their kind, number and text decide their order.
+_MIXED = "CASE event_id % 6 WHEN 0 THEN '{{\"g\":' || event_id % 4 || ',\"v\":' || {n} || '}}' WHEN 1 THEN '{{\"v\":\"s' || {n} || '\"}}' WHEN 2 THEN '{{\"g\":1,\"v\":null}}' WHEN 3 THEN '{{\"v\":true}}' WHEN 4 THEN '{{\"g\":' || event_id % 4 || ',\"v\":[' || {n} || ']}}' ELSE '{{\"g\":2}}' END"
+_MIXED_SQL = """
+WITH mixed AS (SELECT event_id, event_id % 97 AS n, event_id % 6 AS kind FROM events),
+kinds AS (
+  SELECT event_id, CASE kind WHEN 5 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 5 END AS rank, CASE WHEN kind IN (0, 4) THEN n ELSE 0 END AS num, CASE WHEN kind = 1 THEN 's' || n ELSE '' END AS str,
+    CASE WHEN kind IN (0, 4) THEN (event_id % 4)::VARCHAR WHEN kind = 2 THEN '1' WHEN kind = 5 THEN '2' END AS g,
+    CASE kind WHEN 0 THEN n::VARCHAR WHEN 1 THEN '"s' || n || '"' WHEN 2 THEN 'null' WHEN 3 THEN 'true' WHEN 4 THEN '[' || n || ']' END AS text FROM mixed)
+"""
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> Collection:
+    events = prepare(spark).read.parquet(f"{sf_dir}/events.parquet")
+    return Collection("mixed", variant(events, KEYS["events"](), F.expr(_MIXED.format(n="event_id % 97"))))
+
+
+def sort_mixed_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(spark, sf_dir).find(sort="v", limit=9000).select(F.col("key").cast("bigint").alias("event_id"))
+
+
+def sort_mixed_kinds_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(spark, sf_dir).find(sort="v:desc", limit=4000).select(F.col("key").cast("bigint").alias("event_id"))
+
+
+def event_folder(spark: SparkSession, sf_dir: str, drops: tuple[int, ...] = (), up_to: int | None = None) -> logs.Log:
+    """The events as a log in a folder of its own."""
+    log = logs.Log(prepare(spark), scratch(spark, "events"))
+    entries = event_log(spark, sf_dir, drops)
+    (entries if up_to is None else entries.where(F.col("lsn") <= up_to)).write.parquet(log.path)
+    return log
+
+
+def swept_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left after a sweep: one append of deletions to the log."""
+    log = event_folder(spark, sf_dir)
+    newest = log.read().agg(F.max("ts")).first()[0] or 0
+    log.set_ttl(SWEEP_TTL)
+    log.sweep(newest)
+    return logs.snapshot(log.read()).select("key", "lsn")
 
-    docs = c.documents
-    return paging.key_range(docs.df, None, None, key_position(first.next_cursor)).where("doc.o_orderstatus = 'F'").orderBy("key").limit(20).select("doc.o_orderkey")
+
+def compacted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries that stay when a log with drops is compacted in place."""
+    log = event_folder(spark, sf_dir, _DROPS)
+    log.compact()
+    return log.read().select("lsn", "op", "key")
+
+
+def restored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state that was exported and taken over by another log."""
+    log, target = event_folder(spark, sf_dir, _DROPS), scratch(spark, "export")
+    log.export(target)
+    other = logs.Log(spark, scratch(spark, "restored"))
+    other.restore(target)
+    return logs.snapshot(other.read()).select("key", "value", "lsn")
+
+
+def read_before_the_first_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Collection("new", logs.Log(prepare(spark), scratch(spark, "new")))
+    return c.find(filter={"a": 1}).select("key").unionByName(c.changes(after=0).select("key"))
+
+
+def through_index(name: str, column: str, path: str, filter: dict) -> Callable[[SparkSession, str], DataFrame]:
+    """A filter answered through written postings."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = table(spark, sf_dir, name, scratch(spark, "indexes"))
+        c.create_index("by_path", path)
+        return c.find_by_index(filter).select(F.col("doc")[column].alias(column))
+
+    return run
+
+
+def index_after_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index made in the middle of a log, brought up to date by the entries that came after."""
+    log = event_folder(spark, sf_dir, up_to=6000)
+    c = Collection("events", log)
+    c.create_index("by_k", "k")
+    event_log(spark, sf_dir).where("lsn > 6000").withColumn("lsn", F.col("lsn") + 1).write.mode("append").parquet(log.path)
+    return c.find_by_index({"k": {"$gte": 90}}).select("key", F.expr("CASE WHEN lsn > 6000 THEN lsn - 1 ELSE lsn END").alias("lsn"))
+
+
+def cdc_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes that a buffer of the newest 1024 can still resume."""
+    changes = feed.classify(event_log(spark, sf_dir))
+    floor = feed.retention_floor(changes, 1024)
+    head = event_log(spark, sf_dir).agg(F.max("lsn")).first()[0] or 0
+    return feed.resume(changes, floor, head, floor).select("lsn", "op", "key", "value")
 
 
 def customer_nested(spark: SparkSession, sf_dir: str) -> Documents:
@@ -174,12 +280,7 @@ def cdc_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cdc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as a stream of one pass over the file; what it wrote is read back."""
-    import os
-    import tempfile
-    import uuid
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
-    folder = os.path.join(shared, f"cdc-{uuid.uuid4().hex}")
+    folder = scratch(spark, "cdc")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     parent, _, file = f"{sf_dir}/events.parquet".rpartition("/")
     events = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(parent)
@@ -200,12 +301,6 @@ def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.status(docs.df, docs.root, "o_orderpriority")
 
 
-def by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "orders")
-    c.indexes.create("by_customer", "o_custkey")
-    return c.find_by_index({"o_custkey": {"$gte": 5, "$lt": 20}, "o_orderstatus": "F"}).select("doc.o_orderkey")
-
-
 def postings_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "part").documents
     return indexing.postings(docs.df, docs.root, "p_brand").select(F.col("value").alias("p_brand"), "key")
@@ -287,6 +382,13 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "sort_multi_topk": (find("lineitem", _LINE, sort="l_returnflag:desc,l_quantity", limit=200), f"SELECT {_LINE} FROM lineitem ORDER BY l_returnflag DESC, l_quantity NULLS FIRST, {_LINE_KEY} LIMIT 200"),
     "sort_page_2": (sort_page_2, f"SELECT {_LINE} FROM lineitem ORDER BY l_quantity DESC, l_shipdate NULLS FIRST, {_LINE_KEY} LIMIT 10 OFFSET 10"),
     "variant_sort": (find_props(sort="k:desc", limit=100), "SELECT event_id FROM events ORDER BY CAST(json_extract(props, '$.k') AS DOUBLE) DESC NULLS LAST, event_id LIMIT 100"),
+    "sort_mixed_kinds": (sort_mixed_kinds, _MIXED_SQL + "SELECT event_id FROM kinds ORDER BY rank, num, str, event_id LIMIT 9000"),
+    "sort_mixed_kinds_desc": (sort_mixed_kinds_desc, _MIXED_SQL + "SELECT event_id FROM kinds ORDER BY rank DESC, num DESC, str DESC, event_id LIMIT 4000"),
+    "agg_min_max_kinds": (
+        lambda spark, sf_dir: mixed(spark, sf_dir).totals(group="g", metrics="min:v,max:v"),
+        _MIXED_SQL + "SELECT g, count(*) AS count, arg_min(text, (rank, num, str)) FILTER (rank > 0) AS min_v, arg_max(text, (rank, num, str)) FILTER (rank > 0) AS max_v FROM kinds GROUP BY g",
+    ),
+    "agg_doubles": (totals("orders", group="o_orderstatus", metrics="avg:o_custkey,sum:o_custkey"), "SELECT o_orderstatus, count(*) AS count, sum(o_custkey)::DOUBLE AS sum_o_custkey, count(o_custkey) AS count_o_custkey, sum(o_custkey)::DOUBLE / count(o_custkey) AS avg_o_custkey FROM orders GROUP BY o_orderstatus"),
     "key_range_page": (key_range_page, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 100 AND 2000 ORDER BY o_orderkey LIMIT 50"),
     "unsorted_page_2": (unsorted_page_2, "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY lpad(o_orderkey::VARCHAR, 20, '0') LIMIT 20 OFFSET 20"),
     "point_read": (find("orders", "o_orderkey,o_totalprice", start="0" * 18 + "42", end="0" * 18 + "42", limit=1), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 42 LIMIT 1"),
@@ -323,7 +425,11 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "cdc_resume": (partial(cdc, after=5000), _CHANGES.format(drops=_NO_DROPS) + "SELECT * FROM changes WHERE op IS NOT NULL AND lsn > 5000"),
     "cdc_stream": (cdc_stream, _CHANGES.format(drops=_NO_DROPS) + "SELECT op, count(*) AS n FROM changes WHERE op IS NOT NULL GROUP BY op"),
     "cdc_shards": (shard_feed, _CHANGES.format(drops=_NO_DROPS) + "SELECT (key::BIGINT % 2)::INTEGER AS shard, lsn, op FROM changes WHERE op IS NOT NULL AND lsn > CASE WHEN key::BIGINT % 2 = 0 THEN 4000 ELSE 6000 END"),
-    "cdc_retention": (lambda spark, sf_dir: cdc(spark, sf_dir).orderBy(F.col("lsn").desc()).limit(1024), _CHANGES.format(drops=_NO_DROPS) + "SELECT * FROM changes WHERE op IS NOT NULL ORDER BY lsn DESC LIMIT 1024"),
+    "cdc_retention": (cdc_retention, _CHANGES.format(drops=_NO_DROPS) + "SELECT * FROM changes WHERE op IS NOT NULL ORDER BY lsn DESC LIMIT 1024"),
+    "swept_log": (swept_log, _SNAPSHOT.format(drops=_NO_DROPS) + f"SELECT key, lsn FROM newest WHERE n = 1 AND op = 'put' AND epoch_ms(ts) + {SWEEP_TTL} * 1000 > (SELECT max(epoch_ms(ts)) FROM events)"),
+    "compacted_log": (compacted_log, _SNAPSHOT.format(drops="3000, 7000") + ", kept AS (SELECT lsn, op, key FROM newest WHERE n = 1 AND op = 'put') SELECT * FROM kept UNION ALL SELECT max(lsn), 'barrier', NULL FROM log HAVING max(lsn) NOT IN (SELECT lsn FROM kept)"),
+    "restored_log": (restored_log, _SNAPSHOT.format(drops="3000, 7000") + "SELECT key, value, lsn FROM newest WHERE n = 1 AND op = 'put'"),
+    "read_before_the_first_write": (read_before_the_first_write, "SELECT user_id::VARCHAR AS key FROM events WHERE false"),
     "log_suffix": (lambda spark, sf_dir: logs.suffix(event_log(spark, sf_dir), 100, 250).select("lsn", "key"), "SELECT event_id AS lsn, user_id::VARCHAR AS key FROM events WHERE event_id > 100 AND event_id <= 250"),
     "etags": (etags, _SNAPSHOT.format(drops=_NO_DROPS) + """SELECT key, '"1.' || lsn || '"' AS etag FROM newest WHERE n = 1 AND op = 'put'"""),
     "merge_patch_json": (
@@ -331,7 +437,12 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         """SELECT event_id, json_merge_patch(props, CASE event_id % 3 WHEN 0 THEN '{"k":null,"seen":true}' WHEN 1 THEN '{"k":{"n":1,"gone":null}}' ELSE '{"list":[1,null]}' END)::VARCHAR AS patched FROM events""",
     ),
     "keys_with_items": (embed_keys, """SELECT s_name AS key, '{"s_name":"' || s_name || '","s_suppkey":' || s_suppkey || '}' AS item FROM supplier WHERE s_nationkey <= 3"""),
-    "find_by_index": (by_index, "SELECT o_orderkey FROM orders WHERE o_custkey >= 5 AND o_custkey < 20 AND o_orderstatus = 'F'"),
+    "find_by_index": (through_index("orders", "o_orderkey", "o_custkey", {"o_custkey": {"$gte": 5, "$lt": 20}, "o_orderstatus": "F"}), "SELECT o_orderkey FROM orders WHERE o_custkey >= 5 AND o_custkey < 20 AND o_orderstatus = 'F'"),
+    "index_eq": (through_index("orders", "o_orderkey", "o_custkey", {"o_custkey": 7}), "SELECT o_orderkey FROM orders WHERE o_custkey = 7"),
+    "index_in": (through_index("part", "p_partkey", "p_brand", {"p_brand": {"$in": ["Brand#11", "Brand#25", 5]}}), "SELECT p_partkey FROM part WHERE p_brand IN ('Brand#11', 'Brand#25')"),
+    "index_prefix": (through_index("part", "p_partkey", "p_name", {"p_name": {"$prefix": "b"}}), "SELECT p_partkey FROM part WHERE starts_with(p_name, 'b')"),
+    "index_type": (through_index("customer", "c_custkey", "c_nationkey", {"c_nationkey": {"$type": "number"}, "c_acctbal": {"$lt": 0}}), "SELECT c_custkey FROM customer WHERE c_acctbal < 0"),
+    "index_after_writes": (index_after_writes, _SNAPSHOT.format(drops=_NO_DROPS) + "SELECT key, lsn FROM newest WHERE n = 1 AND op = 'put' AND CAST(json_extract(value, '$.k') AS DOUBLE) >= 90"),
     "index_postings": (postings_keys, "SELECT p_brand, lpad(p_partkey::VARCHAR, 20, '0') AS key FROM part"),
     "agg_variant_group": (lambda spark, sf_dir: props(spark, sf_dir).totals(group="k", metrics="count"), "SELECT json_extract(props, '$.k')::VARCHAR AS k, count(*) AS count FROM events GROUP BY 1"),
     "index_status": (index_status, "SELECT count(*) AS documents, count(DISTINCT o_orderpriority) AS values FROM orders"),
