@@ -12,8 +12,9 @@ contexts of an anchor piece that has several, is brought together by that piece
 - the remaining suffixes are sorted by a symbol and the rank that follows, and merged with the sample,
 - neighbours in that order are compared over ``LENGTH`` bytes.
 
-Windows equal to a neighbour are repeated. Hashes of pieces only deal out; whole contexts are equated by
-64 bits, but only those of one anchor piece with the same extents.
+Windows equal to a neighbour are repeated. Hashes of pieces only deal out; whole contexts are equated by a
+128-bit digest, and only those of one anchor piece with the same extents. Equal contexts of a batch are one row
+before the shuffle, so a passage that is everywhere is a row from each batch.
 
 An anchor piece with more than ``CROWD`` distinct contexts is dealt out further, by the bytes that all
 windows in a narrow range of places share, so no task gets all of a common passage.
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import small_batches
+from docquarry.llm.common import checkpoint, small_batches
 
 LENGTH = 200
 PIECE = 32
@@ -182,8 +183,9 @@ def repeated_windows(data: np.ndarray, valid: np.ndarray, more: np.ndarray, leng
     return out
 
 
-#: ``place`` has the first start, and 16 bits each for how far from it the anchor and the last start are.
-_CONTEXT = "id {id}, h bigint, piece bigint, place bigint, digest bigint"
+#: ``place`` has the first start, and 16 bits each for how far from it the anchor and the last start are. ``n``: how many
+#: rows stand for, at most 2, or 0 if a row is decided: its context occurs whole elsewhere too. ``deal``: where it is dealt.
+_CONTEXT = "id {id}, h bigint, deal bigint, piece bigint, place bigint, digest bigint, more_digest bigint, n int"
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -192,29 +194,37 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def contexts(rows: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
-    """A row per context."""
+    """A row per context. Of those that are equal in a batch one stands for all; the others are decided and dealt anywhere."""
     if length > 1 << 16:
         raise ValueError("windows are of 65536 bytes at most")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length, piece)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                some = batch.slice(start, 256)
-                of, found, digests = [], [], []
-                for i, data in enumerate(some.column("data")):
-                    text = data.as_py()
-                    got = anchors.contexts(text)
-                    of.append(np.full(len(got[0]), i))
-                    found.append(got)
-                    digests += [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(got[2].tolist(), (got[3] + length).tolist(), strict=True)]
-                at = pa.array(np.concatenate(of))
-                key, anchor, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
-                place = first << 32 | (anchor - first) << 16 | (last - first)
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("id").take(at), some.column("h").take(at), pa.array(key), pa.array(place), pa.array(np.array(digests, np.uint64).view(np.int64))],
-                    ["id", "h", "piece", "place", "digest"],
-                )
+            of, found, digests = [np.zeros(0, np.int64)], [], []
+            for i, data in enumerate(batch.column("data")):
+                text = data.as_py()
+                got = anchors.contexts(text)
+                of.append(np.full(len(got[0]), i))
+                found.append(got)
+                digests += [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(got[2].tolist(), (got[3] + length).tolist(), strict=True)]
+            if not digests:
+                continue
+            row = np.concatenate(of)
+            key, anchor, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+            extents = (anchor - first) << 16 | (last - first)
+            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            n, deal = np.ones(len(row), np.int32), key.copy()
+            order = np.lexsort((extents, key, halves[:, 1], halves[:, 0]))
+            same = (np.diff(halves[order, 0]) == 0) & (np.diff(halves[order, 1]) == 0) & (np.diff(key[order]) == 0) & (np.diff(extents[order]) == 0)
+            # The sort is stable: the first of equals comes first.
+            later, earlier = order[1:][same], order[:-1][same]
+            n[earlier] = 2
+            n[later] = 0
+            deal[later] = (row[later] * 0x9E3779B97F4A7C1 + first[later] * 0x5851F42D4C957F2D) ^ key[later]
+            at = pa.array(row)
+            columns = (deal, key, first << 32 | extents, halves[:, 0].copy(), halves[:, 1].copy(), n)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("h").take(at), *map(pa.array, columns)], ["id", "h", "deal", "piece", "place", "digest", "more_digest", "n"])
 
     return rows.mapInArrow(run, _CONTEXT.format(id=rows.schema["id"].dataType.simpleString()))
 
@@ -303,23 +313,30 @@ def _sorted_spans(dealt: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, piece: int = PIECE, crowd: int = CROWD) -> DataFrame:
     """``id, h, first, last``: runs of starts whose windows of ``length`` bytes occur elsewhere too."""
     rows = _rows(docs, id_col, text_col)
-    found = contexts(rows, length, piece).repartition("piece")
+    found = contexts(rows, length, piece).repartition("deal")
     extents = F.col("place").bitwiseAND(0xFFFFFFFF)
-    same, group = Window.partitionBy("piece", "digest", extents), Window.partitionBy("piece")
-    order = F.row_number().over(same.orderBy("id", "h", "place"))
-    judged = found.withColumn("n", F.count("*").over(same)).withColumn("order", order).withColumn("distinct", F.sum(F.when(F.col("order") == 1, 1).otherwise(0)).over(group)).where("n > 1 OR distinct > 1")
+    equal = ("deal", "piece", "digest", "more_digest", extents)
+    same, group = Window.partitionBy(*equal), Window.partitionBy("deal", "piece")
+    order = F.row_number().over(same.orderBy(F.col("n") == 0, "id", "h", "place"))
+    counted = found.withColumn("times", F.sum("n").over(same)).withColumn("order", order)
+    counted = counted.withColumn("distinct", F.sum(F.when((F.col("order") == 1) & (F.col("n") > 0), 1).otherwise(0)).over(group))
     first = F.shiftrightunsigned("place", 32).cast("int")
-    judged = judged.withColumn("first", first).withColumn("last", (first + F.col("place").bitwiseAND(0xFFFF)).cast("int"))
-    whole = judged.where("n > 1").select("id", "h", "first", "last")
     anchor = (first + F.shiftrightunsigned("place", 16).bitwiseAND(0xFFFF)).cast("int")
-    asked = judged.where("distinct > 1 AND order = 1").withColumn("anchor", anchor).withColumn("more", F.col("n") > 1).withColumn("crowd", F.col("distinct") > crowd)
+    judged = checkpoint(
+        counted.where("n = 0 OR times > 1 OR distinct > 1").select(
+            "id", "h", "piece", first.alias("first"), anchor.alias("anchor"), (first + F.col("place").bitwiseAND(0xFFFF)).cast("int").alias("last"),
+            ((F.col("n") == 0) | (F.col("times") > 1)).alias("more"), ((F.col("n") > 0) & (F.col("order") == 1) & (F.col("distinct") > 1)).alias("asked"), (F.col("distinct") > crowd).alias("crowd"),
+        )
+    )
+    whole = judged.where("more").select("id", "h", "first", "last")
+    asked = judged.where("asked")
     return whole.unionByName(_sorted_spans(_dealt(rows, asked, length), length))
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, piece: int = PIECE, crowd: int = CROWD) -> DataFrame:
     """A row per row: its id, ``n_bytes``, ``removed`` (maximal runs of bytes, ``start``, ``stop``) and ``kept``, the bytes that stay."""
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col, length=length, piece=piece, crowd=crowd)
-    listed = spans.groupBy(F.col("id").alias("i"), F.col("h").alias("k")).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    listed = spans.groupBy(F.col("id").alias("i"), F.col("h").alias("k")).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
     rows = _rows(docs, id_col, text_col)
     joined = rows.join(listed, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k")), "left").select("id", "data", "spans")
     removed = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
