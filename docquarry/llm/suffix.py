@@ -17,7 +17,8 @@ Windows equal to a neighbour are repeated. Hashes of pieces only deal out; whole
 before the shuffle, so a passage that is everywhere is a row from each batch.
 
 An anchor piece with more than ``CROWD`` distinct contexts is dealt out further, by the bytes that all
-windows in a narrow range of places share, so no task gets all of a common passage.
+windows in a narrow range of places share, so no task gets all of a common passage. The contexts of pieces with more than
+``LARGE`` are more than a task should hold: they are sorted over all tasks, by the same algorithm (``difference_cover``).
 
 Defined cases: null and empty texts, and texts shorter than ``LENGTH``, have nothing removed; a document
 may repeat itself, also with overlap; rows that agree in id and text are copies of each other; an empty
@@ -34,12 +35,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.llm import difference_cover
 from docquarry.llm.common import checkpoint, small_batches
+from docquarry.llm.difference_cover import suffix_array
 
 LENGTH = 200
 PIECE = 32
 #: Distinct contexts of an anchor piece from which they are dealt out further, and the width of the ranges then.
 CROWD, RANGE = 2048, 85
+#: Distinct contexts of an anchor piece from which they are sorted over all tasks.
+LARGE = 1 << 16
 #: Bytes of a text whose anchors are looked for at a time, and bytes that are suffix-sorted at a time.
 SLICE, BATCH = 1 << 20, 1 << 20
 
@@ -99,68 +104,6 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[:n], forward[width - 1 : width - 1 + n])
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes in order (DC3). Symbols are integers above 0; the end sorts first."""
-    n = len(symbols)
-    if n < 3:
-        return np.array(sorted(range(n), key=lambda i: symbols[i:].tolist()), np.int64)
-    s = np.concatenate([symbols, np.zeros(3, symbols.dtype)]).astype(np.int32)
-    # A sample at the end stands for the empty suffix, so that the first half of the names ends with the least.
-    ones = np.arange(1, n + (n % 3 == 1), 3)
-    twos = np.arange(2, n, 3)
-    sample = np.concatenate([ones, twos])
-    order = np.lexsort((s[sample + 2], s[sample + 1], s[sample]))
-    a = sample[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (s[a[1:]] != s[a[:-1]]) | (s[a[1:] + 1] != s[a[:-1] + 1]) | (s[a[1:] + 2] != s[a[:-1] + 2])
-    names = np.empty(len(a), np.int32)
-    names[order] = np.cumsum(new)
-    if names.max() < len(names):
-        order = suffix_array(names)
-        a = sample[order]
-    rank = np.zeros(n + 3, np.int32)
-    rank[a] = np.arange(1, len(a) + 1)
-    a = a[a < n]
-    # The remaining suffixes by their first symbol and the rank of what follows.
-    rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort((rank[rest + 1], s[rest]))]
-    # Each is merged before the first larger sample suffix: of places 1 mod 3 by one symbol and a rank, of 2 mod 3 by two.
-    width = np.int64(len(rank) + 1)
-    top = np.int64(s.max() + 1)
-    if int(top) * int(top) * int(width) < 1 << 62:
-        one, two = a[a % 3 == 1], a[a % 3 == 2]
-        key = lambda i: s[i].astype(np.int64) * width + rank[i + 1]
-        below = np.searchsorted(key(one), key(rest))
-        key = lambda i: (s[i].astype(np.int64) * top + s[i + 1]) * width + rank[i + 2]
-        below = below + np.searchsorted(key(two), key(rest))
-    else:
-        below = _merged_below(s, rank, rest, a)
-    out = np.empty(n, np.int64)
-    at = below + np.arange(len(rest))
-    out[at] = rest
-    free = np.ones(n, bool)
-    free[at] = False
-    out[free] = a
-    return out
-
-
-def _merged_below(s: np.ndarray, rank: np.ndarray, rest: np.ndarray, sample: np.ndarray) -> np.ndarray:
-    """How many sample suffixes lie below each of the remaining, where keys don't fit a word."""
-    below = np.zeros(len(rest), np.int64)
-    for residue in (1, 2):
-        own = sample[sample % 3 == residue]
-        both = np.concatenate([rest, own])
-        last = rank[both + residue]
-        keys = (last, s[both]) if residue == 1 else (last, s[both + 1], s[both])
-        order = np.lexsort(keys)
-        is_own = order >= len(rest)
-        smaller = np.cumsum(is_own)
-        place = np.empty(len(both), np.int64)
-        place[order] = smaller
-        below += place[: len(rest)]
-    return below
-
-
 def repeated_windows(data: np.ndarray, valid: np.ndarray, more: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which of the ``valid`` starts have a window that another valid start has too, or that counts as several (``more``).
 
@@ -310,7 +253,15 @@ def _sorted_spans(dealt: DataFrame, length: int) -> DataFrame:
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, piece: int = PIECE, crowd: int = CROWD) -> DataFrame:
+def _spread_spans(dealt: DataFrame, length: int) -> DataFrame:
+    """``_sorted_spans`` for contexts that no task could hold: single windows, from the order of all suffixes."""
+    numbered = checkpoint(dealt.select("id", "h", "first", "data", F.monotonically_increasing_id().alias("string")))
+    repeated = difference_cover.repeated_windows(numbered, length)
+    starts = repeated.join(numbered.drop("data"), "string").select("id", "h", (F.col("first") + F.col("start")).cast("int").alias("first"))
+    return starts.withColumn("last", F.col("first"))
+
+
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, piece: int = PIECE, crowd: int = CROWD, large: int = LARGE) -> DataFrame:
     """``id, h, first, last``: runs of starts whose windows of ``length`` bytes occur elsewhere too."""
     rows = _rows(docs, id_col, text_col)
     found = contexts(rows, length, piece).repartition("deal")
@@ -325,17 +276,19 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     judged = checkpoint(
         counted.where("n = 0 OR times > 1 OR distinct > 1").select(
             "id", "h", "piece", first.alias("first"), anchor.alias("anchor"), (first + F.col("place").bitwiseAND(0xFFFF)).cast("int").alias("last"),
-            ((F.col("n") == 0) | (F.col("times") > 1)).alias("more"), ((F.col("n") > 0) & (F.col("order") == 1) & (F.col("distinct") > 1)).alias("asked"), (F.col("distinct") > crowd).alias("crowd"),
+            ((F.col("n") == 0) | (F.col("times") > 1)).alias("more"), ((F.col("n") > 0) & (F.col("order") == 1) & (F.col("distinct") > 1)).alias("asked"), (F.col("distinct") > crowd).alias("crowd"), (F.col("distinct") > large).alias("large"),
         )
     )
     whole = judged.where("more").select("id", "h", "first", "last")
     asked = judged.where("asked")
-    return whole.unionByName(_sorted_spans(_dealt(rows, asked, length), length))
+    found = whole.unionByName(_sorted_spans(_dealt(rows, asked.where("NOT large"), length), length))
+    spread = asked.where("large")
+    return found.unionByName(_spread_spans(_dealt(rows, spread.withColumn("crowd", F.lit(False)), length), length)) if spread.head(1) else found
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, piece: int = PIECE, crowd: int = CROWD) -> DataFrame:
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, piece: int = PIECE, crowd: int = CROWD, large: int = LARGE) -> DataFrame:
     """A row per row: its id, ``n_bytes``, ``removed`` (maximal runs of bytes, ``start``, ``stop``) and ``kept``, the bytes that stay."""
-    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, length=length, piece=piece, crowd=crowd)
+    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, length=length, piece=piece, crowd=crowd, large=large)
     listed = spans.groupBy(F.col("id").alias("i"), F.col("h").alias("k")).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
     rows = _rows(docs, id_col, text_col)
     joined = rows.join(listed, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k")), "left").select("id", "data", "spans")

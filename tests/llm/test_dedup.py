@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from docquarry.llm import lines, suffix
+from docquarry.llm import difference_cover, lines, suffix
 from tests.llm.common import ODD, SF, empty, odd, ordered, table, texts
 
 
@@ -36,9 +36,9 @@ def test_suffix_array():
     rng = random.Random(0)
     for _ in range(1500):
         a = [rng.randint(1, rng.choice([1, 2, 3, 250])) for _ in range(rng.randint(0, 40))]
-        assert suffix.suffix_array(np.array(a, np.int64)).tolist() == sorted(range(len(a)), key=lambda i: a[i:])
+        assert difference_cover.suffix_array(np.array(a, np.int64)).tolist() == sorted(range(len(a)), key=lambda i: a[i:])
     big = [rng.choice([1, 2**30 + 5, 2**30 + 6]) for _ in range(400)]
-    assert suffix.suffix_array(np.array(big, np.int64)).tolist() == sorted(range(400), key=lambda i: big[i:])
+    assert difference_cover.suffix_array(np.array(big, np.int64)).tolist() == sorted(range(400), key=lambda i: big[i:])
 
 
 def test_anchors_depend_on_the_window_only(monkeypatch):
@@ -57,14 +57,41 @@ def test_anchors_depend_on_the_window_only(monkeypatch):
                     assert place.setdefault(text[i : i + 20], (k, p - i)) == (k, p - i)
 
 
-@pytest.mark.parametrize("crowd", [2048, 1])
-def test_substrings_of_random_texts(spark, crowd, monkeypatch):
+@pytest.mark.parametrize(("local", "seed"), [(1 << 20, 0), (300, 1), (40, 2)])
+def test_ranks_over_all_tasks(spark, local, seed):
+    """The order of all suffixes, through several levels of the recursion and in one task."""
+    rng = random.Random(seed)
+    strings = [[rng.randint(1, 3) for _ in range(rng.choice([0, 1, 2, 3, 4, 7, 40]))] for _ in range(30)] + [[2] * 31, [1, 2, 3] * 12, [1, 2, 3] * 12]
+    df = spark.createDataFrame(list(enumerate(strings)), "string bigint, symbols array<bigint>")
+    got = {r["string"]: r["values"] for r in difference_cover.suffix_ranks(df, local).collect()}
+    ranked = sorted((rank, strings[k][i:]) for k, ranks in got.items() for i, rank in enumerate(ranks))
+    assert [r for r, _ in ranked] == list(range(sum(map(len, strings)))) and {k: len(v) for k, v in got.items()} == {k: len(s) for k, s in enumerate(strings) if s}
+    assert all(a <= b for (_, a), (_, b) in zip(ranked, ranked[1:], strict=False))
+
+
+def test_windows_over_all_tasks(spark):
+    rng = random.Random(4)
+    data = [bytes(rng.choices(b"ab", k=rng.randint(0, 60))) for _ in range(40)]
+    count = {}
+    for d in data:
+        for i in range(len(d) - 7):
+            count[d[i : i + 8]] = count.get(d[i : i + 8], 0) + 1
+    df = spark.createDataFrame([(k, bytearray(d)) for k, d in enumerate(data)], "string bigint, data binary")
+    got = {tuple(r) for r in difference_cover.repeated_windows(df, 8, local=200).collect()}
+    assert got == {(k, i) for k, d in enumerate(data) for i in range(len(d) - 7) if count[d[i : i + 8]] > 1}
+    assert difference_cover.repeated_windows(df.limit(0), 8).count() == 0
+
+
+@pytest.mark.parametrize(("crowd", "large"), [(2048, 1 << 16), (1, 1 << 16), (1, 3)])
+def test_substrings_of_random_texts(spark, crowd, large, monkeypatch):
     monkeypatch.setattr(suffix, "BATCH", 500)
+    monkeypatch.setattr(difference_cover.suffix_ranks, "__defaults__", (800,))
+    monkeypatch.setattr(difference_cover.repeated_windows, "__defaults__", (800,))
     rng = random.Random(2)
     pieces = ["".join(rng.choices("abcé", k=rng.randint(5, 90))) for _ in range(25)]
     docs = [(i, "".join(rng.choice(pieces)[rng.randint(0, 6) :] for _ in range(rng.randint(0, 6)))) for i in range(80)] + [(100, "a" * 300), (101, "ab" * 90), (102, None), (103, "same text twice " * 4), (103, "same text twice " * 4), (None, pieces[0] * 3)]
     data = [(d, (t or "").encode()) for d, t in docs]
-    got = suffix.without_repeats(table(spark, docs), length=24, piece=7, crowd=crowd)
+    got = suffix.without_repeats(table(spark, docs), length=24, piece=7, crowd=crowd, large=large)
     assert figures(got) == plain_substrings(data, 24)
 
 
