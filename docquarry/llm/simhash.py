@@ -12,7 +12,7 @@ pairs. Fingerprints of a fuller key go another exact way: each lists every value
 whoever shares one is within four, so that the work is in proportion to their number.
 
 Defined cases: null and wordless texts have the fingerprint zero and are linked like any other; repeated
-rows and ids each give a row; an id that is null gets the component of its fingerprint but names none
+rows and ids each give a row; very long texts are hashed in slices; an id that is null gets the component of its fingerprint but names none
 unless all ids there are null; an empty table gives no rows.
 """
 
@@ -99,6 +99,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return [(a, b) for a, b in _forest(fps)] if len(fps) > 1 else []
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
         keys, fps = batch.column("key").to_numpy(), batch.column("fp").to_numpy()
         cuts = np.flatnonzero(np.diff(keys)) + 1
         out: list[tuple[int, int | None]] = []
@@ -143,7 +145,8 @@ def _assigned(fps: DataFrame) -> DataFrame:
     distinct = fps.groupBy("fp").agg(F.min("id").alias("least"))
     component = connected_components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
     grouped = checkpoint(distinct.join(component, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Kept by itself, so that the join deals both sides and can split a component that is large.
+    least = checkpoint(grouped.groupBy("component").agg(F.min("least").alias("component_id")))
     return fps.join(grouped.join(least, "component").select("fp", "component_id"), "fp")
 
 
