@@ -7,8 +7,8 @@ from an Aho-Corasick automaton over the bytes mapped to Latin-1 characters, and
 memoised.
 
 Defined cases: null text is empty text and gives no tokens; text is split by the tokeniser's pattern and
-each piece is encoded whole, however long; repeated rows each give a row; only the id and text columns
-are read.
+each piece is encoded whole, however long; repeated rows each give a row; an empty table gives no
+rows; only the id and text columns are read.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ Grades: 0 for labelled low quality, 1 for good quality but toxic, 2 for good qua
 
 Defined cases: null and empty texts have only the features of an empty text; without labels, or with one
 grade only, every document gets the base rates of the grades (with no labels: the highest); a document
-with several labels takes the best; repeated rows each give a row. The model is fitted on at most
-``hashed.SAMPLE`` labelled documents and applied to all.
+with several labels takes the best; repeated rows each give a row; very long texts are read whole, their
+features are a set; an empty table gives no rows. The model is fitted on at most ``hashed.SAMPLE`` labelled documents and
+applied to all.
 """
 
 from __future__ import annotations

@@ -263,3 +263,40 @@ def test_rare_and_named_categories(spark):
     assert list(got[rows[0][0]].asDict()) == ["doc_id", "p_slur", "p_toxic", "is_toxic"]
     known, held, others = ([got[i]["p_slur"] for i in ids] for ids in ([r[0] for r in toxic[:5]], [r[0] for r in toxic[5:10]], [r[0] for r in rows if r[0] not in rare]))
     assert min(known) > np.quantile(others, 0.95) and len(set(others)) > 1 and np.isfinite(held).all()
+
+
+def test_held_out_labels_of_the_tables(spark):
+    """Fitted on half of the labelled documents, judged on texts of the others that the first half doesn't have."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    half = labels.where("doc_id % 2 = 0")
+    seen = {r["text"] for r in docs.join(half, "doc_id").select("text").collect()}
+    held = {r["doc_id"]: r for r in docs.join(labels.where("doc_id % 2 = 1"), "doc_id").collect() if r["text"] not in seen}
+    judged = docs.where(F.col("doc_id").isin(list(held)))
+    toxic = {r["doc_id"]: r for r in toxicity.score(docs, half).where(F.col("doc_id").isin(list(held))).collect()}
+    found = [(toxic[i]["is_toxic"], bool(r["toxic"])) for i, r in held.items()]
+    assert sum(a == b for a, b in found) >= 0.97 * len(found) and sum(a and b for a, b in found) >= 0.8 * sum(b for _, b in found)
+    # An expected grade puts a better document above a worse one: the share of pairs in the right order.
+    grade = {r["doc_id"]: r["expected_grade"] for r in quality.score(docs, half).where(F.col("doc_id").isin(list(held))).collect()}
+    good, bad = (np.array([grade[i] for i, r in held.items() if r["quality"] == q]) for q in (1, 0))
+    assert judged.count() == len(held) and (good[:, None] > bad[None]).mean() + 0.5 * (good[:, None] == bad[None]).mean() > 0.9
+
+
+def test_links_against_plain_sums(spark):
+    """The chain's probabilities for the odd rows, from its weights, a feature at a time."""
+    rows = labelled(300, 5)
+    features = [toxicity.extractor()(t.encode()) for _, t, _, _ in rows]
+    toxic = np.array([r[3] for r in rows], bool)
+    chain = toxicity.fit_chain(features, toxic, toxicity.seeded(features, toxic))
+    extract = toxicity.extractor().keep(chain.kept)
+    for _, text, _, _ in rows[:40]:
+        held = set()
+        for w in text.encode().lower().split():
+            plain = w.strip(b"#*")
+            held |= {b"w" + plain} | {b"p" + plain[:n] for n in (4, 5) if len(plain) > n}
+        places = {hashed.place(f) for f in held}
+        before = []
+        for link in chain.links:
+            x = link.bias + sum(link.weights[c] for c, p in enumerate(chain.kept) if int(p) in places) + sum(b * p for b, p in zip(link.before, before, strict=True))
+            before.append(1 / (1 + math.exp(-x)))
+        assert np.allclose(chain.predict(extract(text.encode())), before, atol=1e-9)
