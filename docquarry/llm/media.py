@@ -44,7 +44,7 @@ RADIUS, TESTS, STEP = 15, 128, 0.85
 PART, PARTS = 21, 6
 TABLES = list(combinations(range(PARTS), 2))
 #: Bits in which matching descriptors may differ.
-BITS = 10
+BITS = 12
 #: Bits of the map of the queries' keys, a power of two.
 BITMAP = 1 << 26
 #: Corners described at a time.
