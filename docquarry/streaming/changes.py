@@ -8,11 +8,12 @@ that moved between nodes change the state but are not published.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docquarry.errors import Conflict, Gone, Refused
@@ -106,7 +107,11 @@ def classify_stream(log: DataFrame) -> DataFrame:
         for op in batch["op"]:
             ops.append(("update" if present else "insert") if op == "put" else "delete" if present else None)
             present = op == "put"
-        state.update((present,))
+        # Absent keys need no state.
+        if present:
+            state.update((True,))
+        elif state.exists:
+            state.remove()
         out = batch.assign(op=ops, value=batch["value"].where(batch["op"] == "put", None))
         yield out[out["op"].notna() & ~out["moved"]][["lsn", "op", "key", "value"]]
 
@@ -172,3 +177,21 @@ def sse(frame: dict) -> str:
 def message(frame: dict) -> str:
     """A frame as one WebSocket message."""
     return json.dumps({"event": frame["event"], **({"position": frame["position"]} if frame["position"] is not None else {}), **frame["data"]}, ensure_ascii=False)
+
+
+def stream_frames(collection: str, position: int, changes: DataFrame, write: Callable[[str], None], form: Callable[[dict], str], checkpoint: str, **trigger) -> StreamingQuery:
+    """Writes a stream of changes to a subscriber as server-sent events (``sse``) or WebSocket messages (``message``).
+
+    ``open`` comes first, then the changes in log order within each micro-batch; if the sink fails, one ``error`` ends it.
+    """
+    write(form({"event": "open", "position": position, "data": {"collection": collection, "position": position}}))
+
+    def send(batch: DataFrame, _: int) -> None:
+        try:
+            for row in batch.where(F.col("lsn") > position).orderBy("lsn").toLocalIterator():
+                write(form({"event": "change", "position": row["lsn"], "data": event(row)}))
+        except Exception as e:
+            write(form({"event": "error", "position": None, "data": {"error": str(e)}}))
+            raise
+
+    return changes.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()

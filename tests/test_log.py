@@ -12,7 +12,7 @@ from docquarry.functions.patch import merge_patch, merge_patch_json
 from docquarry.plans.filters import parse_filter
 from docquarry.sources import log as logs
 from docquarry.streaming import changes as feed
-from docquarry.streaming.webhook import Webhook, stream_to, waits
+from docquarry.streaming.webhook import Subscriptions, Webhook, stream_to, waits
 
 PATCHES = [
     ({"a": "b"}, {"a": "c"}, {"a": "c"}),
@@ -242,3 +242,49 @@ def test_stream_agrees_with_batch_and_reaches_a_webhook(spark, tmp_path):
     steps = waits()
     assert [next(steps) for _ in range(8)] == [0.5, 1, 2, 4, 8, 16, 30, 30]
     assert logs.documents(log.read()).df.where(F.col("key") == "z").count() == 1
+
+
+def test_stored_subscriptions(spark, tmp_path, monkeypatch):
+    """Progress is kept by post; another process goes on; an overrun is a gap; a subscription has its kinds and its filter."""
+    posts, answers = [], []
+
+    def post(self, body):
+        posts.append(json.loads(body))
+        if answers:
+            self.disabled = answers.pop(0) == 410
+        return not self.disabled
+
+    monkeypatch.setattr(Webhook, "_post", post)
+    log = logs.Log(spark, str(tmp_path / "c"))
+    log.bulk([{"id": f"k{i}", "value": {"n": i}} for i in range(70)])
+    hooks = Subscriptions(logs.Log(spark, str(tmp_path / "hooks")))
+    hooks.create(Webhook("all", "http://x"))
+    hooks.create(Webhook("some", "http://y", ops="insert", filter={"n": {"$gte": 68}}))
+    with pytest.raises(PreconditionFailed):
+        hooks.create(Webhook("all", "http://z"))
+    with pytest.raises(Refused):
+        hooks.create(Webhook("bad", "http://z", ops="moved"))
+    assert [h.id for h in hooks.list()] == ["all", "some"]
+    assert hooks.pump("all", "c", log).position == 70 and [len(p["events"]) for p in posts] == [64, 6]
+    again = Subscriptions(logs.Log(spark, str(tmp_path / "hooks")))
+    assert again.get("all").position == 70 and again.pump("all", "c", log).gaps == 0 and len(posts) == 2
+    assert again.pump("some", "c", log).position == 70 and [e["key"] for e in posts[-1]["events"]] == ["k68", "k69"]
+    log.bulk([{"id": f"m{i}", "value": i} for i in range(10)])
+    hook = again.pump("all", "c", log, buffer=3)
+    assert hook.gaps == 1 and [e["lsn"] for e in posts[-1]["events"]] == [78, 79, 80] and again.get("all").gaps == 1
+    log.put("end", 1)
+    answers.append(410)
+    assert again.pump("all", "c", log).disabled and again.get("all").disabled and again.get("all").position == 80
+    assert again.delete("all") and not again.delete("all") and [h.id for h in again.list()] == ["some"]
+
+
+def test_frames_of_a_stream(spark, tmp_path):
+    log = logs.Log(spark, str(tmp_path / "c"))
+    log.put("a", 1)
+    log.put("a", 2)
+    log.delete("a")
+    source = spark.readStream.schema(logs.SCHEMA).parquet(log.path)
+    for form in (feed.sse, feed.message):
+        sent = []
+        feed.stream_frames("c", 1, feed.classify_stream(source), sent.append, form, str(tmp_path / form.__name__)).awaitTermination()
+        assert sent == [form(f) for f in feed.frames("c", 1, feed.classify(log.read()).where("lsn > 1"))]
