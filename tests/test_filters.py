@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docquarry.errors import Forbidden, Refused
 from docquarry.operators.filtering import truth
 from docquarry.plans import requests
-from docquarry.plans.filters import parse_filter
+from docquarry.plans.filters import OPERATORS, parse_filter
 from docquarry.sources.tables import typed, variant
 from tests.evaluator import matches
 
@@ -123,17 +123,54 @@ def test_typed_filters_agree_with_the_evaluator(spark, f):
     assert got == [matches(parse_filter(f), as_json(row)) for row in TYPED]
 
 
-@pytest.mark.parametrize(
-    "f",
-    [
-        "[]", "1", "{", {"$xor": [{}]}, {"$and": []}, {"$or": {}}, {"$nor": [1]}, {"a": {"$regex": "x"}}, {"a": {"$where": 1}}, {"a": {"$eq": 1, "b": 2}}, {"a": {"$in": 1}}, {"a": {"$gt": True}}, {"a": {"$gt": None}},
-        {"a": {"$gt": 1, "$lt": "x"}}, {"a": {"$exists": 1}}, {"a": {"$type": "int"}}, {"a": {"$type": []}}, {"a": {"$type": [1]}}, {"a": {"$prefix": 1}}, {"a": {"$all": 1}}, {"a": {"$size": -1}}, {"a": {"$size": 1.0}}, {"a": {"$size": True}},
-        {"a": {"$elemMatch": []}}, {"a": {"$elemMatch": {"$or": [{}]}}}, {"a": {"$elemMatch": {"$gt": 1, "q": 1}}}, {"a": {"$not": 1}}, {"a": {"$not": {}}}, {"a": {"$not": {"q": 1}}},
-    ],
-)
-def test_refused_filters(f):
+#: A value of every shape, and which of them each operator takes as its operand.
+SHAPES = {"null": None, "flag": True, "whole": 3, "negative": -3, "fraction": 1.5, "text": "word", "kind": "number", "empty": [], "texts": ["word"], "kinds": ["null", "number"], "numbers": [1, 2], "object": {"q": 1}, "nothing": {}, "condition": {"$gt": 1}}
+ANYTHING = set(SHAPES)
+ARRAYS = {"empty", "texts", "kinds", "numbers"}
+TEXT = {"text", "kind"}
+OPERANDS = {
+    **dict.fromkeys(("$eq", "$ne"), ANYTHING),
+    **dict.fromkeys(("$in", "$nin", "$all"), ARRAYS),
+    **dict.fromkeys(("$gt", "$gte", "$lt", "$lte"), {"whole", "negative", "fraction", *TEXT}),
+    "$exists": {"flag"},
+    "$type": {"kind", "kinds"},
+    **dict.fromkeys(("$prefix", "$suffix", "$contains"), TEXT),
+    "$size": {"whole"},
+    "$elemMatch": {"object", "nothing", "condition"},
+    "$not": {"condition"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERANDS))
+def test_operands(name):
+    for shape, value in SHAPES.items():
+        request = {"field": {name: value}}
+        if shape in OPERANDS[name]:
+            assert parse_filter(request) is not None, (name, shape)
+        else:
+            with pytest.raises(Refused):
+                print(name, shape, parse_filter(request))
+
+
+def test_every_operator_has_its_operands():
+    assert set(OPERANDS) == set(OPERATORS)
+
+
+@pytest.mark.parametrize("branch", ("$and", "$or", "$nor"))
+def test_branches_take_lists_of_filters(branch):
+    assert parse_filter({branch: [{"field": 1}]}) is not None
+    for value in SHAPES.values():
+        with pytest.raises(Refused):
+            parse_filter({branch: value})
+    # A branch stands beside paths, not under one.
     with pytest.raises(Refused):
-        parse_filter(f)
+        parse_filter({"field": {"$elemMatch": {branch: [{"q": 1}]}}})
+
+
+def test_unknown_names_and_broken_texts():
+    for request in ({"$unless": [{"field": 1}]}, {"field": {"$like": "word"}}, {"field": {"$gt": 1, "plain": 2}}, {"field": {"$not": {"$gt": 1, "plain": 2}}}, {"field": {"$gte": 2, "$lt": "word"}}, "", "{", "3", "[{}]", '"text"'):
+        with pytest.raises(Refused):
+            print(request, parse_filter(request))
 
 
 def test_depth():
