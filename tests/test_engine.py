@@ -2,6 +2,7 @@ import itertools
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from docquarry.functions.kinds import order_key
 from docquarry.functions.paths import lookup, project
 from docquarry.operators.indexing import successor
 from docquarry.plans.filters import parse_filter
+from docquarry.plans.requests import MAX_BUDGET
+from docquarry.queries import CATALOGUE
 from docquarry.sources.tables import typed, variant
 from tests.evaluator import matches
 
@@ -89,6 +92,25 @@ def test_budgets(spark):
     assert part.partial and part.matched == 10 and part.groups[0]["metrics"]["sum:n"]["sum"] == 45
 
 
+@pytest.mark.parametrize("request_", [{"sort": "n:desc"}, {"sort": "n", "filter": {"t": 1}}, {"filter": {"t": 2}}, {}])
+def test_whole_pages_have_no_budget(spark, monkeypatch, request_):
+    c = collection(spark, {f"k{i:02}": {"n": i, "t": i % 3} for i in range(30)})
+    want = pages(c, limit=100, **request_)
+    monkeypatch.setattr("docquarry.plans.requests.DEFAULT_BUDGET", 4)
+    assert len(want) in (10, 30) and pages(c, limit=7, whole=True, **request_) == want
+    with pytest.raises(Refused):
+        c.query(whole=True, max_docs=10, **request_)
+
+
+def test_second_page_of_more_rows_than_a_budget(spark, tmp_path):
+    columns = ("id AS l_orderkey", "CAST(id % 7 AS int) AS l_linenumber", "id % 11 AS l_partkey", "id % 5 AS l_suppkey", "CAST(id * 7919 % 50 AS double) AS l_quantity", "CAST(DATE '2000-01-01' + CAST(id % 3 AS int) AS timestamp_ntz) AS l_shipdate")
+    spark.range(MAX_BUDGET + 1).selectExpr(*columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    query, sql = CATALOGUE["sort_page_2"]
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        assert [tuple(r) for r in query(spark, str(tmp_path)).collect()] == db.execute(sql).fetchall()
+
+
 def test_key_modes_and_projection(spark):
     docs = {"a": {"id": 9, "p": {"q": 1, "r": None}}, "b": ["x"], "c": 7, "d": {"p": 5}}
     c = collection(spark, docs)
