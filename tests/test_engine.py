@@ -13,7 +13,7 @@ from docquarry.functions.kinds import order_key
 from docquarry.functions.paths import lookup, project
 from docquarry.operators.indexing import successor
 from docquarry.plans.filters import parse_filter
-from docquarry.plans.requests import MAX_BUDGET
+from docquarry.plans.requests import MAX_BUDGET, SortKey, encode_cursor, sort_position
 from docquarry.queries import CATALOGUE
 from docquarry.sources.tables import typed, variant
 from tests.evaluator import matches
@@ -44,6 +44,29 @@ def test_sort_mixed_values(spark):
     assert [encode(v) for v in (d.get("v") for d in c.query(sort="v:desc", limit=100).items)] == [encode(v) for v in [*reversed(ORDERED), None]]
 
 
+def test_missing_sorts_before_null(spark):
+    docs = {"a": {"v": None}, "b": {}, "c": {"v": 0}, "d": {"v": None}, "e": {"w": 1}, "f": {"v": [None]}, "g": {}, "h": {"v": None}}
+    c = collection(spark, docs)
+    for sort, want in (("v", "begadhcf"), ("v:desc", "fcadhbeg"), ("w,v", "bgadhcfe"), ("w:desc,v:desc", "efcadhbg")):
+        assert "".join(r["key"] for r in c.find(sort=sort).collect()) == want
+        assert "".join(pages(c, sort=sort, limit=2)) == want
+
+
+@pytest.mark.parametrize("missing", ["0", [1], [-1], [0.0], ["0"], [0]])
+def test_cursors_whose_missing_values_do_not_fit(missing):
+    with pytest.raises(Refused):
+        sort_position(encode_cursor({"values": [3], "key": "k", "missing": missing}), [SortKey("a")])
+
+
+@pytest.mark.parametrize("name", ["sort_mixed_kinds", "sort_mixed_kinds_desc"])
+def test_mixed_kinds_are_in_the_order_of_their_sql(spark, tmp_path, name):
+    spark.range(600).selectExpr("id * 37 % 600 AS event_id").write.parquet(str(tmp_path / "events.parquet"))
+    query, sql = CATALOGUE[name]
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        assert [tuple(r) for r in query(spark, str(tmp_path)).collect()] == db.execute(sql).fetchall()
+
+
 def pages(c, **request):
     out, cursor = [], None
     for _ in range(100):
